@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exactdedup, licenses, pieces
+from . import decontam, exactdedup, importance, langid, licenses, pieces, toxicity
 from .common import table
 
 #: Vocabulary file of op3; a name in the folder of public tokenizers.
@@ -19,6 +19,11 @@ def piece_model_path(name: str = PIECE_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), piece_model_path(), digests=True)
 
@@ -32,14 +37,26 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fit(docs))
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_pieces": op3_pieces,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
+    "op7_langid": op7_langid,
+    "op8_importance": op8_importance,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
