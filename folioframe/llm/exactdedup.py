@@ -21,7 +21,11 @@ from .common import shared_dir, stored
 
 #: Code points that normalisation deletes: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on the executors' disks; space isn't set aside beforehand, as many partitions may have little state each.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,8 +52,9 @@ def stream_state(spark: SparkSession, entries_dir: str, schema, files_per_batch:
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/part={number}")
 
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.numRecentProgressUpdates")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(append).start()
         query.awaitTermination()
@@ -57,9 +62,8 @@ def stream_state(spark: SparkSession, entries_dir: str, schema, files_per_batch:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.createDataFrame([], f"digest string, best {schema['best'].dataType.simpleString()}, group_size long, batch int")
-    if query.lastProgress is not None or _exists(spark, f"{where}/out"):
-        if _exists(spark, f"{where}/out"):
-            out = spark.read.schema(out.schema).parquet(f"{where}/out")
+    if _exists(spark, f"{where}/out"):
+        out = spark.read.schema(out.schema).parquet(f"{where}/out")
     # A digest is given again by each batch that changed it; the last one holds.
     return out.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("last")).select("digest", "last.best", "last.group_size")
 
@@ -87,10 +91,10 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     hits = state.where("group_size > 1")
 
     # Full bytes: the normalised text of every hit against that of the row that stays.
-    texts = norm.select("digest", "doc_id", "norm")
-    keepers = hits.join(texts, (hits.digest == texts.digest) & (hits.keep_id == texts.doc_id)).groupBy(hits.digest.alias("k_digest")).agg(F.min("norm").alias("keep_norm"))
-    checked = texts.join(hits.select(F.col("digest").alias("h_digest"), "keep_id"), F.col("digest") == F.col("h_digest")).where("doc_id <> keep_id")
-    wrong = checked.join(keepers, F.col("digest") == F.col("k_digest")).where("norm <> keep_norm").select("digest").distinct()
+    texts = norm.select("digest", "doc_id", "norm").join(hits.select("digest", "keep_id"), "digest")
+    texts = stored(spark, texts, "hits")
+    keepers = texts.where("doc_id = keep_id").groupBy(F.col("digest").alias("k_digest")).agg(F.min("norm").alias("keep_norm"))
+    wrong = texts.where("doc_id <> keep_id").join(keepers, F.col("digest") == F.col("k_digest")).where("norm <> keep_norm").select("digest").distinct()
     wrong = stored(spark, wrong, "wrong")
     right = entries.join(state, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
     if wrong.isEmpty():
