@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exactdedup, importance, langid, licenses, neardup, pieces, toxicity
+from . import decontam, exactdedup, importance, langid, licenses, neardup, pieces, suffix, toxicity
 from .common import table
 
 #: Vocabulary file of op3; a name in the folder of public tokenizers.
@@ -54,6 +54,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module's operators; beside the package, and removed with it
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_importance": op8_importance,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": pipeline,
 }
 
