@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exactdedup, importance, langid, licenses, neardup, pieces, suffix, toxicity
+from . import decontam, exactdedup, htmltext, importance, langid, licenses, neardup, pieces, suffix, toxicity
 from .common import table
 
 #: Vocabulary file of op3; a name in the folder of public tokenizers.
@@ -41,6 +41,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
+    "op6_html": op6_html,
     "op7_langid": op7_langid,
     "op8_importance": op8_importance,
     "op9_exact_dedup": op9_exact_dedup,
