@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from .common import held_out, stored
 from .words import Prefix, Words, mix, slices
 
 #: Labelled rows that a fit reads at most, and features that it keeps at most.
@@ -103,22 +103,15 @@ def swapped(features: np.ndarray, terms: list[list[np.ndarray]]) -> np.ndarray |
     return np.array(sorted(out), np.uint64) if found else None
 
 
-def fit_rows(texts: list[np.ndarray], labels: np.ndarray, steps: int = 400, rate: float = 0.1) -> Model:
-    """Fit on each text's sorted distinct features."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+TERMS = [[_term_features(t) for t in kind.split()] for kind in IDENTITY]
+
+
+def fit_rows(texts: list[np.ndarray], labels: np.ndarray, features: np.ndarray, steps: int = 400, rate: float = 0.1) -> Model:
+    """Fit on each text's sorted distinct features; `features` are those that get a weight, sorted."""
+    n1, n0, terms = int(labels.sum()), int((1 - labels).sum()), TERMS
     if not n1 or not n0:
         share = n1 / max(1, n1 + n0)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    every, where, df = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-    label = np.repeat(labels, [len(t) for t in texts])
-    df1 = np.bincount(where, weights=label, minlength=len(every))
-    share = df / len(texts)
-    z = np.abs(df1 / n1 - (df - df1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z[df < 3] = 0
-    telling = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    terms = [[_term_features(t) for t in kind.split()] for kind in IDENTITY]
-    best = every[telling[z[telling] >= TELLING]]
-    features = np.unique(np.concatenate([best, *[t for kind in terms for t in kind]]))
     row, at = _sparse(features, texts)
     pairs = [(t, s) for t in texts if (s := swapped(t, terms)) is not None]
     old_row, old_at = _sparse(features, [p[0] for p in pairs])
@@ -160,9 +153,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "features"])
 
-    got = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<long>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
-    return fit_rows([np.sort(np.asarray(f, np.int64).view(np.uint64)) for f in got.features], got.toxic.to_numpy(float).clip(0, 1))
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<long>")
+    rows = stored(docs.sparkSession, rows.withColumn("toxic", F.greatest(F.lit(0), F.least(F.lit(1), "toxic"))), "toxicity")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = np.unique(np.concatenate([t for kind in TERMS for t in kind]))
+    if 0 < n1 < n:
+        share = F.col("df") / F.lit(float(n))
+        z = F.abs(F.col("df1") / F.lit(float(n1)) - (F.col("df") - F.col("df1")) / F.lit(float(n - n1))) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * F.lit(1 / n1 + 1 / (n - n1)))
+        counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1")).where("df >= 3")
+        telling = counts.withColumn("z", z).where(F.col("z") >= TELLING).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+        chosen = np.unique(np.concatenate([chosen, np.array([r.feature for r in telling], np.int64).view(np.uint64)]))
+
+    def filtered(batches):
+        for batch in batches:
+            own = [np.asarray(f, np.int64).view(np.uint64) for f in batch.column("features").to_numpy(zero_copy_only=False)]
+            own = [np.sort(f[np.isin(f, chosen)]).view(np.int64) for f in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
+
+    got = rows.mapInArrow(filtered, "doc_id long, toxic int, features array<long>").toPandas().sort_values("doc_id", kind="stable")
+    return fit_rows([np.asarray(f, np.int64).view(np.uint64) for f in got.features], got.toxic.to_numpy(float), chosen)
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
