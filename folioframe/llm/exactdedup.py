@@ -7,7 +7,7 @@ the number of equal rows. Rows of one key are combined before they are shuffled,
 rows sends one row a task. Every hit is then held against the full bytes of the row that stays; rows whose digest agrees
 and whose bytes do not are grouped again by their full text.
 
-Defined results: null text counts as empty; rows that repeat a doc_id count in the group's size, and all rows with the
+Defined results: null text counts as empty; a row without doc_id stays only if no equal row has one; rows that repeat a doc_id count in the group's size, and all rows with the
 identifier that stays are kept; an empty table gives no rows; other columns are never read.
 """
 
@@ -96,13 +96,13 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keepers = texts.where("doc_id = keep_id").groupBy(F.col("digest").alias("k_digest")).agg(F.min("norm").alias("keep_norm"))
     wrong = texts.where("doc_id <> keep_id").join(keepers, F.col("digest") == F.col("k_digest")).where("norm <> keep_norm").select("digest").distinct()
     wrong = stored(spark, wrong, "wrong")
-    right = entries.join(state, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
+    right = entries.join(state, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
     if wrong.isEmpty():
         return right
     apart = norm.join(wrong, "digest", "left_semi").withColumn("text_sha256", sha256(F.col("norm")))
     again = apart.groupBy("norm").agg(F.max(_best("doc_id")).alias("best"), F.count("*").alias("group_size")).select("norm", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
-    fixed = apart.join(again, "norm").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
-    sound = entries.join(wrong, "digest", "left_anti").join(state, "digest").select(*right.columns[:3], (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
+    fixed = apart.join(again, "norm").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
+    sound = entries.join(wrong, "digest", "left_anti").join(state, "digest").select(*right.columns[:3], F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_locator")
     return sound.unionByName(fixed)
 
 
@@ -118,5 +118,5 @@ def _has_metadata(docs: DataFrame) -> bool:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
+    gone = exact_dedup(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).where("not kept").select("gone_id")
+    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")

@@ -228,7 +228,7 @@ def _counts(letters: Letters, often: np.ndarray) -> dict[int, tuple]:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """Learn from at most max_rows rows of each language that are not held out; None if there are none."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ranked = rows.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where(F.col("k") <= max_rows)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "k")
     picked = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # max_rows of each language
