@@ -20,7 +20,7 @@ IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Text is scanned in slices of about so many bytes, so working memory is a small multiple of it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def powers(base: int, n: int) -> np.ndarray:
         grown = np.full(size, base & (2**64 - 1), dtype=np.uint64)
         grown[0] = 1
         have = _powers[base] = np.multiply.accumulate(grown)
-        if size > 4 * SLICE_BYTES:
+        if size > 16 * SLICE_BYTES:
             del _powers[base]
     return have[:n]
 
