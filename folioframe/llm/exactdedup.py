@@ -21,10 +21,15 @@ from .common import shared_dir, stored
 
 #: Code points that normalisation deletes: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Keyed state on the executors' disks; space isn't set aside beforehand, as many partitions may have little state each.
+#: Keyed state on the executors' disks; space isn't set aside beforehand, as many partitions may have little state each,
+#: and all partitions of an executor share one bounded cache and small write buffers.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
