@@ -3,12 +3,12 @@
 A document is the weighted set of its runs of five words: count in the text times a damped inverse document frequency.
 Document frequencies are counted over all documents, in `BUCKETS` hashed cells. `SAMPLES` consistent weighted samples are
 drawn from each set; two documents agree in one with the probability of their weighted Jaccard similarity. Bands of `ROWS`
-samples are bucket keys. Within a bucket every document is held against the smallest identifier, its leader, and leaves if
-they match. Of what is left, buckets of up to `SMALL` documents hold all of them against each other; larger ones are dealt
-again with more samples in the key, with a leader anew, until none is larger or no sample is left, when only leaders
-leave. So a bucket of m documents makes at most m * SMALL pairs, and a leader that matches nothing doesn't hide the matches
-of the others. Pairs whose sizes differ too much for either similarity, or whose signatures agree in fewer than `AGREE` samples are not looked at further: at the threshold, one
-pair in a thousand agrees in fewer.
+samples are bucket keys. Within a bucket every document is first held against the smallest identifier, its leader. Then all
+documents of a bucket are held against each other, linked ones too; only pairs that links have already brought into one
+class are passed over, as a further link can't change the classes. Each document's best candidate goes first, so that large
+groups are of one class before all that is left is held against each other. Pairs whose sizes differ too much for either
+similarity, or whose signatures agree in fewer than `AGREE` samples are not looked at further: at the threshold, one pair in
+a thousand agrees in fewer.
 
 A pair is a link if the exact weighted Jaccard similarity of its whole texts is at least the threshold, or their plain
 Jaccard similarity over distinct shingles is, so that weighting doesn't lose copies by the plain measure. Documents with
@@ -21,10 +21,10 @@ shingle; equal texts are of one class; repeated rows get equal rows; an empty ta
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
@@ -39,10 +39,6 @@ SAMPLES = BANDS * ROWS
 DAMPING = 0.1
 #: Identifiers that are broadcast at most to pick out candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Documents of a bucket that are all held against each other once its first leader is done with.
-SMALL = 96
-#: Samples that each further turn adds to the keys of larger buckets; the last number holds for all later turns.
-MORE = (1, 1, 1, 1, 2, 3)
 #: Samples in which the signatures of a pair must agree for its texts to be compared.
 AGREE = 20
 #: Text scanned at a time; the samples of its shingles take many times as much.
@@ -176,63 +172,98 @@ def alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return rows.where((near[0] | near[1]) & (same >= AGREE)).select("doc", "leader")
 
 
-def pairs_within(buckets: DataFrame, threshold: float) -> DataFrame:
-    """(doc, leader), doc the larger, of all pairs within buckets of at most SMALL members that are alike in the same sense."""
-    kind = buckets.schema["doc"].dataType.simpleString()
+def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows that agree in the columns, each whole; rows of a group follow each other."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        keys = [rows.column(c).to_numpy() for c in columns]
+        new = np.flatnonzero(functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])) + 1
+        bounds = [0, *new.tolist()]
+        for start, end in zip(bounds, bounds[1:]):
+            yield rows.slice(start, end - start)
+        rest = rows.slice(bounds[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many samples each pair of signatures agrees."""
+    return (x == y).sum(axis=-1)
+
+
+def unlinked(group: pa.RecordBatch, threshold: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (high, low) of a bucket's pairs of different roots that are alike, as alike() has it, and share no earlier band.
+
+    Rows are in order of doc. With best, only the pair of each row that agrees most.
+    """
+    sig = np.asarray(group.column("signature").flatten()).reshape(group.num_rows, -1)
+    root = group.column("root").dictionary_encode().indices.to_numpy()
+    sizes = [group.column(c).to_numpy().astype(float) for c in ("size", "weight")]
+    first, second, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second", "other"))
+    second, band = np.flatnonzero(second), group.column("band")[0].as_py()
+    found = []
+    for rows in np.array_split(np.flatnonzero(first), max(1, first.sum() * len(second) >> 16)):
+        near = [np.minimum.outer(x[rows], x[second]) >= (threshold - 1e-6) * np.maximum.outer(x[rows], x[second]) for x in sizes]
+        # Pairs of two rows that are both held against all others come twice.
+        fit = (near[0] | near[1]) & (root[rows][:, None] != root[second]) & (~other[second] | (rows[:, None] > second))
+        i, j = (x[at] for x, at in zip((rows, second), np.nonzero(fit)))
+        same = agreement(sig[i], sig[j])
+        enough = same >= AGREE
+        i, j, same = i[enough], j[enough], same[enough]
+        shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        i, j, same = i[shared], j[shared], same[shared]
+        if best and len(i):
+            order = np.lexsort((j, -same, i))
+            order = order[np.append(True, i[order][1:] != i[order][:-1])]
+            i, j = i[order], j[order]
+        found.append((np.maximum(i, j), np.minimum(i, j)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def pairs_across(held: DataFrame, roots: DataFrame, signed: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """(doc, leader), doc the larger, of pairs that share a bucket and are alike but of different roots; see unlinked()."""
+    spark, kind = held.sparkSession, held.schema["doc"].dataType.simpleString()
+    known = signed.join(roots, signed.doc == roots.node, "left").withColumn("root", F.coalesce("root", "doc"))
+    members = stored(spark, held.select("doc", "band", "key").join(known.select("doc", "root"), "doc"), "members")
+    # Documents of the bucket's most frequent root need no test against each other, the others one against all.
+    of_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    sized = of_root.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+    placed = members.join(sized, ["band", "key"]).withColumn("other", F.col("root") != F.col("most.root"))
+    placed = placed.select("doc", "band", "key", "other", F.col("other").alias("first"), F.lit(True).alias("second"))
+    group = ["band", "key"]
+    rows = placed.join(known.select("doc", "root", "signature", "size", "weight"), "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
     def run(batches):
-        for batch in batches:
-            docs, ends = batch.column("docs"), np.cumsum(pa.compute.list_value_length(batch.column("docs")).to_numpy())
-            flat, sig = docs.flatten(), np.asarray(batch.column("signatures").flatten().flatten()).reshape(-1, SAMPLES)
-            sizes = [np.asarray(batch.column(c).flatten(), float) for c in ("sizes", "weights")]
-            high, low = [], []
-            for start, end in zip(np.append(0, ends[:-1]), ends):
-                own = sig[start:end]
-                near = [np.minimum.outer(x, x) >= (threshold - 1e-6) * np.maximum.outer(x, x) for x in (y[start:end] for y in sizes)]
-                i, j = np.nonzero(np.tril(((own[:, None, :] == own[None, :, :]).sum(axis=2) >= AGREE) & (near[0] | near[1]), -1))
-                high.append(i + start)
-                low.append(j + start)
-            take = [flat.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (high, low)]
-            yield pa.RecordBatch.from_arrays(take, ["doc", "leader"])
-
-    members = buckets.groupBy("turn", "band", "key").agg(F.sort_array(F.collect_list(F.struct("doc", "signature", "size", "weight"))).alias("m"))  # SMALL at most
-    lists = members.select(F.col("m.doc").alias("docs"), F.col("m.signature").alias("signatures"), F.col("m.size").alias("sizes"), F.col("m.weight").alias("weights"))
-    return lists.mapInArrow(run, f"doc {kind}, leader {kind}").distinct()
+        for each in groups(batches, group):
+            taken = [each.column("doc").take(pa.array(x)) for x in unlinked(each, threshold, best)]
+            if len(taken[0]):
+                yield pa.RecordBatch.from_arrays(taken, ["doc", "leader"])
+
+    return rows.mapInArrow(run, f"doc {kind}, leader {kind}")
 
 
 def links(docs: DataFrame, folded: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b) between folded documents (doc, signature, size, weight) of different texts."""
     spark = docs.sparkSession
-    at = lambda i: F.get("signature", i)
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[at(F.lit(b * ROWS + i)) for i in range(ROWS)]).alias("key")) for b in range(BANDS)])
-    members, turn, used, left = folded.select("doc", F.explode(keys).alias("k")).select("doc", "k.*"), 0, ROWS, 1
-    signed = texts = None
-    found, close = [], []
-    while left:
-        leaders = members.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        held = stored(spark, members.join(leaders.drop("n"), ["band", "key"]).where("doc <> leader"), "held")
-        if texts is None:  # later turns' documents are among the first one's
-            ids = stored(spark, held.select(F.explode(F.array("doc", "leader")).alias("doc_id")).distinct(), "ids")
-            ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-            texts = stored(spark, docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-            signed = stored(spark, folded.join(ids, folded.doc == ids.doc_id, "left_semi"), "signed")
-        pairs = stored(spark, alike(held.select("doc", "leader").distinct(), signed, threshold), "pairs")
-        linked = stored(spark, verified(pairs, texts, idf, threshold), "linked")
-        found.append(linked)
-        apart = held.join(linked, ["doc", "leader"], "left_anti").select("doc", "band", "key")
-        sized = apart.join(apart.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
-        sized = stored(spark, sized.join(signed, "doc").withColumn("turn", F.lit(turn)), "sized")
-        close.append(sized.where(F.col("n") <= SMALL))
-        # Further samples come from the bands that follow; when all are used, the key stays and only leaders leave.
-        upto = min(SAMPLES, used + MORE[min(turn, len(MORE) - 1)])
-        more = [at((F.col("band") * ROWS + i) % SAMPLES) for i in range(used, upto)]
-        members = sized.where(F.col("n") > SMALL)
-        left = members.count()
-        members = members.select("doc", "band", F.xxhash64("key", *more).alias("key"))
-        turn, used = turn + 1, upto
-    within = stored(spark, pairs_within(functools.reduce(DataFrame.unionByName, close), threshold), "within")
-    found.append(stored(spark, verified(within, texts, idf, threshold), "linked"))
-    return functools.reduce(DataFrame.unionByName, found).select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    at = lambda i: F.get("signature", F.lit(i))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]).alias("key")) for b in range(BANDS)])
+    members = folded.select("doc", F.explode(keys).alias("k")).select("doc", "k.*")
+    leaders = members.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    held = stored(spark, members.join(leaders.drop("n"), ["band", "key"]).where("doc <> leader"), "held")
+    ids = stored(spark, held.select(F.explode(F.array("doc", "leader")).alias("doc_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stored(spark, docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    signed = stored(spark, folded.join(ids, folded.doc == ids.doc_id, "left_semi"), "signed")
+    tested = stored(spark, alike(held.select("doc", "leader").distinct(), signed, threshold), "pairs")
+    found = stored(spark, verified(tested, texts, idf, threshold), "linked")
+    for best in (True, False):
+        roots = components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
+        across = pairs_across(held, roots, signed, threshold, best)
+        across = stored(spark, across.join(tested, ["doc", "leader"], "left_anti"), "pairs")
+        found = found.unionByName(stored(spark, verified(across, texts, idf, threshold), "linked"))
+        tested = tested.unionByName(across)
+    return found.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

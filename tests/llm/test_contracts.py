@@ -122,6 +122,23 @@ def test_near(docs, sample, nothing):
     assert neardup.keep_one(docs).columns == docs.columns
 
 
+def test_near_chains(spark):
+    """D is like L and E, which are not like each other: E is found through D only, after D has been linked to L."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(50):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(1000)]
+        places = rng.sample(range(10, 990, 10), 25)
+        for k, upto in enumerate((0, 6, 25)):
+            changed = [f"x{n}" if i in places[:upto] else w for i, w in enumerate(words)]
+            rows.append((3 * n + k, " ".join(changed)))
+        sets = [brute.shingles(t) for _, t in rows[-3:]]
+        like = [len(a & b) / len(a | b) for a, b in (sets[:2], sets[1:], sets[::2])]
+        assert like[0] > 0.93 and like[1] > 0.8 > like[2] + 0.01
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == i - i % 3 for i, _ in rows) == len(rows)
+
+
 def test_near_sampling_agrees_with_weighted_jaccard():
     import numpy as np
 
