@@ -5,7 +5,7 @@ Document frequencies are counted over all documents, in `BUCKETS` hashed cells.
 drawn from each set; two documents agree in one with the probability of their weighted Jaccard similarity. Bands of `ROWS`
 samples are bucket keys. Within a bucket every document is first held against the smallest identifier, its leader. Then all
 documents of a bucket are held against each other, linked ones too; only pairs that links have already brought into one
-class are passed over, as a further link can't change the classes. Each document's best candidate goes first, so that large
+class are passed over, as a further link can't change the classes. Buckets of over `BLOCK` documents are dealt out as pairs of blocks. Each document's best candidate goes first, so that large
 groups are of one class before all that is left is held against each other. Pairs whose sizes differ too much for either
 similarity, or whose signatures agree in fewer than `AGREE` samples are not looked at further: at the threshold, one pair in
 a thousand agrees in fewer.
@@ -39,10 +39,14 @@ SAMPLES = BANDS * ROWS
 DAMPING = 0.1
 #: Identifiers that are broadcast at most to pick out candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Documents of one side of a block pair, about; larger buckets are dealt out as pairs of blocks.
+BLOCK = 1024
 #: Samples in which the signatures of a pair must agree for its texts to be compared.
 AGREE = 20
 #: Text scanned at a time; the samples of its shingles take many times as much.
 SLICE = 1 << 20
+#: Where a document of a bucket is dealt to.
+FOUR = "array<struct<i:int,j:int,first:boolean,second:boolean>>"
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Draws of the sampling scheme, looked up by slices of a shingle's hash: gamma(2, 1), log gamma(2, 1) and uniform.
@@ -230,8 +234,15 @@ def pairs_across(held: DataFrame, roots: DataFrame, signed: DataFrame, threshold
     of_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
     sized = of_root.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
     placed = members.join(sized, ["band", "key"]).withColumn("other", F.col("root") != F.col("most.root"))
-    placed = placed.select("doc", "band", "key", "other", F.col("other").alias("first"), F.lit(True).alias("second"))
-    group = ["band", "key"]
+    # Every block of the others meets every block of all, so no task holds more than two blocks of a bucket at once.
+    many, few = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n"), F.col("n") - F.col("most.n")))
+    part = lambda salt, n: F.pmod(F.xxhash64("doc", F.lit(salt)), n).cast("int")
+    at = lambda i, j, first, second: F.struct(i.alias("i"), j.alias("j"), F.lit(first).alias("first"), F.lit(second).alias("second"))
+    as_second = F.transform(F.sequence(F.lit(0), few - 1), lambda i: at(i, part(0, many), False, True))
+    as_first = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), many - 1), lambda j: at(part(1, few), j, True, False))).otherwise(F.array().cast(FOUR))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("other").alias("first"), F.lit(True).alias("second")))
+    placed = placed.select("doc", "band", "key", "other", F.explode(F.when(many == 1, whole).otherwise(F.concat(as_second, as_first))).alias("at")).select("doc", "band", "key", "other", "at.*")
+    group = ["band", "key", "i", "j"]
     rows = placed.join(known.select("doc", "root", "signature", "size", "weight"), "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
     def run(batches):

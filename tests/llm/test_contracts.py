@@ -139,6 +139,23 @@ def test_near_chains(spark):
     assert sum(got[i] == i - i % 3 for i, _ in rows) == len(rows)
 
 
+def test_near_large_buckets(spark, monkeypatch):
+    """Most of a text is everyone's, and pairs of documents are alike in the rest: their links are found in buckets of many blocks."""
+    rng = random.Random(12)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(neardup, "SMALL", 8, raising=False)
+    common = [f"c{k}" for k in range(160)]
+    rows = []
+    for n in range(100):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        rows += [(2 * n, " ".join(common + own)), (2 * n + 1, " ".join(common + [f"x{n}" if k % 10 == 5 else w for k, w in enumerate(own)]))]
+    rng.shuffle(rows)
+    want = brute.near_classes(rows)
+    assert want == {i: i - i % 2 for i, _ in rows}
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == want[i] for i in want) == len(want)
+
+
 def test_near_sampling_agrees_with_weighted_jaccard():
     import numpy as np
 
