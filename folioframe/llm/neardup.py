@@ -2,12 +2,12 @@
 
 A document is the weighted set of its runs of five words: count in the text times a damped inverse document frequency.
 Document frequencies are counted over all documents, in `BUCKETS` hashed cells. `SAMPLES` consistent weighted samples are
-drawn from each set; two documents agree in one with the probability of their weighted Jaccard similarity. Bands of `ROWS`
-samples are bucket keys. Within a bucket every document is first held against the smallest identifier, its leader. Then all
+drawn from each set; two documents agree in one with the probability of their weighted Jaccard similarity. As many samples
+again are drawn without weights, for the plain Jaccard similarity. Bands of `ROWS` samples of either kind are bucket keys. Within a bucket every document is first held against the smallest identifier, its leader. Then all
 documents of a bucket are held against each other, linked ones too; only pairs that links have already brought into one
 class are passed over, as a further link can't change the classes. Buckets of over `BLOCK` documents are dealt out as pairs of blocks. Each document's best candidate goes first, so that large
 groups are of one class before all that is left is held against each other. Pairs whose sizes differ too much for either
-similarity, or whose signatures agree in fewer than `AGREE` samples are not looked at further: at the threshold, one pair in
+similarity, or whose signatures agree in fewer than `AGREE` samples of both kinds, are not looked at further: at the threshold, one pair in
 a thousand agrees in fewer.
 
 A pair is a link if the exact weighted Jaccard similarity of its whole texts is at least the threshold, or their plain
@@ -35,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 BUCKETS = 1 << 18
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
+#: A signature is that of the weighted set and that of the plain one.
+KINDS = 2
 #: How much of the inverse document frequency's logarithm goes into a weight.
 DAMPING = 0.1
 #: Identifiers that are broadcast at most to pick out candidates' texts; more are joined by a shuffle.
@@ -102,6 +104,17 @@ def samples(first: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> np.nda
     return out
 
 
+def plain_samples(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(rows x SAMPLES) the sample of each row's set without weights; first as in samples()."""
+    out = np.empty((len(first), SAMPLES), np.int32)
+    for k in range(SAMPLES):
+        x = hashes * ODD[k]
+        x ^= x >> U64(32)
+        x *= U64(0xD6E8FEB86659FD93)
+        out[:, k] = (np.minimum.reduceat(x, first) & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return out
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """(doc_id, d1, d2, signature, size, weight) of every row: two hashes of its words in order, null without words, its distinct shingles and their weights' sum."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -111,7 +124,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             for part in slices(batch, most=SLICE):
                 words = Words(part.column("text"))
                 some = np.flatnonzero(words.counts)
-                sums, sig = np.zeros((2, part.num_rows), np.int64), np.zeros((0, SAMPLES), np.int32)
+                sums, sig = np.zeros((2, part.num_rows), np.int64), np.zeros((0, KINDS * SAMPLES), np.int32)
                 size, weight = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 if len(some):
                     place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts)
@@ -120,10 +133,11 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                         sums[j, some] = mix(np.add.reduceat(mix(words.hash + U64(j)) * powers(BASE + 2 * j, int(place.max()) + 1)[place], begin)).view(np.int64)
                     row, value, tf = counted(*shingles(words, WORDS))
                     each = weights(value, tf, idf.value)
-                    sig = samples(np.searchsorted(row, some), value, each)
+                    starts = np.searchsorted(row, some)
+                    sig = np.hstack([samples(starts, value, each), plain_samples(starts, value)])
                     size, weight = np.bincount(row, minlength=part.num_rows), np.bincount(row, weights=each, minlength=part.num_rows)
                 bare = words.counts == 0
-                bounds = np.concatenate([[0], np.cumsum(~bare)]) * SAMPLES
+                bounds = np.concatenate([[0], np.cumsum(~bare)]) * (KINDS * SAMPLES)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=np.append(bare, False)), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0]), pa.array(sums[1]), lists, pa.array(size), pa.array(weight)], ["doc_id", "d1", "d2", "signature", "size", "weight"])
 
@@ -171,9 +185,10 @@ def alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """The pairs (doc, leader) whose sizes allow a link and whose signatures agree in enough samples."""
     kind = lambda i, doc: signed.select(F.col("doc").alias(doc), F.struct("signature", "size", "weight").alias(i))
     rows = pairs.join(kind("s", "doc"), "doc").join(kind("t", "leader"), "leader")
-    same = F.aggregate(F.zip_with("s.signature", "t.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    part = lambda side, k: F.slice(f"{side}.signature", k * SAMPLES + 1, SAMPLES)
+    same = [F.aggregate(F.zip_with(part("s", k), part("t", k), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) for k in range(KINDS)]
     near = [F.least(f"s.{c}", f"t.{c}") >= (threshold - 1e-6) * F.greatest(f"s.{c}", f"t.{c}") for c in ("size", "weight")]
-    return rows.where((near[0] | near[1]) & (same >= AGREE)).select("doc", "leader")
+    return rows.where((near[0] | near[1]) & (F.greatest(*same) >= AGREE)).select("doc", "leader")
 
 
 def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +207,8 @@ def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many samples each pair of signatures agrees."""
-    return (x == y).sum(axis=-1)
+    """In how many samples each pair of signatures agrees, by the kind in which it is more."""
+    return (x == y).reshape(len(x), KINDS, SAMPLES).sum(axis=2).max(axis=1)
 
 
 def unlinked(group: pa.RecordBatch, threshold: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +230,7 @@ def unlinked(group: pa.RecordBatch, threshold: float, best: bool) -> tuple[np.nd
         same = agreement(sig[i], sig[j])
         enough = same >= AGREE
         i, j, same = i[enough], j[enough], same[enough]
-        shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        shared = (sig[i] == sig[j]).reshape(len(i), KINDS * BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         i, j, same = i[shared], j[shared], same[shared]
         if best and len(i):
             order = np.lexsort((j, -same, i))
@@ -258,7 +273,7 @@ def links(docs: DataFrame, folded: DataFrame, idf, threshold: float) -> DataFram
     """Links (a, b) between folded documents (doc, signature, size, weight) of different texts."""
     spark = docs.sparkSession
     at = lambda i: F.get("signature", F.lit(i))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]).alias("key")) for b in range(BANDS)])
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]).alias("key")) for b in range(KINDS * BANDS)])
     members = folded.select("doc", F.explode(keys).alias("k")).select("doc", "k.*")
     leaders = members.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
     held = stored(spark, members.join(leaders.drop("n"), ["band", "key"]).where("doc <> leader"), "held")

@@ -156,6 +156,19 @@ def test_near_large_buckets(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) == len(want)
 
 
+def test_near_repeated_passage(spark):
+    """Copies that repeat a passage many times are alike by the plain measure, far from it by the weighted one."""
+    rng = random.Random(13)
+    rows = []
+    for n in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words + words[:20] * 30))]
+        a, b = (brute.shingles(t) for _, t in rows[-2:])
+        assert len(a & b) / len(a | b) > 0.9
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == i - i % 2 for i, _ in rows) == len(rows)
+
+
 def test_near_sampling_agrees_with_weighted_jaccard():
     import numpy as np
 
