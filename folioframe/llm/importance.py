@@ -5,8 +5,7 @@ marks) are estimated: one of target text, the rows labelled good, and one of raw
 importance is the sum over its n-grams of log target / raw probability. Gumbel noise, drawn from a hash of the identifier, is
 added, and the k rows of largest sum are a sample without replacement in proportion to importance.
 
-The raw model counts all rows. The target model reads at most `max_rows` rows labelled good, chosen by a hash of the
-identifier. The k-th largest key is found by counting keys in ever finer bins, so no task sorts all rows.
+The raw model counts all rows, the target model all rows labelled good. The k-th largest key is found by counting keys in ever finer bins, so no task sorts all rows.
 
 Defined results: null and wordless texts have log importance 0; without good rows the models are equal and all log
 importances 0; equal keys are taken by smaller doc_id; repeated rows are sampled each; an empty table gives no rows.
@@ -22,7 +21,6 @@ from .common import stored
 from .words import IS_WORD, Prefix, mix, slices, text_bytes
 
 BUCKETS = 10_000
-MAX_ROWS = 20_000
 SEED = 1729
 #: Bins of one count, and keys that are few enough to be sorted by the driver.
 BINS, FEW = 1024, 4096
@@ -98,7 +96,7 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
     return r.key, r.doc_id
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = MAX_ROWS, seed: int = SEED) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, log_importance, n_grams, key, score and selected.
 
     k defaults to the share of good rows among the labelled ones, of all rows. The score maps the mean log ratio of an
@@ -107,8 +105,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     known = labels.where(F.col("quality").isNotNull())
-    good = known.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    target = _counts(docs.join(F.broadcast(good), "doc_id", "left_semi"))  # at most max_rows identifiers
+    good = known.where("quality = 1").select("doc_id").distinct()
+    target = _counts(docs.join(good, "doc_id", "left_semi"))
     ratio = spark.sparkContext.broadcast(log_ratio(target, _counts(docs)))
 
     def weigh(batches):

@@ -352,3 +352,9 @@ def test_pipeline(spark):
     want = {i for i, _ in left if not hit[i][4]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "pieces"]
+
+
+def test_importance_counts_all_good_rows(spark):
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit(1).alias("quality"))
+    got = importance.resampled(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    assert got.where("log_importance <> 0").count() == 0 and got.count() == 20_500
