@@ -191,23 +191,46 @@ def test_components(spark):
 
 
 def test_removed(docs, sample, nothing, monkeypatch):
-    for small in (False, True):
-        if small:
-            monkeypatch.setattr(suffix, "SHARD_BYTES", 3000)
+    for shards, most in ((None, 2 << 20), (9, 2 << 20), (2, 3000)):  # the last: shards of many parts, merged by binary search
+        monkeypatch.setattr(suffix, "SHARD_BYTES", most)
         for df in (sample, docs.where("doc_id is null or doc_id <> 12")):
             want = brute.removed(pairs(df))
-            for r in suffix.removed(df).collect():
+            for r in suffix.removed(df.repartition(5), shards).collect():
                 if r.doc_id is not None:
                     assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+                else:
+                    assert r.n_removed == r.n_spans == 0
     assert suffix.removed(nothing).count() == 0
 
 
+def test_removed_merges_parts(spark, monkeypatch):
+    """A passage in many documents whose surroundings differ: its strings meet in parts of one shard."""
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix, "DEALT_SLICES", 1)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(16))
+    rows = [(i, f"{rng.random()} {passage[rng.randrange(20) : 90 + rng.randrange(30)]} {rng.random()}\x00") for i in range(300)]
+    rows += [(7, "another text of this document, with no passage of others in it at all, but long enough"), (400, passage), (401, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    want = {(i, brute.sha(t or "")): None for i, t in rows}
+    got = suffix.removed(df, 1).collect()
+    first = {}
+    for i, t in sorted(rows):
+        for s in range(len(t.encode()) - 49):
+            first.setdefault(t.encode()[s : s + 50], i)
+    for r in got:
+        texts = [t.encode() for i, t in rows if i == r.doc_id]
+        cover = [{b for s in range(len(t) - 49) if first[t[s : s + 50]] < r.doc_id for b in range(s, s + 50)} for t in texts]
+        assert (r.n_bytes, r.n_removed) in [(len(t), len(c)) for t, c in zip(texts, cover)]
+    assert len(got) == len(rows) and len(want) == len(rows)
+
+
 def test_suffix_array():
     import numpy as np
 
     rng = random.Random(5)
-    for n in (1, 2, 7, 60, 900):
-        raw = bytes(rng.choice(b"ab\x00") for _ in range(n))
+    for n in (1, 2, 3, 4, 7, 60, 900, 901, 902, 903):
+        raw = bytes(rng.choice(b"ab\x00\x00\x00" if n % 2 else b"ab\x00") for _ in range(n))
         sa, _ = suffix.suffix_array(np.frombuffer(raw, np.uint8))
         assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
         for i, k in enumerate(suffix.common_prefixes(np.frombuffer(raw, np.uint8), sa, 10**9).tolist()):
