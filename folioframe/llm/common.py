@@ -21,29 +21,51 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own in a test."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Without one only a local session may go on."""
     jsc, context = spark.sparkContext._jsc.sc(), spark.sparkContext
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        where = tempfile.mkdtemp(prefix="folioframe-")
+        where = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(where)
     return jsc.getCheckpointDir().get()
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    The files outlive a lost executor, and a reader sees the same rows each time.
+    The files outlive a lost executor, and a reader sees the same rows each time. A table known to be small goes to a few
+    files: writing hundreds of nearly empty ones costs more than the rows.
     """
     where = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    (df.coalesce(files) if files else df).write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """docs with a column `locator` (file, row): where a row lies, its identity even if identifiers are null or repeat.
+
+    Rows that don't come straight from Parquet files are written to the shared folder first.
+    """
+    from pyspark.errors import AnalysisException
+
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if "_metadata" not in docs.columns and "locator" not in docs.columns:
+        try:
+            found = docs.withColumn("locator", place)
+            found.schema  # noqa: B018
+            return found
+        except AnalysisException:
+            pass
+    docs = docs.drop("locator", "_metadata")
+    return stored(docs.sparkSession, docs, "located").withColumn("locator", place)
+
+
 def sha256_hex(values: list[bytes]) -> list[str]:
     import hashlib
 

@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
 
+#: Links of one written file, about.
+PER_FILE = 500_000
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return n, int(total or 0)
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node of its component.
 
-    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place.
+    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place. Links with a
+    null end and from a node to itself are passed over; without links there are no rows.
     """
     spark = links.sparkSession
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    edges, before = stored(spark, edges, "edges"), None
-    while True:
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
+    edges = stored(spark, edges, "edges")
+    now, before = _state(edges), None
+    while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("k")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
-        edges = stored(spark, small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(roots.join(edges.select(F.col("u").alias("node")).distinct(), "node", "left_anti"))
+        edges = stored(spark, small, "edges", files=1 + now[0] // PER_FILE)  # a step makes no more links than there are
+        before, now = now, _state(edges)
+    # Each node but the roots has one link now, to its root.
+    of = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return of.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

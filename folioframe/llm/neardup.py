@@ -3,19 +3,23 @@
 A document is the weighted set of its runs of five words: count in the text times a damped inverse document frequency.
 Document frequencies are counted over all documents, in `BUCKETS` hashed cells. `SAMPLES` consistent weighted samples are
 drawn from each set; two documents agree in one with the probability of their weighted Jaccard similarity. As many samples
-again are drawn without weights, for the plain Jaccard similarity. Bands of `ROWS` samples of either kind are bucket keys. Within a bucket every document is first held against the smallest identifier, its leader. Then all
-documents of a bucket are held against each other, linked ones too; only pairs that links have already brought into one
-class are passed over, as a further link can't change the classes. Buckets of over `BLOCK` documents are dealt out as pairs of blocks. Each document's best candidate goes first, so that large
-groups are of one class before all that is left is held against each other. Pairs whose sizes differ too much for either
-similarity, or whose signatures agree in fewer than `AGREE` samples of both kinds, are not looked at further: at the threshold, one pair in
-a thousand agrees in fewer.
+again are drawn without weights, for the plain Jaccard similarity. Bands of `ROWS` samples of either kind are bucket keys.
+Documents with the same words in the same order are folded into one before banding.
+
+1. Every document of a bucket is held against the smallest identifier, its leader, and in buckets of up to `FEW` documents
+   against all others. Only pairs whose sizes exclude a link, or whose signatures agree in fewer than `AGREE` samples of
+   both kinds, are passed over; at the threshold that loses 3 pairs in 100 million. The rest are judged by whole texts.
+2. In larger buckets that still hold several classes, every document is held against all others by its whole set of
+   shingles, but for pairs of one class, as a further link can't change the classes. Buckets of over `BLOCK` shingles or
+   `BLOCK_DOCS` documents are dealt out as pairs of blocks.
 
 A pair is a link if the exact weighted Jaccard similarity of its whole texts is at least the threshold, or their plain
-Jaccard similarity over distinct shingles is, so that weighting doesn't lose copies by the plain measure. Documents with
-the same words in the same order are folded into one before banding. Classes are connected components of the links.
+Jaccard similarity over distinct shingles is, so that weighting doesn't lose copies by the plain measure. Classes are
+connected components of the links.
 
-Defined results: texts without words (null, empty) and rows without doc_id are each a class of their own; texts of fewer than five words are one
-shingle; equal texts are of one class; repeated rows get equal rows; an empty table gives no rows.
+Defined results: texts without words (null, empty) and rows without doc_id are each a class of their own; texts of fewer
+than five words are one shingle; equal texts are of one class; repeated rows get equal rows; if a doc_id stands for several
+texts, what is alike to any of them is of one class if this doc_id leads it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,14 +45,16 @@ KINDS = 2
 DAMPING = 0.1
 #: Identifiers that are broadcast at most to pick out candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Documents of one side of a block pair, about; larger buckets are dealt out as pairs of blocks.
-BLOCK = 1024
+#: Documents of a bucket that are all held against each other at once.
+FEW = 6
+#: Shingles and documents of one side of a block pair, about; larger buckets are dealt out as pairs of blocks.
+BLOCK, BLOCK_DOCS = 1 << 19, 4096
 #: Samples in which the signatures of a pair must agree for its texts to be compared.
-AGREE = 20
+AGREE = 14
 #: Text scanned at a time; the samples of its shingles take many times as much.
 SLICE = 1 << 20
 #: Where a document of a bucket is dealt to.
-FOUR = "array<struct<i:int,j:int,first:boolean,second:boolean>>"
+DEALT = "array<struct<i:int,j:int,first:boolean,second:boolean>>"
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Draws of the sampling scheme, looked up by slices of a shingle's hash: gamma(2, 1), log gamma(2, 1) and uniform.
@@ -181,9 +187,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return rows.mapInArrow(run, f"doc {kind}, leader {kind}")
 
 
-def alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def alike(pairs: DataFrame, folded: DataFrame, threshold: float) -> DataFrame:
     """The pairs (doc, leader) whose sizes allow a link and whose signatures agree in enough samples."""
-    kind = lambda i, doc: signed.select(F.col("doc").alias(doc), F.struct("signature", "size", "weight").alias(i))
+    kind = lambda i, doc: folded.select(F.col("doc").alias(doc), F.struct("signature", "size", "weight").alias(i))
     rows = pairs.join(kind("s", "doc"), "doc").join(kind("t", "leader"), "leader")
     part = lambda side, k: F.slice(f"{side}.signature", k * SAMPLES + 1, SAMPLES)
     same = [F.aggregate(F.zip_with(part("s", k), part("t", k), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) for k in range(KINDS)]
@@ -193,103 +199,131 @@ def alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """The groups of rows that agree in the columns, each whole; rows of a group follow each other."""
-    rest = None
+    rest = []
     for batch in batches:
-        rows = batch if rest is None else pa.concat_batches([rest, batch])
-        keys = [rows.column(c).to_numpy() for c in columns]
-        new = np.flatnonzero(functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])) + 1
-        bounds = [0, *new.tolist()]
+        keys = [batch.column(c).to_numpy() for c in columns]
+        same = functools.reduce(np.logical_and, [k[1:] == k[:-1] for k in keys])
+        bounds = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
         for start, end in zip(bounds, bounds[1:]):
-            yield rows.slice(start, end - start)
-        rest = rows.slice(bounds[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
+            part = batch.slice(start, end - start)
+            if rest and any(rest[0].column(c)[0] != part.column(c)[0] for c in columns):
+                yield pa.concat_batches(rest)
+                rest = []
+            if part.num_rows:
+                rest.append(part)
+    if rest:
+        yield pa.concat_batches(rest)
+
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc, hashes, counts) of every row with words: its distinct shingles in order of hash, packed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, most=SLICE):
+                row, value, tf = counted(*shingles(Words(part.column("text")), WORDS))
+                bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pack(value), pack(tf.astype(np.int32))], ["doc", "hashes", "counts"])
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many samples each pair of signatures agrees, by the kind in which it is more."""
-    return (x == y).reshape(len(x), KINDS, SAMPLES).sum(axis=2).max(axis=1)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc {kind}, hashes binary, counts binary")
 
 
-def unlinked(group: pa.RecordBatch, threshold: float, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (high, low) of a bucket's pairs of different roots that are alike, as alike() has it, and share no earlier band.
+def joining(group: pa.RecordBatch, idf: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Rows (high, low) of links between the classes of a bucket's rows, found by exact similarities; as many as join classes.
 
-    Rows are in order of doc. With best, only the pair of each row that agrees most.
+    Rows are in order of doc, have a root each, and take part as first or second of a pair. Of two rows that both are
+    `other` only the higher is first, as such pairs come twice.
     """
-    sig = np.asarray(group.column("signature").flatten()).reshape(group.num_rows, -1)
-    root = group.column("root").dictionary_encode().indices.to_numpy()
-    sizes = [group.column(c).to_numpy().astype(float) for c in ("size", "weight")]
+    n = group.num_rows
     first, second, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second", "other"))
-    second, band = np.flatnonzero(second), group.column("band")[0].as_py()
-    found = []
-    for rows in np.array_split(np.flatnonzero(first), max(1, first.sum() * len(second) >> 16)):
-        near = [np.minimum.outer(x[rows], x[second]) >= (threshold - 1e-6) * np.maximum.outer(x[rows], x[second]) for x in sizes]
-        # Pairs of two rows that are both held against all others come twice.
-        fit = (near[0] | near[1]) & (root[rows][:, None] != root[second]) & (~other[second] | (rows[:, None] > second))
-        i, j = (x[at] for x, at in zip((rows, second), np.nonzero(fit)))
-        same = agreement(sig[i], sig[j])
-        enough = same >= AGREE
-        i, j, same = i[enough], j[enough], same[enough]
-        shared = (sig[i] == sig[j]).reshape(len(i), KINDS * BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        i, j, same = i[shared], j[shared], same[shared]
-        if best and len(i):
-            order = np.lexsort((j, -same, i))
-            order = order[np.append(True, i[order][1:] != i[order][:-1])]
-            i, j = i[order], j[order]
-        found.append((np.maximum(i, j), np.minimum(i, j)))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def pairs_across(held: DataFrame, roots: DataFrame, signed: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """(doc, leader), doc the larger, of pairs that share a bucket and are alike but of different roots; see unlinked()."""
-    spark, kind = held.sparkSession, held.schema["doc"].dataType.simpleString()
-    known = signed.join(roots, signed.doc == roots.node, "left").withColumn("root", F.coalesce("root", "doc"))
-    members = stored(spark, held.select("doc", "band", "key").join(known.select("doc", "root"), "doc"), "members")
-    # Documents of the bucket's most frequent root need no test against each other, the others one against all.
-    of_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    sized = of_root.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+    label = np.asarray(group.column("root").dictionary_encode().indices).astype(np.int64)
+    values = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+    size = np.array([len(v) for v in values])
+    value, count = np.concatenate(values), np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32).astype(float)
+    each = idf[(value % U64(BUCKETS)).astype(np.int64)].astype(float)
+    begin = np.cumsum(size) - size
+    weight = np.add.reduceat(count * each, begin)
+    element = np.unique(value, return_inverse=True)[1]
+    mine = np.zeros(int(element.max()) + 1)
+    high, low = [], []
+    for i in np.flatnonzero(first).tolist():
+        near = np.minimum(size[i], size) >= (threshold - 1e-6) * np.maximum(size[i], size)
+        near |= np.minimum(weight[i], weight) >= (threshold - 1e-6) * np.maximum(weight[i], weight)
+        held = np.flatnonzero(second & (label != label[i]) & near & (~other | (np.arange(n) < i)))
+        if not len(held):
+            continue
+        own = slice(begin[i], begin[i] + size[i])
+        mine[element[own]] = count[own]
+        many = size[held]
+        starts = np.cumsum(many) - many
+        at = np.repeat(begin[held] - starts, many) + np.arange(many.sum())
+        met = mine[element[at]]
+        both = np.add.reduceat((met > 0).astype(np.int64), starts)
+        least = np.add.reduceat(np.minimum(met, count[at]) * each[at], starts)
+        mine[element[own]] = 0
+        linked = held[np.maximum(both / (size[i] + many - both), least / (weight[i] + weight[held] - least)) >= threshold - 1e-9]
+        if len(linked):
+            labels, at = np.unique(label[linked], return_index=True)
+            for j in linked[at].tolist():
+                high.append(max(i, j))
+                low.append(min(i, j))
+            label[np.isin(label, labels)] = label[i]
+    return high, low
+
+
+def links_across(held: DataFrame, roots: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """(doc, leader), doc the larger, of links between classes that share a large bucket; see joining()."""
+    kind = held.schema["doc"].dataType.simpleString()
+    of_doc = roots.select(F.col("node").alias("doc"), "root")
+    members = held.where(F.col("n") > FEW).select("doc", "band", "key", "size").join(of_doc, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    # Documents of the bucket's most frequent class need no test against each other, the others one against all.
+    of_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sized = of_root.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "size", "root")).alias("most")).where("n > most.n")
     placed = members.join(sized, ["band", "key"]).withColumn("other", F.col("root") != F.col("most.root"))
     # Every block of the others meets every block of all, so no task holds more than two blocks of a bucket at once.
-    many, few = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n"), F.col("n") - F.col("most.n")))
+    blocks = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / BLOCK_DOCS)).cast("int")
+    many, few = blocks(F.col("all"), F.col("n")), blocks(F.col("all") - F.col("most.size"), F.col("n") - F.col("most.n"))
     part = lambda salt, n: F.pmod(F.xxhash64("doc", F.lit(salt)), n).cast("int")
     at = lambda i, j, first, second: F.struct(i.alias("i"), j.alias("j"), F.lit(first).alias("first"), F.lit(second).alias("second"))
     as_second = F.transform(F.sequence(F.lit(0), few - 1), lambda i: at(i, part(0, many), False, True))
-    as_first = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), many - 1), lambda j: at(part(1, few), j, True, False))).otherwise(F.array().cast(FOUR))
+    as_first = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), many - 1), lambda j: at(part(1, few), j, True, False))).otherwise(F.array().cast(DEALT))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("other").alias("first"), F.lit(True).alias("second")))
-    placed = placed.select("doc", "band", "key", "other", F.explode(F.when(many == 1, whole).otherwise(F.concat(as_second, as_first))).alias("at")).select("doc", "band", "key", "other", "at.*")
+    placed = placed.select("doc", "root", "band", "key", "other", F.explode(F.when(many == 1, whole).otherwise(F.concat(as_second, as_first))).alias("at")).select("doc", "root", "band", "key", "other", "at.*")
+    placed = stored(docs.sparkSession, placed, "placed")
+    sets = shingle_sets(docs.join(placed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     group = ["band", "key", "i", "j"]
-    rows = placed.join(known.select("doc", "root", "signature", "size", "weight"), "doc").repartition(*group).sortWithinPartitions(*group, "doc")
+    rows = placed.join(sets, "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
     def run(batches):
         for each in groups(batches, group):
-            taken = [each.column("doc").take(pa.array(x)) for x in unlinked(each, threshold, best)]
+            taken = [each.column("doc").take(pa.array(x, pa.int64())) for x in joining(each, idf.value, threshold)]
             if len(taken[0]):
                 yield pa.RecordBatch.from_arrays(taken, ["doc", "leader"])
 
     return rows.mapInArrow(run, f"doc {kind}, leader {kind}")
 
 
-def links(docs: DataFrame, folded: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between folded documents (doc, signature, size, weight) of different texts."""
+def classed(docs: DataFrame, folded: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, root) of the folded documents (doc, signature, size, weight) that have links to other texts."""
     spark = docs.sparkSession
     at = lambda i: F.get("signature", F.lit(i))
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]).alias("key")) for b in range(KINDS * BANDS)])
-    members = folded.select("doc", F.explode(keys).alias("k")).select("doc", "k.*")
-    leaders = members.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    held = stored(spark, members.join(leaders.drop("n"), ["band", "key"]).where("doc <> leader"), "held")
-    ids = stored(spark, held.select(F.explode(F.array("doc", "leader")).alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stored(spark, docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    signed = stored(spark, folded.join(ids, folded.doc == ids.doc_id, "left_semi"), "signed")
-    tested = stored(spark, alike(held.select("doc", "leader").distinct(), signed, threshold), "pairs")
-    found = stored(spark, verified(tested, texts, idf, threshold), "linked")
-    for best in (True, False):
-        roots = components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
-        across = pairs_across(held, roots, signed, threshold, best)
-        across = stored(spark, across.join(tested, ["doc", "leader"], "left_anti"), "pairs")
-        found = found.unionByName(stored(spark, verified(across, texts, idf, threshold), "linked"))
-        tested = tested.unionByName(across)
-    return found.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    members = folded.select("doc", "size", F.explode(keys).alias("k")).select("doc", "size", "k.*")
+    sized = members.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    held = stored(spark, members.join(sized, ["band", "key"]), "held")
+    star = held.where("doc <> leader").select("doc", "leader")
+    small = held.where((F.col("n") > 2) & (F.col("n") <= FEW)).groupBy("band", "key").agg(F.sort_array(F.collect_list("doc")).alias("docs"))  # of FEW documents
+    small = small.select("docs", F.posexplode("docs").alias("i", "leader")).select("leader", F.explode(F.expr("slice(docs, i + 2, size(docs))")).alias("doc"))
+    pairs = star.unionByName(small).distinct()
+    pairs = stored(spark, alike(pairs, folded, threshold), "pairs")
+    found = stored(spark, verified(pairs, docs, idf, threshold), "linked").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    roots = components(found)
+    more = stored(spark, links_across(held, roots, docs, idf, threshold), "linked").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -299,20 +333,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = spark.sparkContext.broadcast(frequencies(docs))
     known = stored(spark, signatures(docs, idf), "signatures")
     some = known.where("signature is not null and doc_id is not null")
-    folded = stored(spark, some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min_by("signature", "doc_id").alias("signature"), F.max("size").alias("size"), F.max("weight").alias("weight")), "folded")
-    roots = components(links(docs, folded.drop("d1", "d2"), idf, threshold))
+    folded = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min_by("signature", "doc_id").alias("signature"), F.max("size").alias("size"), F.max("weight").alias("weight"))
+    folded = stored(spark, folded, "folded")
+    roots = classed(docs.where("doc_id is not null"), folded.drop("d1", "d2"), idf, threshold)
     of_text = folded.join(roots, folded.doc == roots.node, "left").select("d1", "d2", F.coalesce("root", "doc").alias("root"))
     # Rows without words or identifier get keys that no text has, spread over all partitions.
     lone = F.col("signature").isNull() | F.col("doc_id").isNull()
-    keyed = known.select("doc_id", F.when(lone, F.xxhash64("doc_id", F.lit(1))).otherwise(F.col("d1")).alias("d1"), F.when(lone, F.xxhash64("doc_id", F.lit(2))).otherwise(F.col("d2")).alias("d2"))
-    member = keyed.join(of_text, ["d1", "d2"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    member = stored(spark, member, "member")
-    sizes = member.groupBy(F.col("class_id").alias("of")).agg(F.count("*").alias("class_size"))
-    out = member.join(sizes, F.col("class_id") == F.col("of"), "left")
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns."""
-    gone = classes(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    key = lambda c, salt: F.when(F.col("lone"), F.xxhash64("doc_id", "row", F.lit(salt))).otherwise(F.col(c)).alias(c)
+    member = known.select("doc_id", "d1", "d2", lone.alias("lone"), F.monotonically_increasing_id().alias("row"))
+    member = member.select("doc_id", "lone", key("d1", 1), key("d2", 2)).join(of_text, ["d1", "d2"], "left")
+    member = stored(spark, member.select("doc_id", F.when(~F.col("lone"), F.col("root")).alias("class_of")), "member")
+    sizes = member.where("class_of is not null").groupBy(F.col("class_of").alias("of")).agg(F.count("*").alias("class_size"))
+    out = member.join(sizes, F.col("class_of") == F.col("of"), "left")
+    return out.select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce(F.col("class_of") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class, with all its columns; rows without doc_id stay, as each is a class of its own."""
+    gone = classes(docs, threshold).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("stays")).where("not stays").select("gone_id")
     return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")

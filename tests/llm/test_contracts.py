@@ -142,8 +142,7 @@ def test_near_chains(spark):
 def test_near_large_buckets(spark, monkeypatch):
     """Most of a text is everyone's, and pairs of documents are alike in the rest: their links are found in buckets of many blocks."""
     rng = random.Random(12)
-    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
-    monkeypatch.setattr(neardup, "SMALL", 8, raising=False)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 16)
     common = [f"c{k}" for k in range(160)]
     rows = []
     for n in range(100):
@@ -156,6 +155,24 @@ def test_near_large_buckets(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) == len(want)
 
 
+@pytest.mark.parametrize("n,least,changes", [(10, 0.80, 12), (60, 0.85, 8), (900, 0.8, 5), (5000, 0.8, 5)])
+def test_near_recall_in_one_bucket_family(spark, n, least, changes):
+    """Variants of one text, n of them, a few words changed in each: all links by brute force are within one class."""
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows, sets = [], []
+    for i in range(n):
+        words = list(base)
+        for k in rng.sample(range(300), rng.randint(2, changes)):
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+        sets.append(brute.shingles(rows[-1][1]))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = [(a, b) for a in rng.sample(range(n), min(n, 100)) for b in range(n) if a != b]
+    links = [(a, b) for a, b in some if (k := len(sets[a] & sets[b])) >= least * (len(sets[a]) + len(sets[b]) - k)]
+    assert links and sum(got[a] == got[b] for a, b in links) >= 0.999 * len(links)
+
+
 def test_near_repeated_passage(spark):
     """Copies that repeat a passage many times are alike by the plain measure, far from it by the weighted one."""
     rng = random.Random(13)
@@ -191,8 +208,10 @@ def test_components(spark):
 
 
 def test_removed(docs, sample, nothing, monkeypatch):
-    for shards, most in ((None, 2 << 20), (9, 2 << 20), (2, 3000)):  # the last: shards of many parts, merged by binary search
-        monkeypatch.setattr(suffix, "SHARD_BYTES", most)
+    for shards, most, hot in ((None, 2 << 20, 64 << 20), (9, 5000, 64 << 20), (2, 5000, 3000)):  # the last: shards of many parts, merged by binary search
+        monkeypatch.setattr(suffix, "ARRAY_BYTES", most)
+        monkeypatch.setattr(suffix, "HOT_BYTES", hot)
+        monkeypatch.setattr(suffix, "PART_BYTES", min(hot, 8 << 20))
         for df in (sample, docs.where("doc_id is null or doc_id <> 12")):
             want = brute.removed(pairs(df))
             for r in suffix.removed(df.repartition(5), shards).collect():
@@ -206,7 +225,8 @@ def test_removed(docs, sample, nothing, monkeypatch):
 def test_removed_merges_parts(spark, monkeypatch):
     """A passage in many documents whose surroundings differ: its strings meet in parts of one shard."""
     rng = random.Random(8)
-    monkeypatch.setattr(suffix, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix, "HOT_BYTES", 2000)
+    monkeypatch.setattr(suffix, "PART_BYTES", 2000)
     monkeypatch.setattr(suffix, "DEALT_SLICES", 1)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(16))
     rows = [(i, f"{rng.random()} {passage[rng.randrange(20) : 90 + rng.randrange(30)]} {rng.random()}\x00") for i in range(300)]
