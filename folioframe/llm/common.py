@@ -47,23 +47,52 @@ def stored(spark: SparkSession, df: DataFrame, label: str, files: int | None = N
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: The column that located() adds, and its type.
+LOCATOR, LOCATOR_TYPE = "_locator", "struct<file:string,row:bigint>"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """docs with a column `locator` (file, row): where a row lies, its identity even if identifiers are null or repeat.
+    """docs with a column `_locator` (file, row): where a row lies, its identity even if identifiers are null or repeat.
 
     Rows that don't come straight from Parquet files are written to the shared folder first.
     """
     from pyspark.errors import AnalysisException
 
+    if LOCATOR in docs.columns and docs.schema[LOCATOR].dataType.simpleString() == LOCATOR_TYPE:
+        return docs
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    if "_metadata" not in docs.columns and "locator" not in docs.columns:
+    if not {"_metadata", LOCATOR} & set(docs.columns):
         try:
-            found = docs.withColumn("locator", place)
-            found.schema  # noqa: B018
-            return found
+            return docs.withColumn(LOCATOR, place)
         except AnalysisException:
             pass
-    docs = docs.drop("locator", "_metadata")
-    return stored(docs.sparkSession, docs, "located").withColumn("locator", place)
+    docs = docs.drop(LOCATOR, "_metadata")
+    return stored(docs.sparkSession, docs, "located").withColumn(LOCATOR, place)
+
+
+#: Keys that are broadcast at most to take rows out; more are joined by a shuffle.
+BROADCAST_GONE = 100_000
+
+
+def dropped(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in gone; a null key is never in it."""
+    gone = stored(docs.sparkSession, gone.select(F.col(key).alias("gone_")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_GONE
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["gone_"], "left_anti")
+
+
+def where_rows(docs: DataFrame, column: str, keep) -> DataFrame:
+    """The rows of docs of which keep(Arrow column) is true, with all their columns; nothing is shuffled."""
+    from .words import slices
+
+    at = docs.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(keep(part.column(at)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sha256_hex(values: list[bytes]) -> list[str]:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .components import components
 from .words import BASE, Words, counted, mix, powers, shingles, slices
 
@@ -48,7 +48,7 @@ BROADCAST_IDS = 1_000_000
 #: Documents of a bucket that are all held against each other at once.
 FEW = 6
 #: Shingles and documents of one side of a block pair, about; larger buckets are dealt out as pairs of blocks.
-BLOCK, BLOCK_DOCS = 1 << 19, 4096
+BLOCK, BLOCK_DOCS = 1 << 19, 1024
 #: Samples in which the signatures of a pair must agree for its texts to be compared.
 AGREE = 14
 #: Text scanned at a time; the samples of its shingles take many times as much.
@@ -350,5 +350,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns; rows without doc_id stay, as each is a class of its own."""
-    gone = classes(docs, threshold).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("stays")).where("not stays").select("gone_id")
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    gone = classes(docs, threshold).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays")
+    return dropped(docs, gone, "doc_id")

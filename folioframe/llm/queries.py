@@ -34,7 +34,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.drop("item_ids", "near_ids")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator", "keep_locator")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +97,17 @@ cand AS MATERIALIZED (
   FROM dw, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
 occ AS MATERIALIZED (SELECT c.doc_id, c.i, c.n, x.item_id FROM cand c JOIN win x ON c.phrase = x.phrase AND c.n = x.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM occ), LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY doc_id),
+pos AS MATERIALIZED (SELECT doc_id, w, i, w[i] AS term FROM dw, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+freq AS MATERIALIZED (SELECT term, count(*) AS n FROM pos GROUP BY term),
+wt AS MATERIALIZED (SELECT phrase, min(n) AS n, list_distinct(string_split(phrase, ' ')) AS terms FROM win GROUP BY phrase),
+rare AS MATERIALIZED (SELECT phrase, terms, arg_min(t, f.n) AS term FROM (SELECT phrase, terms, unnest(terms) AS t FROM wt) x LEFT JOIN freq f ON f.term = x.t GROUP BY phrase, terms HAVING count(f.n) = count(*)),
+around AS (SELECT p.doc_id, r.phrase, r.terms, p.w, p.i FROM pos p JOIN rare r ON p.term = r.term WHERE list_has_all(p.w[greatest(p.i - 25, 1) : p.i + 25], r.terms)),
+close AS (SELECT DISTINCT doc_id, phrase FROM around WHERE len(list_filter(range(greatest(i - 25, 1), i + 1), lambda s: list_has_all(w[s : s + 25], terms))) > 0),
+nears AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT c.doc_id, CAST(x.item_id AS VARCHAR) AS id FROM close c JOIN win x ON c.phrase = x.phrase) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(s.n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(s.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
-FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN its s USING (doc_id)""",
+  sha256(coalesce(s.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(r.n, 0) AS BIGINT) AS n_near_items, sha256(coalesce(r.ids, '')) AS near_sha256
+FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN its s USING (doc_id) LEFT JOIN nears r USING (doc_id)""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(coalesce(text, '')) DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, stored
+from .common import held_out, stored, where_rows
 from .words import Prefix, Words, mix, slices
 
 #: Labelled rows that a fit reads at most, and features that it keeps at most.
@@ -190,6 +190,6 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
-    bad = scored(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs.doc_id == bad.bad_id, "left_anti")
+    """The documents not predicted toxic, with all their columns; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # at most MAX_FEATURES and the identity terms' features
+    return where_rows(docs, "text", lambda texts: pa.array(1 / (1 + np.exp(-shared.value.logits(Words(texts)))) < 0.5))

@@ -46,9 +46,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of the batch that hold about `most` bytes of text; a longer row is a slice alone."""
-    _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+    _, offsets = text_bytes(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
     row, n = 0, batch.num_rows
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1

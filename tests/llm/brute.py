@@ -44,6 +44,23 @@ def contamination(docs, items, size=13):
     return out
 
 
+def near_items(docs, items, size=13, span=26):
+    windows = {(frozenset(w[k : k + size]), str(i)) for i, text in items for w in [words(text)] for k in range(max(1, len(w) - size + 1) if w else 0)}
+    out = {}
+    for i, text in docs:
+        w, found = words(text), set()
+        places = defaultdict(list)
+        for k, x in enumerate(w):
+            places[x].append(k)
+        for terms, item in windows:
+            if item not in found and all(t in places for t in terms):
+                rare = min(terms, key=lambda t: len(places[t]))
+                if any(terms <= set(w[s : s + span]) for p in places[rare] for s in range(max(0, p - span + 1), p + 1)):
+                    found.add(item)
+        out[i] = sorted(found)
+    return out
+
+
 def base_licenses(text):
     w, places, labels = words(text), [], set()
     for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
