@@ -5,7 +5,9 @@ regular expression. Only rules whose keyword the text contains are run; a detect
 that lies inside another is suppressed if the other has a higher priority, or the same priority and more words. The
 three base phrases are told apart from the rules: their places are all counted and their labels always stay.
 
-Everything is one projection of a row: nothing is shuffled, and a text with many detections stays with its row.
+Everything is one projection of a row: nothing is shuffled, and a text with many detections stays with its row. Work is in
+proportion to a text: each word carries its number, so a match tells where it stands, and detections are sorted and held
+only against those whose range can reach theirs.
 
 Defined results: null counts as empty; a text without detections has n_base 0, null words, empty labels and score 0;
 repeated rows are scanned each alone; an empty table gives no rows; other columns pass through unread.
@@ -13,9 +15,9 @@ repeated rows are scanned each alone; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: The ASCII characters that are neither letters nor digits.
 OTHER = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -119,7 +121,7 @@ NOTICES = r"""
 mit | 60 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 isc | 60 | permission to use | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 bsd | 60 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-bsd | 55 | neither the name | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote
+bsd | 55 | neither the name | neither the name of(?: [^ \x01]+){1,12}? nor the names of its contributors may be used to endorse or promote
 apache | 60 | you may not use this file | you may not use this file except in compliance with the license
 apache | 65 | apache org | https? www apache org licenses license 2 0
 gpl | 60 | free software you can | this program is free software you can redistribute it and or modify it
@@ -170,56 +172,61 @@ def rules() -> list[tuple[str, int, str, str]]:
     return out
 
 
-def _literal(rows: list[tuple], names: tuple[str, ...]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+#: Detections of one block of the sorted list.
+BLOCK = 32
+#: A word's number, behind it in numbered text.
+NUMBER = r"\x01\d+"
 
 
-def _places(text: Column, pattern: Column) -> Column:
-    """[(start, end)] of a pattern's matches, in words: pieces between the matches tell where each one starts."""
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern)
-    step = lambda acc, m: F.struct(
-        (acc["i"] + 1).alias("i"),
-        (acc["at"] + F.length(F.get(between, acc["i"])) - F.length(F.translate(F.get(between, acc["i"]), " ", "")) + _blanks(m)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + _blanks(F.get(between, acc["i"]))).alias("start"), (acc["at"] + _blanks(F.get(between, acc["i"])) + _blanks(m) + 1).alias("end")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(matches, zero, step, lambda acc: acc["out"])
+def numbered_pattern(pattern: str) -> str:
+    """The pattern for text in which each word is followed by its number."""
+    words = re.split(r" (\??)", pattern)  # what stands between spaces, and whether the space before it may be missing
+    return f"(?<= )(?:{''.join(w if k % 2 == 0 else f'(?:{NUMBER} )?' if w else NUMBER + ' ' for k, w in enumerate(words))}){NUMBER}"
+
+
+def _matches(rows: list[tuple[str, int, str, str]]) -> str:
+    """SQL: of each rule its label, priority and matches in `num`; patterns are literals, so a task compiles each once."""
+    none = "cast(array() as array<string>)"
+    each = [f"named_struct('label', '{label}', 'priority', {priority}, 'found', if(contains(flat, '{keyword}'), regexp_extract_all(num, r'{numbered_pattern(pattern)}', 0), {none}))" for label, priority, keyword, pattern in rows]
+    place = r"named_struct('start', int(regexp_extract(m, r'\x01(\d+)', 1)), 'end', int(regexp_extract(m, r'(\d+)$', 1)) + 1, 'priority', r.priority, 'label', r.label)"
+    return f"flatten(transform(array({', '.join(each)}), r -> transform(r.found, m -> {place})))"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: body with the value under a name, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _blanks(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, " ", ""))
+def _unsuppressed(found: str) -> str:
+    """SQL: the detections that no other one suppresses, in order of place.
+
+    Sorted detections are cut into blocks; a block is held against those up to itself that end late enough to reach its first
+    start, as what holds a detection starts no later, and no more words before it than the longest detection has.
+    """
+    inside = "e.start <= d.start and e.end >= d.end and (e.priority > d.priority or e.priority = d.priority and e.end - e.start > d.end - d.start)"
+    kept = f"filter(block, d -> not exists(near, e -> {inside}))"
+    near = "flatten(filter(blocks, b -> b[size(b) - 1].start >= block[0].start - longest and b[0].start <= block[size(block) - 1].start))"
+    each = f"transform(blocks, block -> {_bound(near, 'near', kept)})"
+    cut = f"transform(sequence(0, int((size(every) - 1) / {BLOCK})), i -> slice(every, i * {BLOCK} + 1, {BLOCK}))"
+    longest = "array_max(transform(every, d -> d.end - d.start))"
+    whole = _bound(cut, "blocks", _bound(longest, "longest", f"flatten({each})"))
+    return _bound(f"array_sort({found})", "every", f"if(size(every) = 0, every, {whole})")
 
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    # Every ASCII character that is no word's becomes a space, A-Z become a-z, and a space stands on each side of each
-    # word, so the spaces before a match count the words before it.
+    # Every ASCII character that is no word's becomes a space, A-Z become a-z, and a space stands on each side of each word.
     plain = F.translate(F.coalesce(F.col(text_column), F.lit("")), UPPER + OTHER, LOWER + " " * len(OTHER))
     flat = docs.select(F.col(id_column).alias("doc_id"), F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " {2,}", " ").alias("flat"))
-    flat = flat.withColumn("n_words", (_blanks(F.col("flat")) - 1).cast("long"))
-    base_rows = [(label, f"(?<= ){phrase}(?= )", phrase) for phrase, label in BASE.items()]
-    rule_rows = [(label, priority, keyword, f"(?<= )(?:{pattern})(?= )") for label, priority, keyword, pattern in rules()]
-    base, ruled = _literal(base_rows, ("label", "pattern", "keyword")), _literal(rule_rows, ("label", "priority", "keyword", "pattern"))
-    gate = reduce(lambda x, y: x | y, [F.contains(F.col("flat"), F.lit(k)) for k in GATE])
-
-    def run(all_rules: Column, priority) -> Column:
-        live = F.filter(all_rules, lambda r: F.contains(F.col("flat"), r["keyword"]))
-        each = F.transform(live, lambda r: F.transform(_places(F.col("flat"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), priority(r).alias("priority"), r["label"].alias("label"))))
-        return F.flatten(each)
-
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-    found = flat.select(
-        "doc_id",
-        "n_words",
-        F.when(gate, run(base, lambda r: F.lit(100))).otherwise(empty).alias("base"),
-        F.when(gate, run(ruled, lambda r: r["priority"])).otherwise(empty).alias("all"),
-    )
-    inside = lambda d, e: (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-    beats = lambda d, e: (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["end"] - e["start"] > d["end"] - d["start"]))
-    kept = found.withColumn("detections", F.filter("all", lambda d: ~F.exists("all", lambda e: inside(d, e) & beats(d, e))))
-    base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda d: d["label"])))
-    labels = F.array_sort(F.array_distinct(F.concat(F.transform("base", lambda d: d["label"]), F.transform("detections", lambda d: d["label"]))))
+    n_words = F.length("flat") - F.length(F.translate("flat", " ", "")) - 1
+    gate = " or ".join(f"contains(flat, '{k}')" for k in GATE)
+    number = "concat(' ', array_join(transform(split(trim(flat), ' '), (w, i) -> concat(w, '\\u0001', i)), ' '))"
+    base = [(label, 100, phrase, phrase) for phrase, label in BASE.items()]
+    both = _bound(number, "num", f"named_struct('base', {_matches(base)}, 'kept', {_unsuppressed(_matches(rules()))})")
+    empty = "cast(array() as array<struct<start:int,end:int,priority:int,label:string>>)"
+    found = flat.select("doc_id", n_words.cast("long").alias("n_words"), F.expr(f"if({gate}, {both}, named_struct('base', {empty}, 'kept', {empty}))").alias("found"))
+    kept = found.select("doc_id", "n_words", F.col("found.base").alias("base"), F.col("found.kept").alias("detections"))
+    label = lambda d: d["label"]
     strength = F.coalesce(F.array_max(F.transform(F.concat("base", "detections"), lambda d: d["priority"])), F.lit(0))
     return kept.select(
         "doc_id",
@@ -227,8 +234,8 @@ def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         F.size("base").cast("long").alias("n_base"),
         F.array_min(F.transform("base", lambda d: d["start"])).cast("long").alias("first_word"),
         F.array_max(F.transform("base", lambda d: d["start"])).cast("long").alias("last_word"),
-        F.array_join(base_labels, ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("base", label))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat("base", "detections"), label))), ",").alias("labels"),
         (strength / F.lit(100.0)).alias("score"),
         "detections",
     )

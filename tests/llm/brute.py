@@ -71,6 +71,18 @@ def base_licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_detections(text, rules):
+    flat = " " + " ".join(words(text)) + " "
+    every = []
+    for label, priority, keyword, pattern in rules:
+        if keyword in flat:
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", flat):
+                start = flat.count(" ", 0, m.start()) - 1
+                every.append((start, start + m.group().count(" ") + 1, priority, label))
+    beats = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and e[1] - e[0] > d[1] - d[0])
+    return sorted(d for d in every if not any(beats(e, d) for e in every))
+
+
 def shingles(text, n=5):
     w = words(text)
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()

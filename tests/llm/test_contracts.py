@@ -1,6 +1,7 @@
 """Each corpus query against plain Python on whole small tables, and on tables made to be awkward."""
 
 import random
+import time
 
 import brute
 import pytest
@@ -132,6 +133,34 @@ def test_license_rules(spark):
     assert {r.doc_id: r.labels for r in licenses.scanned(df).collect()} == dict(enumerate(cases.values()))
 
 
+def test_license_detections(spark, sample):
+    """Detections, and which of them others suppress, against all pairs in plain Python; many in one text, and nested ones."""
+    rng = random.Random(4)
+    spells = """Licensed under the Apache License, Version 2.0|MIT License|GNU Lesser General Public License v2.1|SPDX-License-Identifier: GPL-3.0-or-later|released under the terms of the BSD 3-Clause License|Creative Commons Attribution NoDerivs 4.0|
+Attribution No Derivatives 3.0|CC BY-NC-SA 4.0|Copyright (c) 2001 2002|All rights reserved|Neither the name of the Foo Bar Group nor the names of its contributors may be used to endorse or promote|
+This program is free software; you can redistribute it and/or modify it|under the GNU General Public License as published by the Free Software Foundation|https://www.gnu.org/licenses/gpl-3.0|into the public domain|
+permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted|the mit license mit license apache license|Mozilla Public License, v. 2.0|word|other words|2.0|license"""
+    spells = [x.strip() for x in spells.split("|")]
+    texts = [". ".join(rng.choices(spells, k=k)) for k in (1, 2, 3, 5, 8, 40, 40, 200, 700) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(sample.select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text"))
+    texts, labels, found = dict(pairs(df)), {label for label, *_ in licenses.rules()}, set()
+    for r in licenses.scanned(df).collect():
+        want = brute.license_detections(texts[r.doc_id], licenses.rules())
+        assert sorted(map(tuple, r.detections)) == want
+        base = set(filter(None, brute.base_licenses(texts[r.doc_id])[4].split(",")))
+        assert r.labels == ",".join(sorted({d[3] for d in want} | base))
+        found |= {d[3] for d in want}
+    assert len(found) > 12 and found <= labels
+
+
+def test_license_time(spark):
+    """A megabyte of license lines, in seconds."""
+    line = "Licensed under the Apache License, Version 2.0. MIT License. GNU General Public License. "
+    began = time.time()
+    r = licenses.scanned(spark.createDataFrame([(1, line * 12_000)], "doc_id long, text string")).first()
+    assert r.n_base == 36_000 and len(r.detections) == 36_000 and time.time() - began < 60
+
+
 def test_pieces(docs, sample, nothing):
     import sentencepiece
 
