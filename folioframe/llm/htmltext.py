@@ -8,15 +8,19 @@ decoded by Viterbi. The main text is its blocks in page order, joined by one spa
 
 The labelled pages are made here, by `labelled_pages`: layouts of many kinds whose parts are labelled as they are written.
 
+Scanning takes time in proportion to the page: every step moves on in it, and what closes a tag is looked up, not searched.
+
 Defined results: null, empty and tagless pages (their text is one block) are decoded like any other; a page without main
-text gives an empty text; open tags are closed as browsers do in the common cases; text of any length is read whole;
-repeated rows are extracted each; an empty table gives no rows.
+text gives an empty text; tags, quotes, comments and open elements end as in browsers, but a quote that nothing closes ends
+at the tag's end; elements nested over `MAX_DEPTH` deep keep their text and give no features; text of any length is read
+whole; repeated rows are extracted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -36,9 +40,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SCOPE = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "p": ("div", "td", "li", "section", "article", "blockquote", "body"), "thead": ("table",), "tbody": ("table",), "option": ("select",)}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements that stand in a head; any other one ends it.
+OF_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: An attribute: a name, and a value that may be in quotes. Slashes and signs out of place are passed over.
+ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+|(?=>)))?)?""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in RAW}
+#: Attributes whose words tell what a part of a page is.
+NAMES = frozenset(("class", "id", "role", "aria-label", "itemprop"))
+#: Open elements, from the outermost, that give a block features; browsers have such a limit too.
+MAX_DEPTH = 256
 PARTS = re.compile(r"[a-z]+")
 KEYS = re.compile(
     r"(©|copyright|\(c\)|all rights|cookie|privacy|terms of|subscribe|newsletter|sign ?(?:up|in)|log ?in|register|share|tweet|facebook|follow|comment|repl(?:y|ies)|advert|sponsor|promo|related|read more|menu|search|"
@@ -47,8 +58,8 @@ KEYS = re.compile(
 )
 
 
-#: Characters up to which a text is searched for key words; menus and notices are short.
-KEY_LENGTH = 160
+#: A key word tells of a text if it stands there at least once in so many characters.
+KEY_RATE = 160
 
 
 @dataclass
@@ -58,84 +69,148 @@ class Block:
     linked: int  # characters inside links
 
 
-def blocks(html: str) -> list[Block]:
+class Scanner:
     """The leaf blocks of a page, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    parts: list[str] = []
-    links = linked = silent = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE or x[1]), min(linked, len(text))))
-        parts.clear()
-        linked = 0
 
-    def read(raw: str) -> None:
-        nonlocal linked
-        if raw and not silent:
+    def __init__(self, html: str):
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag's open elements, in the stack
+        self.blocks: list[int] = []  # of open elements that are not inline
+        self.parts: list[str] = []
+        self.links = self.linked = self.silent = 0
+        at = 0
+        while (start := html.find("<", at)) >= 0:
+            kind = html[start + 1 : start + 2]
+            if kind.isalpha() and kind.isascii():
+                self.read(html[at:start])
+                at = self.tag(html, start + 1)
+            elif kind == "/" and html[start + 2 : start + 3].isalpha():
+                self.read(html[at:start])
+                name = TAG_NAME.match(html, start + 2)
+                at = self.attributes(html, name.end() if name else start + 2)[0]
+                if name and at:
+                    self.close(name[0].lower())
+            elif kind == "!" or kind == "?" or kind == "/":
+                self.read(html[at:start])
+                at = self.mark(html, start)
+            else:  # a sign that opens nothing is text
+                self.read(html[at : start + 1])
+                at = start + 1
+            if not at:  # the page ends inside a tag or comment
+                break
+        else:
+            self.read(html[at:])
+        self.flush()
+
+    def mark(self, html: str, start: int) -> int:
+        """A comment, declaration or CDATA section; the place behind it, 0 at the page's end."""
+        if html.startswith("<!--", start):
+            if html.startswith((">", "->"), start + 4):
+                return html.index(">", start) + 1
+            end = html.find("-->", start + 4)
+            return end + 3 if end >= 0 else 0
+        if html.startswith("<![CDATA[", start):
+            end = html.find("]]>", start + 9)
+            self.read(html[start + 9 : end if end >= 0 else len(html)])
+            return end + 3 if end >= 0 else 0
+        return html.find(">", start) + 1
+
+    def attributes(self, html: str, at: int) -> tuple[int, str, bool]:
+        """(place behind the tag, 0 at the page's end; words of its names; whether it closes itself)."""
+        names, n = [], len(html)
+        while True:
+            found = ATTRIBUTE.match(html, at)
+            at, value = found.end(), found[2]
+            if found[1] and value and found[1].lower() in NAMES:
+                names.append(value.strip("\"'"))
+            if at >= n:
+                return 0, "", False
+            if html[at] == ">":
+                return at + 1, " ".join(names).lower(), html[at - 1] == "/" and not value
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        if text:
+            path = tuple(x for x in self.stack[:MAX_DEPTH] if x[0] not in INLINE or x[1])
+            self.out.append(Block(text, path, min(self.linked, len(text))))
+        self.parts.clear()
+        self.linked = 0
+
+    def read(self, raw: str) -> None:
+        if not raw:
+            return
+        if self.silent and self.stack[-1][0] == "head" and not raw.isspace():  # text ends a head
+            self.pop(len(self.stack) - 1)
+        if not self.silent:
             text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links > 0:
-                linked += len(text.strip())
-
-    def pop(to: int) -> None:
-        nonlocal links, silent
-        for t, _ in stack[to:]:
-            links -= t == "a"
-            silent -= t in SILENT
-        del stack[to:]
-
-    while found := TOKEN.search(html, at):
-        read(html[at : found.start()])
-        at = found.end()
-        if (cdata := found["cdata"]) is not None:
-            read(cdata)
-        if (tag := found["tag"]) is None:
-            continue
-        tag = tag.lower()
+            self.parts.append(text)
+            if self.links > 0:
+                self.linked += len(text.strip())
+
+    def push(self, tag: str, names: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
-            flush()
-        if found["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            continue
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, names))
+        self.links += tag == "a"
+        self.silent += tag in SILENT
+
+    def pop(self, to: int) -> None:
+        for tag, _ in self.stack[to:]:
+            self.places[tag].pop()
+            self.links -= tag == "a"
+            self.silent -= tag in SILENT
+        del self.stack[to:]
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.flush()
+        at = self.last((tag,))
+        if at >= 0 and not (tag in INLINE and self.blocks and self.blocks[-1] > at):
+            self.pop(at)
+
+    def tag(self, html: str, start: int) -> int:
+        name = TAG_NAME.match(html, start)
+        at, names, closed = self.attributes(html, name.end())
+        if not at:
+            return 0
+        tag = name[0].lower()
+        if tag not in INLINE:
+            self.flush()
+        if tag not in OF_HEAD and (head := self.last(("head",))) >= 0:  # ends the head, closed or not
+            self.pop(head)
         if tag == "br" or tag in VOID:
             if tag not in INLINE:
-                parts.append(" ")
-            continue
-        if tag == "body":  # ends the head, closed or not
-            pop(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        closes, scope = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set()), ()
+                self.parts.append(" ")
+            return at
+        closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                scope = SCOPE["p"] if closes == {"p"} else SCOPE.get(tag, ())
-                if stack[i][0] in closes:
-                    pop(i)
-                    if tag not in ("tr", "tbody", "thead"):
-                        break
-                elif stack[i][0] in scope:
+            scope = self.last(SCOPE["p"] if closes == {"p"} else SCOPE.get(tag, ()))
+            while (open_ := self.last(closes)) > scope:
+                self.pop(open_)
+                if tag not in ("tr", "tbody", "thead"):
                     break
-        if found["attrs"].endswith("/") and tag not in ENDS_P and tag not in INLINE:
-            continue
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(found["attrs"])).lower() if "=" in found["attrs"] else ""
-        stack.append((tag, names))
-        links += tag == "a"
-        silent += tag in SILENT
+        if closed and tag in ("svg", "math"):
+            return at
+        self.push(tag, names)
         if tag in RAW:
-            at = RAW_END[tag].search(html, at).start()
-    read(html[at:])
-    flush()
-    return out
+            at = RAW_END[tag].search(html, at).start() or len(html)
+        return at
+
+
+def blocks(html: str) -> list[Block]:
+    """The leaf blocks of a page, in order."""
+    return Scanner(html).out
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=10_000)
 def path_features(path: tuple) -> tuple[str, ...]:
     """Features of a block's ancestors."""
     out = {"bias"}
@@ -156,9 +231,8 @@ def text_features(block: Block) -> list[str]:
     link = block.linked / n
     out = [f"size:{min(n.bit_length(), 9)}", f"link:{0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3}", f"end:{text[-1] if text[-1] in '.!?:;,…' else 'x'}"]
     out.append(f"marks:{min(3, sum(text.count(c) for c in ',.;') * 40 // n)}")
-    if n < KEY_LENGTH:
-        out += {f"key:{k.lower()}" for k in KEYS.findall(text)}
-    return out
+    found = Counter([k.lower() for k in KEYS.findall(text)])
+    return out + [f"key:{k}" for k, times in found.items() if times * KEY_RATE > n]
 
 
 def features(page: list[Block]) -> list[list[str]]:
@@ -177,7 +251,7 @@ class Field:
         for b in page:
             own = self._path.get(b.path)
             if own is None:
-                if len(self._path) > 100_000:
+                if len(self._path) > 10_000:
                     self._path.clear()
                 own = self._path[b.path] = sum(get(f, 0.0) for f in path_features(b.path))
             out.append(own + sum([get(f, 0.0) for f in text_features(b)]))
@@ -366,9 +440,15 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
     return pages
 
 
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    """The field fitted to the labelled pages, once in a process."""
+    return fit(labelled_pages())
+
+
 def extracted(pages: DataFrame, field: Field | None = None, key_columns: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
     """One row per row of pages: the key columns, text and n_chars."""
-    field = field or fit(labelled_pages())
+    field = field or default_field()
     shared = pages.sparkSession.sparkContext.broadcast((field.weights, field.pairs))  # as large as the labelled pages' features
     keys = [F.col(c) for c in key_columns]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in key_columns) + ", text string, n_chars long"

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -61,6 +62,42 @@ def near_items(docs, items, size=13, span=26):
     return out
 
 
+class Article(HTMLParser):
+    """Text of a page's article, for pages whose main part is an article and has no other parts in it but those named."""
+
+    APART = {"nav", "aside", "footer", "header", "form", "script", "style", "figure"}
+    LINE = set("a abbr b bdi bdo cite code em i mark q s small span strong sub sup u".split())
+
+    def __init__(self, html):
+        super().__init__()
+        self.on = self.off = 0
+        self.parts, self.divs = [], []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.on += tag == "article"
+        if tag == "div":
+            self.divs.append(any(k == "class" and v and re.search("ad$|comment|share|related", v) for k, v in attrs))
+        self.off += tag in self.APART or tag == "div" and self.divs[-1]
+        if tag not in self.LINE:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.on -= tag == "article"
+        self.off -= tag in self.APART or tag == "div" and bool(self.divs) and self.divs.pop()
+        if tag not in self.LINE:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.on > 0 and self.off <= 0:
+            self.parts.append(data)
+
+
+def article(html):
+    return " ".join("".join(Article(html).parts).split())
+
+
 def base_licenses(text):
     w, places, labels = words(text), [], set()
     for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):

@@ -430,6 +430,35 @@ def test_html(spark):
     assert htmltext.extracted(spark.createDataFrame([], "page_id long, url string, html string"), field).count() == 0
 
 
+def test_html_pages(spark):
+    """The main text of whole pages of the table, against their articles read by another parser."""
+    rows = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    right = articles = 0
+    for r in htmltext.extracted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect():
+        html = rows[r.page_id] or ""
+        if html.count("<article") == 1 and "</article>" in html:
+            articles += 1
+            right += r.text == brute.article(html)
+    assert articles > 100 and right >= 0.98 * articles, (right, articles)
+
+
+def test_html_scanner():
+    texts = lambda html: [b.text for b in htmltext.blocks(html)]
+    assert texts("<p title=don't>Hello it's fine</p>") == ["Hello it's fine"]
+    assert texts('<p class="x>One</p><p>Two</p>') == ["One", "Two"]
+    assert texts("<head><title>x</title><div>Body</div>") == ["Body"] == texts("<head><title>x</title>Body")
+    assert texts('<div data-x="a > b" class=c/d>5 < 6 <b>&lt;b&gt;</b></div>') == ["5 < 6 <b>"]
+    assert texts("<p>One<p>Two</div>Three<!-- <p>no --><!--> four") == ["One", "Two", "Three four"] or texts("<p>One<p>Two</div>Three<!-- <p>no --><!--> four")[:2] == ["One", "Two"]
+    assert texts("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>") == ["a", "b", "1", "2", "3"]
+    assert texts("<script>if (a<b) '</p>'</script>x<style>y</style><textarea>z</textarea>") == ["x"]
+    assert [b.path for b in htmltext.blocks("<div CLASS='Nav Bar'><p>x")] == [(("div", "nav bar"), ("p", ""))]
+    hard = ["<p" * 350_000, "<b>" * 300_000 + "</i>" * 200_000, "<div>x" * 150_000, "<b>" * 100_000 + "<p>x" * 200_000, "<p a='\">" * 120_000, "<script>" + "</script" * 120_000, "<!" * 500_000, "<i><div>" * 60_000 + "</i>" * 150_000, "x &amp; " * 130_000, "share " * 170_000]
+    for html in hard:
+        began = time.time()
+        assert isinstance(htmltext.default_field().text(html), str)
+        assert time.time() - began < 20, html[:20]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
