@@ -7,32 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.llm import decontam, exactdedup, neardup, pieces, toxicity
-from folioframe.llm.common import stored, table
+from folioframe.llm.common import small_batches, stored, table
 from folioframe.llm.queries import piece_model_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts toxic go."""
+    """Documents that the classifier predicts toxic go; null and empty texts are judged like others, each row by its text."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest stays."""
+    """Of documents equal but for white space one row stays, the longest; null and empty texts are equal."""
     return exactdedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the smallest doc_id stays."""
+    """Of each class of near-duplicates, the smallest doc_id stays; texts without words and rows without doc_id all stay."""
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words in benchmark passages go."""
+    """Documents with a twentieth of their words in benchmark passages go; texts without words stay, each row is judged by its text."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of each document."""
+    """Token counts and digests of the ids and of the decoded text of each document; a null text is empty."""
+    small_batches(spark)
     return pieces.encoded(docs, piece_model_path(), digests=True)
 
 

@@ -11,6 +11,7 @@ FOLDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -20,8 +21,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+#: Rows of an Arrow batch. Whole texts are long, so Spark's 10,000 rows fill some hundred megabytes of both JVM and Python.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has a setting of its own."""
+    if spark.conf.get(ARROW_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session. Without one only a local session may go on."""
+    small_batches(spark)
     jsc, context = spark.sparkContext._jsc.sc(), spark.sparkContext
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()

@@ -36,6 +36,8 @@ SHARE = 20
 SPAN = 26
 #: Test text that one pass broadcasts at most, in bytes.
 BLOCK_BYTES = 16 << 20
+#: Text of a shard of the index, about.
+SHARD_BYTES = 1 << 20
 #: Candidate starts held at a time.
 CANDIDATES = 1 << 19
 U64 = np.uint64
@@ -79,7 +81,7 @@ def index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     def invert(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SHARD_BYTES):
                 words = Words(part.column("text"))
                 order = np.argsort(words.hash, kind="stable")
                 terms, first = np.unique(words.hash[order], return_index=True)

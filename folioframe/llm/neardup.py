@@ -52,7 +52,7 @@ BLOCK, BLOCK_DOCS = 1 << 19, 1024
 #: Samples in which the signatures of a pair must agree for its texts to be compared.
 AGREE = 14
 #: Text scanned at a time; the samples of its shingles take many times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Where a document of a bucket is dealt to.
 DEALT = "array<struct<i:int,j:int,first:boolean,second:boolean>>"
 U64 = np.uint64

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 BLANK = "▁"
 #: Marks before which a word may be cut, where the pieces allow it.
 MARKS = ".,;:!?|#$%&*()\"'-/"
-#: Units whose encoding a worker keeps.
-KEPT = 600_000
+#: Units whose encoding a worker keeps, twice over: when so many are new, those before the last time go.
+KEPT = 120_000
 UNKNOWN, NORMAL, BYTE = 2, 1, 6
 
 
@@ -64,6 +64,7 @@ class PieceModel:
         self.units = re.compile((f"[{alone}]|" if alone else "") + rf"{word}| *[^ {alone}]+| +").findall
         self.fits: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, best rank first and leftmost among equals, until no pair makes a piece."""
@@ -130,11 +131,13 @@ class PieceModel:
 
     def _unit(self, unit: str) -> tuple[str, str]:
         """Ids joined by spaces, and their text."""
-        ids = self.unit_ids(unit)
-        text = self._text(ids)
+        got = self.old.get(unit)
+        if got is None:
+            ids = self.unit_ids(unit)
+            text = self._text(ids)
+            got = " ".join(map(str, ids)), unit if text == unit else text
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        got = " ".join(map(str, ids)), unit if text == unit else text
+            self.old, self.kept = self.kept, {}
         if len(unit) <= 64:
             self.kept[unit] = got
         return got
@@ -149,8 +152,8 @@ class PieceModel:
         """The ids with the end id, joined by spaces, and the text that they decode to."""
         if not text:
             return str(self.end), ""
-        get, new = self.kept.get, self._unit
-        got = [get(u) or new(u) for u in self.units(" " + text.replace(BLANK, " "))]
+        new = self._unit
+        got = [self.kept.get(u) or new(u) for u in self.units(" " + text.replace(BLANK, " "))]
         return " ".join([g[0] for g in got]) + f" {self.end}", "".join([g[1] for g in got])[1:]
 
     def encode(self, text: str) -> list[int]:
