@@ -8,7 +8,8 @@ added, and the k rows of largest sum are a sample without replacement in proport
 The raw model counts all rows, the target model all rows labelled good. The k-th largest key is found by counting keys in ever finer bins, so no task sorts all rows.
 
 Defined results: null and wordless texts have log importance 0; without good rows the models are equal and all log
-importances 0; equal keys are taken by smaller doc_id; repeated rows are sampled each; an empty table gives no rows.
+importances 0; exactly k rows are selected if there are so many: equal keys are taken by smaller doc_id, rows without one
+last and with noise drawn from their text, then in stored order; repeated rows are sampled each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,8 +70,12 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
-    """(key, identifier) of the k-th row by key, largest first, then by doc_id, smallest first; None if k is no row's rank."""
+#: Order of rows with one key: by identifier, rows without one last, then by place in the stored table.
+TIES = ("unnamed", "doc_id", "row")
+
+
+def kth_largest(keys: DataFrame, k: int):
+    """(key, unnamed, doc_id, row) of the k-th row by key, largest first, then by TIES; None if k is no row's rank."""
     n = keys.count()
     if not 0 < k <= n:
         return None
@@ -92,8 +97,7 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
             break
     inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
     # A few rows, or rows of one key; in either case those up to the wanted one are taken in order.
-    r = inside.orderBy(F.desc("key"), "doc_id").offset(k - above - 1).limit(1).first()
-    return r.key, r.doc_id
+    return inside.select("key", *TIES).orderBy(F.desc("key"), *TIES).offset(k - above - 1).limit(1).first()
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
@@ -114,15 +118,24 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
             for part in slices(batch):
                 row, bucket = buckets(part.column("text"))
                 sums = np.bincount(row, weights=ratio.value[bucket], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64))], ["doc_id", "log_importance", "n_grams"])
-
-    weighed = docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {id_type}, log_importance double, n_grams long")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = stored(spark, weighed.withColumn("key", F.col("log_importance") - F.log(-F.log(uniform))), "importance")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("salt"), pa.array(sums), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64))], ["doc_id", "salt", "log_importance", "n_grams"])
+
+    salted = docs.select("doc_id", F.xxhash64("text").alias("salt"), "text")
+    weighed = salted.mapInArrow(weigh, f"doc_id {id_type}, salt long, log_importance double, n_grams long")
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("salt", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    uniform = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    weighed = weighed.withColumns({"key": F.col("log_importance") - F.log(-F.log(uniform)), "unnamed": F.col("doc_id").isNull(), "row": F.monotonically_increasing_id()})
+    keyed = stored(spark, weighed.drop("salt"), "importance")
     if k is None:
         share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
         k = round(keyed.count() * (1.0 if share is None else share))
     limit = kth_largest(keyed, k)
-    selected = F.lit(k > 0) if limit is None else (F.col("key") > limit[0]) | ((F.col("key") == limit[0]) & (F.col("doc_id") <= limit[1]))
+    if limit is None:
+        selected = F.lit(k > 0)
+    else:  # up to the k-th row, in order of key and TIES
+        same = F.col("doc_id").eqNullSafe(F.lit(limit.doc_id)) & (F.col("row") <= limit.row)
+        before = F.coalesce(F.col("doc_id") < F.lit(limit.doc_id), F.lit(False)) | same
+        tied = (F.col("unnamed") < F.lit(limit.unnamed)) | ((F.col("unnamed") == F.lit(limit.unnamed)) & before)
+        selected = (F.col("key") > limit.key) | ((F.col("key") == limit.key) & tied)
     score = 1 / (1 + F.exp(-4 * F.col("log_importance") / F.greatest("n_grams", F.lit(1))))
     return keyed.select("doc_id", "log_importance", "n_grams", "key", score.alias("score"), selected.alias("selected"))

@@ -8,8 +8,8 @@ character wins; ties go to the first name in order. Rejection is calibrated on t
 a text is rejected if its cross-entropy is above the `REJECT` quantile of theirs, and the temperature of the score is the
 one that makes their labels likeliest.
 
-The fit reads at most `max_rows` rows of each language that are not held out, chosen by a hash of the identifier.
-Predictions read the text alone, whole.
+The fit reads at most `max_rows` rows of each language that are not held out, chosen by a hash of the identifier; a repeated
+identifier is one row. Predictions read the text alone, whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is every text if nothing could be
 learned; rows without lang teach nothing; repeated rows are predicted each; an empty table gives no rows.
@@ -29,6 +29,9 @@ from .words import Prefix, mix, slices, text_bytes
 ORDER = 4
 #: Training rows of each language, at most; one in this many of them is set aside for calibration.
 MAX_ROWS, ASIDE = 300, 5
+#: Languages that are learned, at most, those of most rows; and characters of a training row, at most. Longer rows teach
+#: nothing, so what the driver holds is bounded; predictions read texts of any length.
+MAX_LANGUAGES, MAX_CHARS = 200, 20_000
 DISCOUNT = 0.75
 #: Characters that a model spreads its last probability over.
 ALPHABET = 1000
@@ -102,6 +105,7 @@ class Model:
     langs: list[str]
     grams: dict = field(default_factory=dict)  # order -> (sorted hashes, log probability of each language)
     contexts: dict = field(default_factory=dict)  # order -> (sorted hashes, log back-off of each language)
+    unknown: np.ndarray | None = None  # log probability of a character that no language has, for each of them
     temperature: float = 1.0
     limit: float = np.inf
 
@@ -130,7 +134,7 @@ class Model:
         at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
         known = hashes[at] == keys
         total[among[known]] += logs[at[known]]
-        total[among[~known]] += np.log(1.0 / ALPHABET)
+        total[among[~known]] += self.unknown
         per_word = np.add.reduceat(total, np.cumsum(text.size) - text.size) if len(text.size) else np.zeros((0, k))
         chars = np.bincount(text.row, weights=text.size[text.word], minlength=n)
         sums = np.stack([np.bincount(text.row, weights=per_word[text.word, j].astype(float), minlength=n) for j in range(k)], 1) if n else np.zeros((0, k))
@@ -159,6 +163,7 @@ def fit_texts(texts: dict[str, list[str]]) -> Model:
         both = np.concatenate(everything, 1)
         _, at = np.unique(both[0], return_index=True)
         union[order] = both[1][at], both[2][at]
+    model.unknown = np.zeros(len(langs), np.float32)
     for j, lang in enumerate(langs):
         lower = None
         for order in range(1, ORDER + 1):
@@ -168,7 +173,9 @@ def fit_texts(texts: dict[str, list[str]]) -> Model:
             full[np.searchsorted(keys, own)] = n
             if order == 1:
                 p = (np.maximum(full - DISCOUNT, 0) + DISCOUNT * len(own) / ALPHABET) / max(1.0, full.sum())
-                p = np.maximum(p, 0.1 / ALPHABET / max(1.0, full.sum()))
+                least = 0.1 / ALPHABET / max(1.0, full.sum())
+                p = np.maximum(p, least)
+                model.unknown[j] = np.log(max(DISCOUNT * len(own) / ALPHABET / max(1.0, full.sum()), least))
             else:
                 lower_key, ctx = union[order]
                 all_ctx = model.contexts[order][0]
@@ -226,14 +233,22 @@ def _counts(letters: Letters, often: np.ndarray) -> dict[int, tuple]:
     return out
 
 
+def training_rows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(lang, k, text): at most max_rows rows of each language, in the order of k; none that are held out."""
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    rows = docs.select("doc_id", "lang", "text").where(usable & (F.length("text") <= MAX_CHARS))
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("of")).withColumnRenamed("doc_id", "id")
+    often = ids.groupBy(F.col("of").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
+    ranked = ids.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= max_rows)
+    chosen = ranked.join(F.broadcast(often), ranked.of == often.lang, "left_semi")
+    picked = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # max_rows of MAX_LANGUAGES
+    return picked.groupBy("lang", "k").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
-    """Learn from at most max_rows rows of each language that are not held out; None if there are none."""
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = rows.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where(F.col("k") <= max_rows)
-    chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "k")
-    picked = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # max_rows of each language
+    """Learn from the training rows; None if there are none."""
     got: dict[str, list[str]] = {}
-    for r in picked.select("lang", "k", "text").toLocalIterator():
+    for r in training_rows(docs, max_rows).toLocalIterator():
         got.setdefault(r.lang, []).append((r.k, r.text))
     got = {lang: [t for _, t in sorted(found)] for lang, found in got.items()}
     return fit_texts(got) if got else None

@@ -9,7 +9,8 @@ Only the fit uses labels, on a sample of at most `max_rows` labelled rows that a
 identifier. Scores read the text alone, whole.
 
 Defined results: null and empty texts get the score of a text without features; without labelled rows of both kinds,
-each text gets the share of toxic rows, or 0 if there are none; repeated rows are scored each; an empty table gives no rows.
+each text gets the share of toxic rows, kept from 0 and 1 by a billionth; repeated rows are scored each and teach once, by
+the first of their texts in order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,11 +134,17 @@ def fit_rows(texts: list[np.ndarray], labels: np.ndarray, features: np.ndarray,
     return Model(features, w, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most max_rows labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most max_rows labelled documents that are not held out; a repeated doc_id is one row."""
     chosen = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows of two numbers
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Learn from the training rows."""
+    texts = training_rows(docs, labels, max_rows)
 
     def features(batches):
         for batch in batches:
@@ -151,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 row, feature = row[new], feature[new]
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "features"])
 
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<long>")
+    rows = texts.select(F.xxhash64("doc_id").alias("doc_id"), "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<long>")
     rows = stored(docs.sparkSession, rows.withColumn("toxic", F.greatest(F.lit(0), F.least(F.lit(1), "toxic"))), "toxicity")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen = np.unique(np.concatenate([t for kind in TERMS for t in kind]))

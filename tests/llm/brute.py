@@ -1,6 +1,7 @@
 """Plain Python versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -143,6 +144,57 @@ def near_classes(rows, threshold=0.8):
     return {i: find(i) for i in ids}
 
 
+class KneserNey:
+    """Interpolated Kneser-Ney over the characters of padded words, as a recursion over orders."""
+
+    def __init__(self, texts, order, discount, alphabet):
+        self.order, self.d, self.alphabet = order, discount, alphabet
+        raw = {k: defaultdict(int) for k in range(1, order + 1)}
+        for w in (w for t in texts for w in self.words(t)):
+            for end in range(2, len(w) + 1):
+                for k in range(1, min(order, end) + 1):
+                    raw[k][w[end - k : end]] += 1
+        self.n = {order: dict(raw[order])}
+        for k in range(order - 1, 0, -1):
+            left = defaultdict(set)
+            for gram in raw[k + 1]:
+                left[gram[1:]].add(gram)
+            self.n[k] = {g: len(left[g]) or c for g, c in raw[k].items()}
+        self.total, self.kinds = defaultdict(float), defaultdict(int)
+        for k in range(1, order + 1):
+            for g, c in self.n[k].items():
+                self.total[k, g[:-1]] += c
+                self.kinds[k, g[:-1]] += 1
+
+    @staticmethod
+    def words(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
+        out, word = [], ""
+        for old, c in zip(text or "", low):
+            if old.isalpha():
+                word += c
+            elif word:
+                out.append(word)
+                word = ""
+        return ["\x01" + w + "\x02" for w in out + [word] * bool(word)]
+
+    def p(self, gram):
+        k, total, n = len(gram), self.total[len(gram), gram[:-1]], self.n[len(gram)].get(gram, 0)
+        if k == 1:
+            kinds = len(self.n[1])
+            return max((max(n - self.d, 0) + self.d * kinds / self.alphabet) / max(1, total), 0.1 / self.alphabet / max(1, total))
+        back = self.d * self.kinds[k, gram[:-1]] / total if total else 1.0
+        return (max(n - self.d, 0) / total if total else 0.0) + back * self.p(gram[1:])
+
+    def entropy(self, text):
+        n, total = 0, 0.0
+        for w in self.words(text):
+            for end in range(2, len(w) + 1):
+                n += 1
+                total -= math.log(self.p(w[max(0, end - self.order) : end]))
+        return total / max(1, n), n
+
+
 def removed(rows, n=50):
     first, out = {}, {}
     for i, text in sorted(rows):

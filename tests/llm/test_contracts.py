@@ -376,8 +376,76 @@ def test_langid(spark, docs, nothing, sample):
     assert langid.identified(nothing, model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    """The chances of all characters after a context, unseen ones included, are one."""
+def test_kneser_ney_against_plain_python(sample):
+    """Cross-entropies of whole texts against an interpolated Kneser-Ney model written as a recursion."""
+    import pyarrow as pa
+
+    texts = {lang: [r.text for r in sample.where(F.col("lang") == lang).orderBy("doc_id").limit(12).collect()] for lang in ("en", "de")}
+    model = langid.fit_texts(texts)
+    tested = [r.text for r in sample.orderBy(F.desc("doc_id")).limit(6).collect()] + ["ab", "", "Zürich 12 naïve", "ŷŷŷ"]
+    entropy, chars = model.entropy(langid.Letters(pa.array(tested)))
+    for j, lang in enumerate(model.langs):
+        plain = brute.KneserNey([t for i, t in enumerate(texts[lang]) if i % langid.ASIDE], langid.ORDER, langid.DISCOUNT, langid.ALPHABET)
+        for i, text in enumerate(tested):
+            want, n = plain.entropy(text)
+            assert chars[i] == n and abs(entropy[i, j] - want) < 1e-4 * max(1, want)
+
+
+def test_bounds_hold_for_repeated_rows(spark):
+    rows = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("the same text "), F.col("id") % 2).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(1, 1)] * 5, "doc_id long, toxic int")
+    assert toxicity.training_rows(rows, labels, max_rows=5).count() == 1
+    assert langid.training_rows(rows, max_rows=3).count() == 1
+    more = spark.range(4000).select(F.col("id") % 400, F.concat(F.lit("text "), F.col("id") % 400), F.when(F.col("id") % 2 == 0, "en").otherwise("de")).toDF("doc_id", "text", "lang")
+    assert langid.training_rows(more, max_rows=30).count() == 60
+    assert toxicity.training_rows(more, more.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), max_rows=50).count() == 50
+
+
+def test_toxicity_scores_against_plain_python(spark, sample):
+    """A score is the sigmoid of the bias and the weights of a text's distinct features; held-out rows alone are judged."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folioframe.llm.words import Words
+
+    big = "/root/testdata/sf0.1"
+    all_docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = toxicity.fit(all_docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    scores = {r.doc_id: r.score for r in toxicity.scored(sample, model).collect()}
+    for i, text in pairs(sample):
+        found = {f for w in set(brute.words(text)) for f in toxicity.word_features(Words(pa.array([w])))[1].tolist()}
+        assert abs(scores[i] - 1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in found)))) < 1e-9
+    held = [r for r in toxicity.scored(all_docs, model).join(labels, "doc_id").collect() if r.held_out]
+    hits = [r for r in held if r.predicted]
+    assert len(held) > 40 and sum(r.toxic for r in hits) >= 0.9 * len(hits) and sum(r.toxic for r in hits) >= 0.85 * sum(r.toxic for r in held)
+    assert not np.isnan(model.weights).any()
+
+
+def test_importance_against_plain_python(spark, sample):
+    """Log importances by counting every text's n-grams one after the other."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    grams = {i: Counter(importance.buckets(pa.array([t or ""]))[1].tolist()) for i, t in pairs(sample)}
+    raw, target = Counter(), Counter()
+    for i, c in grams.items():
+        raw.update(c)
+        target.update(c if i in good else {})
+    n, m, b = sum(raw.values()), sum(target.values()), importance.BUCKETS
+    for r in importance.resampled(sample, labels).collect():
+        want = sum(k * (math.log((target[x] + 1) / (m + b)) - math.log((raw[x] + 1) / (n + b))) for x, k in grams[r.doc_id].items())
+        assert abs(r.log_importance - want) < 1e-6 * max(1, abs(want)) and r.n_grams == sum(grams[r.doc_id].values())
+
+
+def test_kneser_ney_is_defined():
+    """Characters in and out of the alphabet have finite entropies, and single characters' chances are at most one."""
     import numpy as np
     import pyarrow as pa
 
@@ -400,16 +468,21 @@ def test_importance(spark, docs, nothing):
     kept = [good[i] for i in want if i in good]
     assert sum(kept) / len(kept) > 0.95
     for n in (0, 1, 5, 10**6):
-        assert importance.resampled(docs, labels, k=n).where("selected").count() in (min(n, docs.count()), min(n, docs.count()) + 1)
+        assert importance.resampled(docs, labels, k=n).where("selected").count() == min(n, docs.count())
+    for n in (150, 399):  # ties: rows that repeat, with and without an identifier
+        twins = spark.createDataFrame([(None if i % 3 else i % 2, "one text") for i in range(400)], "doc_id long, text string")
+        got = importance.resampled(twins, labels, k=n)
+        assert got.where("selected is null").count() == 0 and got.where("selected").count() == n
     assert importance.resampled(nothing, labels).count() == 0
     assert {r.log_importance for r in importance.resampled(docs, labels.where("false")).collect()} == {0.0}
 
 
 def test_kth_with_ties(spark):
-    df = spark.range(5000).selectExpr("id as doc_id", "cast(id % 3 as double) as key")
+    df = spark.range(5000).selectExpr("id as doc_id", "cast(id % 3 as double) as key", "false as unnamed", "id as row")
     rows = sorted(((r.key, r.doc_id) for r in df.collect()), key=lambda r: (-r[0], r[1]))
     for k in (1, 1666, 1667, 3000, 5000):
-        assert importance.kth_largest(df, k) == rows[k - 1]
+        got = importance.kth_largest(df, k)
+        assert (got.key, got.doc_id) == rows[k - 1]
     assert importance.kth_largest(df, 5001) is None
 
 
