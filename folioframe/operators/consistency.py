@@ -26,16 +26,18 @@ def _icon_beside(items: DataFrame, icons: DataFrame, width: float, above: bool)
     """(page, id) of items with another icon above, or to the left."""
     a, b = box("a_"), box("b_")
     if above:
-        reach = Box(b.x, b.y, b.w, b.h + F.lit(int(0.1 * width) + 1))
+        reach, reach_left = Box(b.x, b.y, b.w, b.h + F.lit(int(0.1 * width) + 1)), a
         gap, slack, most = a.y - b.bottom, 0.3 * b.h, F.lit(0.1 * width)
         beside = (b.x < a.right) & (b.right > a.x)
     else:
-        # The allowed distance grows with the item's height, which the icon's reach cannot know; 0.05 of the width bounds it.
-        reach = Box(b.x, b.y, b.w + (2.5 * F.greatest(b.h, F.lit(int(0.05 * width) + 1)) + 1).cast("long"), b.h)
+        # The allowed distance is in proportion to the larger height: each side reaches out by its own.
+        reach = Box(b.x, b.y, b.w + (2.5 * b.h + 1).cast("long"), b.h)
+        grown = (2.5 * a.h + 1).cast("long")
+        reach_left = Box(a.x - grown, a.y, a.w + grown, a.h)
         gap, slack, most = a.x - b.right, 0.3 * b.w, 2.5 * F.greatest(a.h, b.h)
         beside = (b.y < a.bottom) & (b.bottom > a.y)
     other = (a.x != b.x) | (a.y != b.y) | (a.w != b.w) | (a.h != b.h)
-    pairs = touching(items, icons, reach).where(other & (gap >= -slack) & (gap <= most) & beside)
+    pairs = touching(items, icons, reach, reach_left=reach_left).where(other & (gap >= -slack) & (gap <= most) & beside)
     return pairs.select(F.col("a_page").alias("page"), F.col("a_id").alias("id")).distinct()
 
 

@@ -58,9 +58,9 @@ def moving_majority(df: DataFrame, key: str, order: str, value: str, reach: int)
     return df.withColumn("smooth", (F.avg(F.col(value).cast("double")).over(w) > 0.5).cast("int"))
 
 
-def numbered(df: DataFrame, partition: str, order: list[str]) -> DataFrame:
-    """Adds number: 1, 2, ... within the partition."""
-    return df.withColumn("number", F.row_number().over(Window.partitionBy(partition).orderBy(*order)).cast("int"))
+def numbered(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+    """Adds number: 1, 2, ... within the partition, as of a page's elements of one kind."""
+    return df.withColumn("number", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("int"))
 
 
 def repaired_numbers(labels: DataFrame) -> DataFrame:

@@ -17,14 +17,14 @@ def _cells(df: DataFrame, prefix: str, reach: Box, cell: int) -> DataFrame:
     return named.withColumn("cx_", F.explode(span(reach.x, reach.right))).withColumn("cy_", F.explode(span(reach.y, reach.bottom)))
 
 
-def touching(left: DataFrame, right: DataFrame, reach_right: Box | None = None, cell: int = CELL) -> DataFrame:
+def touching(left: DataFrame, right: DataFrame, reach_right: Box | None = None, cell: int = CELL, reach_left: Box | None = None) -> DataFrame:
     """Pairs of boxes of one page that share area, with columns a_* and b_*.
 
     Pages are joined by cell, so a page of any number of boxes spreads over many keys. A pair that meets in several
-    cells is kept in the cell of its intersection's upper left corner. reach_right enlarges the boxes of the right side
-    for the meeting alone; its columns have the prefix b_.
+    cells is kept in the cell of its intersection's upper left corner. reach_right and reach_left enlarge the boxes of a side
+    for the meeting alone; their columns have the prefixes b_ and a_.
     """
-    a, b = box("a_"), reach_right or box("b_")
+    a, b = reach_left or box("a_"), reach_right or box("b_")
     one = _cells(left, "a_", a, cell)
     other = _cells(right, "b_", b, cell).withColumnsRenamed({"cx_": "dx_", "cy_": "dy_"})
     corner = (F.floor(F.greatest(a.x, b.x) / cell) == F.col("cx_")) & (F.floor(F.greatest(a.y, b.y) / cell) == F.col("cy_"))

@@ -180,10 +180,12 @@ def moving_majority(spark, sf_dir):
     return sequences.moving_majority(relation(spark, sf_dir, "turns"), "conv_id", "turn", "bit", 1).select("conv_id", "turn", "smooth")
 
 
-@query(f"""{with_('boxes')} SELECT id, CASE WHEN w >= 80 THEN 'picture' ELSE 'icon' END AS kind, CAST(row_number() OVER (PARTITION BY page ORDER BY w < 80, id) AS INT) AS number FROM boxes""")
+@query(f"""{with_('boxes')} SELECT id, CASE WHEN w >= 80 THEN 'picture' ELSE 'icon' END AS kind, CAST(row_number() OVER (PARTITION BY page, w >= 80 ORDER BY id) AS INT) AS number, CAST(row_number() OVER (PARTITION BY page ORDER BY w < 80, id) AS INT) AS place FROM boxes""")
 def kind_numbers(spark, sf_dir):
+    """Elements in drawing order, pictures before icons, each named by its kind and its number among the page's of that kind."""
     df = boxes(spark, sf_dir).withColumn("kind", F.when(F.col("w") >= 80, "picture").otherwise("icon")).withColumn("small", F.col("w") < 80)
-    return sequences.numbered(df, "page", ["small", "id"]).select("id", "kind", "number")
+    placed = sequences.numbered(df, ["page"], ["small", "id"]).withColumnRenamed("number", "place")
+    return sequences.numbered(placed, ["page", "kind"], ["id"]).select("id", "kind", "number", "place")
 
 
 @query(f"""{with_('labels2')}, p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, id) - 1 AS i, count(*) OVER (PARTITION BY page) AS n, try_cast(translate(text, 'Oo', '00') AS INT) AS v FROM labels2),
@@ -331,15 +333,35 @@ def train_adopt(spark, sf_dir):
     return learning.model_row(spark, learning.trained(samples(spark, sf_dir)))
 
 
-@query(f"""{with_('boxes')}, k AS (SELECT * FROM boxes WHERE id % 3 = 0), d AS (SELECT page, id, x + 3 AS x, y + 2 AS y, w, h FROM boxes WHERE id % 4 = 1),
-  m AS (SELECT a.id, max({INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE))) AS iou FROM boxes a JOIN d b ON a.page = b.page AND {INTER} > 0 GROUP BY a.id),
-  j AS (SELECT a.*, coalesce(iou, 0) AS near, EXISTS (SELECT 1 FROM k WHERE k.page = a.page AND k.x = a.x AND k.y = a.y AND k.w = a.w AND k.h = a.h) AS same FROM boxes a LEFT JOIN m ON a.id = m.id),
-  l AS (SELECT *, CASE WHEN id % 5 = 0 THEN near > 0.4 ELSE same OR near > 0.3 END AS keep FROM j)
-SELECT page, id, CAST(keep AS INT) AS keep, CASE WHEN id % 5 = 0 AND NOT keep THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS weight FROM l""")
+_KIND = "CASE WHEN w >= 80 THEN 'picture' ELSE 'icon' END"
+# Every match is made anew by comparing all boxes of a page; a drawn box that decides for none is a row of its own.
+_EDITS = f"""{with_('boxes')}, auto AS (SELECT *, {_KIND} AS kind, id % 5 = 0 AS rejected, id % 3 = 0 AND id % 5 <> 0 AS same FROM boxes),
+  drawn AS (SELECT page, id, x + 3 AS x, y + 2 AS y, w, h, CASE WHEN id % 8 = 1 THEN 'picture' ELSE 'icon' END AS kind FROM boxes WHERE id % 4 = 1
+    UNION ALL SELECT page, 1000000 + id, x + 500, y, w, h, 'icon' FROM boxes WHERE id % 10 = 2),
+  pair AS (SELECT a.id, b.id AS d, b.kind AS dk, {INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE)) AS iou FROM auto a JOIN drawn b ON a.page = b.page AND {INTER} > 0),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, d) AS r FROM pair) WHERE r = 1),
+  j AS (SELECT a.*, d, dk, NOT same AND coalesce(iou, 0) > CASE WHEN rejected THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS met FROM auto a LEFT JOIN best ON a.id = best.id),
+  missed AS (SELECT * FROM drawn WHERE id NOT IN (SELECT d FROM j WHERE met))"""
+
+
+def _edited(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = boxes(spark, sf_dir)
+    auto = b.withColumn("kind", F.when(F.col("w") >= 80, "picture").otherwise("icon")).withColumn("state", F.when(F.col("id") % 5 == 0, "rejected").otherwise("kept"))
+    drawn = b.where("id % 4 = 1").withColumns({"x": F.col("x") + 3, "y": F.col("y") + 2, "kind": F.when(F.col("id") % 8 == 1, "picture").otherwise("icon")})
+    apart = b.where("id % 10 = 2").withColumns({"x": F.col("x") + 500, "id": F.col("id") + 1_000_000, "kind": F.lit("icon")})
+    return auto, b.where("id % 3 = 0"), drawn.unionByName(apart)
+
+
+@query(f"""{_EDITS} SELECT page, id, 'auto' AS src, CASE WHEN met THEN dk WHEN rejected THEN 'icon' ELSE kind END AS kind, CAST(same OR met AS INT) AS keep,
+  CASE WHEN rejected AND NOT met THEN CAST(0.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS weight FROM j UNION ALL SELECT page, id, 'drawn', kind, 1, CAST(1.0 AS DOUBLE) FROM missed""")
 def explicit_feedback(spark, sf_dir):
-    auto = boxes(spark, sf_dir).withColumn("state", F.when(F.col("id") % 5 == 0, "rejected").otherwise("kept"))
-    drawn = boxes(spark, sf_dir, "id % 4 = 1").withColumns({"x": F.col("x") + 3, "y": F.col("y") + 2})
-    return learning.explicit_samples(auto, boxes(spark, sf_dir, "id % 3 = 0"), drawn)
+    return learning.explicit_samples(*_edited(spark, sf_dir))
+
+
+@query(f"""{_EDITS} SELECT page, CAST(sum(t) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS changed FROM (SELECT page, CAST(NOT rejected AS INT) AS t, CASE WHEN rejected THEN CAST(met AS INT) ELSE CAST(NOT same AS INT) END AS c FROM j
+  UNION ALL SELECT page, 1, 1 FROM missed) GROUP BY page""")
+def edit_history(spark, sf_dir):
+    return learning.edit_history(*_edited(spark, sf_dir))
 
 
 @query(f"""{with_('boxes')} SELECT page AS key, id, CAST(id % 5 <> 0 AS INT) AS keep, CASE WHEN id % 5 = 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS weight FROM boxes WHERE page % 3 <> 0 AND page % 7 <> 1""")
@@ -456,8 +478,8 @@ def find_inconsistent(spark, sf_dir):
     cards = relation(spark, sf_dir, "cards")
     place = lambda dx, dy, w, h: {"x": F.col("x") + dx, "y": F.col("y") + dy, "w": F.lit(w).cast("long"), "h": F.lit(h).cast("long")}
     columns = ["page", "id", "x", "y", "w", "h"]
-    texts = cards.where("has_text = 1").withColumns(place(32, 13, 114, 28)).select(*columns, F.lit("title").alias("text"))
-    marks = cards.where("has_icon = 1").withColumns(place(44, -76, 60, 60)).withColumn("id", -1 - F.col("id")).select(*columns)
+    texts = cards.where("has_text = 1").withColumns(place(30, 14, 110, 28)).select(*columns, F.lit("title").alias("text"))
+    marks = cards.where("has_icon = 1").withColumns(place(40, -70, 50, 50)).withColumn("id", -1 - F.col("id")).select(*columns)
     return inconsistent(texts, cards.select(*columns).unionByName(marks), 1672.0)
 
 

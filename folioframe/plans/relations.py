@@ -12,7 +12,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
         CAST(400 - (p_partkey % 8) * 50 + 150 + CASE WHEN p_size % 5 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS p FROM part"""),
     "labels2": ("part", """SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST((p_partkey % 12) * 30 AS BIGINT) AS y,
         CASE WHEN p_size % 7 = 0 THEN 'O' || CAST(p_partkey % 10 AS VARCHAR(9)) ELSE lpad(CAST(p_partkey % 12 + 1 AS VARCHAR(9)), 2, '0') END AS text FROM part"""),
-    "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(66 + 207 * (p_partkey % 4) AS BIGINT) AS x, CAST(629 AS BIGINT) AS y, CAST(177 AS BIGINT) AS w, CAST(54 AS BIGINT) AS h,
+    "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(48 + 210 * (p_partkey % 4) AS BIGINT) AS x, CAST(500 AS BIGINT) AS y, CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 180 ELSE 200 END AS BIGINT) AS w, CAST(56 AS BIGINT) AS h,
         CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS has_text, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS has_icon FROM part"""),
     "turns": ("conversations", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE role END AS role, CAST(length(text) % 2 AS INT) AS bit, length(text) % 4 = 0 AS flag, CAST(length(text) AS BIGINT) AS n FROM conversations"""),
     "votes": ("events", """SELECT CAST(user_id AS BIGINT) AS grp, event_type AS choice, CAST(value AS DOUBLE) AS score, CAST(event_id AS BIGINT) AS seq FROM events"""),
@@ -26,8 +26,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, sql = RELATIONS[name]
-    spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return spark.sql(sql.replace("VARCHAR(9)", "STRING"))
+    return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
 
 def with_(*names: str) -> str:

@@ -71,13 +71,13 @@ def strips(recovered: DataFrame) -> DataFrame:
 
 def fallback_words(spark: SparkSession, path: str) -> DataFrame:
     """The fallback engine's words: tab-separated, never quoted, of enough confidence."""
-    words = spark.read.schema(TSV).option("sep", "\t").option("quote", "").option("header", True).csv(path)
+    words = spark.read.schema(TSV).option("sep", "\t").option("quote", "").option("header", True).csv(path).withColumn("file", F.input_file_name())
     return words.where((F.col("conf") >= LEAST_CONF) & (F.trim("text") != ""))
 
 
 def fallback_lines(words: DataFrame) -> DataFrame:
-    """Words of a line, less outliers of 1.8 times the line's median height, cut at gaps of 1.5 times the tallest so far."""
-    key = ["block_num", "par_num", "line_num"]
+    """Words of a line of one file's page, less outliers of 1.8 times the line's median height, cut at gaps of 1.5 times the tallest so far."""
+    key = ["file", "page_num", "block_num", "par_num", "line_num"]
     tall = words.withColumn("median", F.median("height").over(Window.partitionBy(*key))).where(F.col("height") < 1.8 * F.col("median"))
     rows = tall.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("left", "top", "width", "height", "text"))).alias("words"))
     empty = F.expr("filter(array(words), x -> false)")

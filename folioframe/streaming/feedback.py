@@ -14,9 +14,9 @@ def stream(spark: SparkSession, path: str, schema: str = SAMPLES) -> DataFrame:
     return spark.readStream.schema(schema).json(path).withColumn("at", F.timestamp_seconds("t"))
 
 
-def once_per_key(samples: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first sample of each key, within the watermark."""
-    return samples.withWatermark("at", late).dropDuplicatesWithinWatermark(["key"])
+def once_per_key(samples: DataFrame) -> DataFrame:
+    """The first sample of each key, once for good: state keeps every key, without expiry."""
+    return samples.dropDuplicates(["key"])
 
 
 def windowed_acceptance(history: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:

@@ -32,7 +32,7 @@ def test_tick_chains(spark):
     assert [(r.grp, r.n, round(r.k, 6), round(r.zero, 6)) for r in rows] == [(1, 6, -0.05, 400.0)]
 
 
-LABELS = [(66 + 207 * i, 629, 177, 54) for i in range(4)]
+LABELS = [(40 + 180 * i, 300, 150, 48) for i in range(5)]
 
 
 def page_texts(spark, rows):
@@ -40,15 +40,23 @@ def page_texts(spark, rows):
 
 
 def test_row_with_some_texts_missing(spark):
-    texts = page_texts(spark, [(98, 642, 116, 28), (307, 642, 114, 28)])
-    assert {r.x for r in inconsistent(texts, boxes(spark, LABELS), 1672.0).collect()} == {480, 687}
+    texts = page_texts(spark, [(60 + 180 * i, 312, 100, 24) for i in (0, 1, 3)])
+    assert {r.x for r in inconsistent(texts, boxes(spark, LABELS), 1500.0).collect()} == {400, 760}
 
 
-@pytest.mark.parametrize("have, lone", [((1, 2, 3), {66}), ((0, 1, 2, 3), set())])
+@pytest.mark.parametrize("have, lone", [((0, 1, 2, 4), {580}), ((0, 1, 2, 3, 4), set()), ((2,), set())])
 def test_row_with_an_icon_missing(spark, have, lone):
-    texts = page_texts(spark, [(98 + 207 * i, 642, 116, 28) for i in range(4)])
-    icons = boxes(spark, LABELS + [(110 + 207 * i, 553, 60, 60) for i in have])
-    assert {r.x for r in inconsistent(texts, icons, 1672.0).collect()} == lone
+    texts = page_texts(spark, [(60 + 180 * i, 312, 100, 24) for i in range(5)])
+    icons = boxes(spark, LABELS + [(80 + 180 * i, 230, 50, 50) for i in have])
+    assert {r.x for r in inconsistent(texts, icons, 1500.0).collect()} == lone
+
+
+def test_icon_far_left_of_a_tall_label(spark):
+    """A tall label's icon may stand two and a half of its heights away, whatever the page's width."""
+    labels = [(600, 100 + 260 * i, 500, 160) for i in range(4)]
+    icons = boxes(spark, labels + [(180, 150 + 260 * i, 40, 40) for i in (0, 1, 3)])
+    got = inconsistent(page_texts(spark, [(620, 120 + 260 * i, 60, 20) for i in range(4)]), icons, 1500.0).collect()
+    assert {(r.y, r.reason) for r in got if r.w == 500} == {(620, "icon")}
 
 
 def test_paragraphs(spark):
@@ -90,6 +98,9 @@ def test_fallback_engine(spark, tmp_path):
     (tmp_path / "w.tsv").write_text(head + "".join(f"5\t1\t{b}\t{p}\t{n}\t1\t{left}\t5\t{w}\t{h}\t{c}\t{t}\n" for b, p, n, left, w, h, c, t in words))
     got = ocr.fallback_lines(ocr.fallback_words(spark, str(tmp_path / "w.tsv"))).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.segment)] == ['Say" hi', "far"]
+    (tmp_path / "w.tsv").write_text(head + "".join(f"5\t{page}\t1\t1\t0\t1\t{left}\t5\t40\t20\t90\t{t}\n" for page, left, t in ((1, 10, "one"), (1, 55, "page"), (2, 20, "other"))))
+    got = ocr.fallback_lines(ocr.fallback_words(spark, str(tmp_path / "w.tsv"))).collect()
+    assert {(r.page_num, r.text) for r in got} == {(1, "one page"), (2, "other")}
 
 
 def test_logs_and_words(spark, tmp_path):
