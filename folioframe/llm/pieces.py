@@ -23,7 +23,7 @@ BLANK = "▁"
 #: Marks before which a word may be cut, where the pieces allow it.
 MARKS = ".,;:!?|#$%&*()\"'-/"
 #: Units whose encoding a worker keeps, twice over: when so many are new, those before the last time go.
-KEPT = 120_000
+KEPT = 80_000
 UNKNOWN, NORMAL, BYTE = 2, 1, 6
 
 
