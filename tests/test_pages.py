@@ -130,9 +130,13 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([([1.0], 1, "icon", None, 1.0, "edit", 10.0, "a"), ([1.0], 1, "icon", None, 1.0, "edit", 11.0, "a"), ([1.0], 0, "icon", None, 1.0, "edit", 12.0, "b")], files.SAMPLES)
     files.append(rows, str(tmp_path / "s"))
     seen = []
-    query = feedback.retrain(feedback.once_per_key(feedback.stream(spark, str(tmp_path / "s"))), lambda batch, n: seen.extend(r.key for r in batch.collect()), str(tmp_path / "c"))
-    query.awaitTermination()
+    run = lambda: feedback.retrain(feedback.once_per_key(feedback.stream(spark, str(tmp_path / "s"))), lambda batch, n: seen.extend(r.key for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
+    run()
     assert sorted(seen) == ["a", "b"]
+    late = spark.createDataFrame([([1.0], 1, "icon", None, 1.0, "edit", 10.0**9, "a"), ([1.0], 1, "icon", None, 1.0, "edit", 1.0, "c")], files.SAMPLES)
+    files.append(late, str(tmp_path / "s"))
+    run()  # a key seen long ago is known still
+    assert sorted(seen) == ["a", "b", "c"]
 
 
 def test_numbering(spark):
@@ -169,8 +173,6 @@ def test_kernels(spark):
     assert {(r.x, r.y, r.w, r.h, r.area) for r in got} == {(10, 10, 30, 10, 300), (100, 50, 20, 20, 200)}
     assert sum(r.n for r in kernels.color_codes(one).collect()) == 90 * 160
     assert [(r.bx, r.by) for r in kernels.difference(one, two).collect()] == [(2, 2)]
-    f = kernels.box_features(one, spark.createDataFrame([(1, 5, 10, 10, 30, 10)], "page_id long, id long, x long, y long, w long, h long")).first().f
-    assert f[0] == 30 / 160 and f[6] == 1.0 and f[-1] == 0.0
     assert len(kernels.page_keys(one).first().key) == 16
 
 
@@ -202,8 +204,71 @@ def test_grid_finds_every_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_training_counts_all_samples(spark, monkeypatch):
-    monkeypatch.setattr(learning, "MAX_SAMPLES", 50)
+def test_fit_against_another_solver():
+    """Enough steps lead to the optimum that Newton's method finds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200) > 0.3).astype(float)
+    w = rng.uniform(0.2, 1.0, 200)
+    m = learning.fit_logistic(x, y, w, steps=20_000)
+    z = np.column_stack([(x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), np.ones(200)])
+    c = np.where(y > 0.5, 0.5 / w[y > 0.5].sum(), 0.5 / w[y < 0.5].sum()) * w
+    penalty, beta = np.diag([0.05] * 4 + [0.0]), np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta - np.linalg.solve(z.T @ (z * (c * p * (1 - p))[:, None]) + penalty, z.T @ (c * (p - y)) + penalty @ beta)
+    assert np.allclose(m["beta"], beta, atol=1e-6)
+
+
+@pytest.mark.parametrize("new, old, scores, who", [
+    (False, False, {}, "rules"), (True, False, {}, "new"), (False, True, {}, "old"), (True, True, {"rules_only": 0.7, "new": 0.71, "current": 0.71}, "new"), (True, True, {"rules_only": 0.7, "new": 0.705, "current": 0.71}, "old"),
+    (True, True, {"rules_only": 0.7, "new": 0.72, "current": 0.73}, "old"), (True, True, {"rules_only": 0.7, "new": 0.726, "current": 0.73}, "new"), (True, True, {"rules_only": 0.7, "new": 0.6, "current": 0.65}, "rules"), (True, False, {"rules_only": 0.9, "new": 0.9}, "rules"),
+])
+def test_who_decides(new, old, scores, who):
+    assert learning.chosen(new, old, scores) == who
+
+
+def test_training(spark):
+    """Adoption, a worse rival that stays out, a pause, and kinds, on samples whose first feature tells the label."""
+    rng = np.random.default_rng(6)
+    rows = [(float(k), k, [float(k % 2) + rng.normal() * 0.1, float(rng.random())], k % 2, 1.0, "edit", "picture" if k % 6 == 1 else "icon", "icon") for k in range(60)]
+    df = spark.createDataFrame(rows, "t double, seq long, f array<double>, keep int, w double, src string, kind string, auto_kind string")
+    first = learning.trained(df)
+    assert first["adopted"] and first["version"] == 1 and first["exam"]["exam_size"] == 18 and first["exam"]["new"] == 1.0 and first["kind_switches"] == 10 and "kind" in first
+    bad = {"mu": [0.0, 0.0], "sd": [1.0, 1.0], "beta": [-9.0, 0.0, 4.5]}
+    second = learning.trained(df, {"keep": first["keep"], "version": 1})
+    assert second["adopted"] and second["version"] == 2 and second["exam"]["current"] == 1.0
+    noise = df.withColumn("f", F.array(F.col("f")[1], F.col("keep").cast("double")))  # the rules, the last feature, are right
+    third = learning.trained(noise, {"keep": bad, "version": 4})
+    assert not third["adopted"] and third.get("paused") and third["version"] == 4 and "keep" not in third
+    log = learning.evolution_row(spark, second, 7.0).first()
+    assert (log.t, log.version, log.adopted, log.n, log.current) == (7.0, 2, True, 60, 1.0)
+
+
+def test_merge_close_replay(spark):
+    """Against the plain rule: unite the first pair in order, and start again."""
+    rng = np.random.default_rng(9)
+    for k in range(3):
+        rows = [(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(*(rng.integers(lo, hi, 70) for lo, hi in ((0, 400), (0, 400), (5, 60), (5, 60))))]
+        want = [(x, y, x + w, y + h) for x, y, w, h in rows]
+
+        def first_pair():
+            for i, a in enumerate(want):
+                for j in range(i + 1, len(want)):
+                    b = want[j]
+                    u = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+                    gaps = [max(a[d], b[d]) - min(a[d + 2], b[d + 2]) for d in (0, 1)]
+                    if max(gaps) <= 4 and max(u[2] - u[0], u[3] - u[1]) <= 150:
+                        return i, j, u
+
+        while found := first_pair():
+            i, j, want[i] = found[0], found[1], found[2]
+            del want[j]
+        got = folds.merged_close(boxes(spark, rows), 4, 150).orderBy("seq").collect()
+        assert [(r.x, r.y, r.x + r.w, r.y + r.h) for r in got] == want
+
+
+def test_training_counts_all_samples(spark):
     rows = [(k, k, [float(k % 7), float(k % 2)], k % 4 // 3, 1.0, "page") for k in range(200)]
-    model = learning.trained(spark.createDataFrame(rows, "t long, seq long, f array<double>, keep int, w double, src string"))
+    model = learning.trained(spark.createDataFrame(rows, "t long, seq long, f array<double>, keep int, w double, src string"), max_samples=50)
     assert (model["n"], model["n_keep"], model["n_drop"]) == (200, 50, 150)
