@@ -122,7 +122,7 @@ def _unlike(norm: DataFrame, state: DataFrame, rows: DataFrame, text_column: str
     keys = hits.select(F.xxhash64("digest").alias("key"))
     few = hits.count() <= BROADCAST_KEYS
     texts = norm.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    texts = texts.select("digest", "locator", "norm").join(hits, "digest")
+    texts = stored(spark, texts.select("digest", "locator", "norm").join(hits, "digest"), "hits")  # read twice
     others = texts.where("locator <> keep_locator").select("digest", F.pmod(F.xxhash64("locator"), "copies").cast("int").alias("salt"), "norm")
     keepers = texts.where("locator = keep_locator").select("digest", "copies", F.col("norm").alias("keep_norm"))
     own = [r.file for r in rows.select("locator.file").distinct().collect()]  # names of files
