@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Bins by which a key's values are cut, so that no task sorts them all.
+BINS = 1024
+
+
 def percentiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.3, 0.6, 0.8, 0.9, 0.97, 0.99)) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the median."""
-    cols = [F.round(F.percentile(value, p), 6).alias(f"p{round(p * 100)}") for p in shares]
-    return df.groupBy(key).agg(F.round(F.median(value), 6).alias("median"), *cols)
+    """Exact percentiles with linear interpolation, and the median; null values are passed over.
+
+    Equal values are counted first. A key's values are cut into bins of equal width, and counts by bin tell in which bins
+    the wanted ranks lie; only those are put in order, each for itself.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))
+    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("long")
+    binned = counts.join(ends, key).withColumn("bin", bin_)
+    before = F.sum("m").over(Window.partitionBy(key).orderBy("bin")) - F.col("m")  # at most BINS rows of a key
+    starts = binned.groupBy(key, "bin").agg(F.sum("n").alias("m")).withColumn("start", before)
+    named = [("median", 0.5), *((f"p{round(p * 100)}", p) for p in shares)]
+    wanted = ends.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("all") - 1)).alias("at")) for name, p in named])).alias("w")).select(key, "w.*")
+    ranks = wanted.select(key, "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    hit = starts.join(ranks, key).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("m"))).select(key, "bin", "start", "name", "at", "rank")
+    inside = binned.join(hit.select(key, "bin").distinct(), [key, "bin"], "left_semi")
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy(key, "bin").orderBy("v"))).select(key, "bin", "v", "upto", (F.col("upto") - F.col("n")).alias("from"))
+    place = F.col("rank") - F.col("start")
+    found = hit.join(inside, [key, "bin"]).where((place >= F.col("from")) & (place < F.col("upto")))
+    low, high = (F.max_by("v", which) for which in (-F.col("rank"), F.col("rank")))
+    each = found.groupBy(key, "name").agg(F.round(low + (F.first("at") - F.floor(F.first("at"))) * (high - low), 6).alias("q"))
+    return each.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name, _ in named])
 
 
 def moments(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -56,16 +79,30 @@ def best_with_lead(df: DataFrame, key: str, choice: str, score: str, least: floa
     return flat.where((F.col(score) >= least) & (F.col(score) - F.coalesce("second_", F.lit(0.0)) >= lead)).drop("second_")
 
 
-def acceptance(history: DataFrame) -> DataFrame:
-    """One row per kind: n, and the rate of unchanged items over all, the first ten and the last ten entries, by time."""
-    up = Window.partitionBy("kind").orderBy("t", "seq")
-    down = Window.partitionBy("kind").orderBy(F.desc("t"), F.desc("seq"))
-    ranked = history.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
+#: Entries at either end of the history that have a rate of their own.
+ENDS = 10
 
-    def rate(cond: Column) -> Column:
-        return F.bround(1 - F.try_divide(F.sum(F.when(cond, F.col("changed"))), F.sum(F.when(cond, F.col("total")))), 3)
 
-    return ranked.groupBy("kind").agg(F.count("*").alias("n"), rate(F.lit(True)).alias("rate"), rate(F.col("up") <= 10).alias("first_rate"), rate(F.col("down") <= 10).alias("recent_rate"))
+def acceptance(history: DataFrame) -> DataFrame:
+    """One row per kind: n, and the rate of unchanged items over all, the first ten and the last ten entries, by time."""
+    rate = lambda total, changed: F.bround(1 - F.try_divide(changed, total), 3)
+    sums = history.groupBy("kind").agg(F.count("*").alias("n"), rate(F.sum("total"), F.sum("changed")).alias("rate"))
+    for name, order in (("first_rate", ("t", "seq")), ("recent_rate", (F.desc("t"), F.desc("seq")))):
+        # Each task keeps its first ten entries of a kind before any are shuffled.
+        some = history.withColumn("r_", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("r_") <= ENDS)
+        sums = sums.join(some.groupBy("kind").agg(rate(F.sum("total"), F.sum("changed")).alias(name)), "kind")
+    return sums
+
+
+def learning_stats(history: DataFrame, samples: DataFrame, fixes: DataFrame, seen: DataFrame, pages: DataFrame, kind: str) -> DataFrame:
+    """One row: how much was learned and how many of a kind's elements needed no change, first and of late."""
+    rates = acceptance(history.where(F.col("kind") == kind)).select("first_rate", "recent_rate")
+    n = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
+    out = n(samples, "samples")
+    for df, name in ((history, "corrections"), (fixes, "text_fixes"), (seen, "implicit_pages"), (pages, "pages")):
+        out = out.crossJoin(n(df, name))
+    labels = samples.agg(F.count_if(F.col("keep") == 1).alias("n_keep"), F.count_if(F.col("keep") == 0).alias("n_drop"))
+    return out.crossJoin(labels).join(rates, F.lit(True), "left")
 
 
 def idle(jobs: DataFrame, now: float, limit: float = 3600.0) -> DataFrame:

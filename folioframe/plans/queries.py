@@ -106,7 +106,13 @@ def nms_greedy(spark, sf_dir):
     return folds.greedy_dedupe(boxes(spark, sf_dir))
 
 
-@query()
+@query(f"""{with_('boxes')}, s AS MATERIALIZED (SELECT *, w * 7 % 100 AS score, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM boxes), f AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT, score BIGINT)[]) AS kept FROM (SELECT DISTINCT page FROM s)
+  UNION ALL
+  SELECT page, k, CASE WHEN pos IS NULL OR pos = 0 THEN list_append(kept, own) WHEN own.score > kept[pos].score THEN list_concat(list_concat(kept[1 : pos - 1], [own]), kept[pos + 1 : len(kept)]) ELSE kept END FROM (
+    SELECT f.page, s.k, f.kept, {{'id': s.id, 'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h, 'score': s.score}} AS own,
+      list_position(list_transform(f.kept, lambda b: {INTER.replace('a.', 's.')} / greatest(1, {UNION.replace('a.', 's.')}) >= 0.3), true) AS pos FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1))
+SELECT page, u.id FROM (SELECT page, unnest(kept) AS u FROM (SELECT page, kept, row_number() OVER (PARTITION BY page ORDER BY k DESC) AS r FROM f) WHERE r = 1)""")
 def keep_better(spark, sf_dir):
     return folds.keep_better(boxes(spark, sf_dir).withColumn("score", F.col("w") * 7 % 100), 0.3)
 
@@ -264,6 +270,18 @@ def acceptance_rates(spark, sf_dir):
     return votes.acceptance(relation(spark, sf_dir, "history"))
 
 
+@query(f"""{with_('history', 'samples', 'jobs', 'boxes')}, h AS (SELECT * FROM history WHERE kind = (SELECT min(kind) FROM history)),
+  r AS (SELECT *, row_number() OVER (ORDER BY t, seq) AS up, row_number() OVER (ORDER BY t DESC, seq DESC) AS down FROM h)
+SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM history) AS corrections, (SELECT count(DISTINCT stage) FROM jobs) AS text_fixes, (SELECT count(DISTINCT page) FROM boxes WHERE page % 3 = 0) AS implicit_pages,
+  (SELECT count(DISTINCT job) FROM jobs) AS pages, (SELECT count(*) FROM samples WHERE keep = 1) AS n_keep, (SELECT count(*) FROM samples WHERE keep = 0) AS n_drop,
+  (SELECT round_even(1 - sum(changed) / sum(total), 3) FROM r WHERE up <= 10) AS first_rate, (SELECT round_even(1 - sum(changed) / sum(total), 3) FROM r WHERE down <= 10) AS recent_rate""")
+def learning_stats(spark, sf_dir):
+    history, jobs = relation(spark, sf_dir, "history"), relation(spark, sf_dir, "jobs")
+    seen = boxes(spark, sf_dir, "page % 3 = 0").select("page").distinct()
+    kind = history.agg(F.min("kind")).first()[0]
+    return votes.learning_stats(history, relation(spark, sf_dir, "samples"), jobs.select("stage").distinct(), seen, jobs.select("job").distinct(), kind)
+
+
 @query(f"""{with_('jobs')} SELECT job, state, touched FROM (SELECT job, arg_max(state, t * 100000000 + seq) AS state, max(t) AS touched FROM jobs GROUP BY job) WHERE touched < 7900 - 100 AND state NOT IN ('queued', 'running')""")
 def idle_jobs(spark, sf_dir):
     return votes.idle(relation(spark, sf_dir, "jobs"), 7900.0, 100.0)
