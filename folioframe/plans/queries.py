@@ -303,8 +303,8 @@ def class_weights(spark, sf_dir):
 
 
 def samples(spark, sf_dir) -> DataFrame:
-    """Samples with the first 16 numbers of an embedding as features."""
-    f = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq"), F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")).alias("f"))
+    """Samples with an embedding's numbers as features."""
+    f = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq"), F.transform("embedding", lambda v: v.cast("double")).alias("f"))
     return relation(spark, sf_dir, "samples").join(f, "seq")
 
 
@@ -314,13 +314,13 @@ def exam_split(spark, sf_dir):
     return learning.exam_rows(relation(spark, sf_dir, "samples")).select("seq", "exam")
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS f, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS keep FROM embeddings),
-  d AS (SELECT q.vec_id AS id, s.vec_id AS seq, s.keep, sqrt(list_sum(list_transform(range(1, 17), lambda i: power((q.f[i] - s.f[i]) / 0.5, 2)))) AS d FROM e q, e s WHERE q.vec_id % 100 = 0),
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS keep FROM embeddings),
+  d AS (SELECT q.vec_id AS id, s.vec_id AS seq, s.keep, sqrt(list_sum(list_transform(range(1, len(q.f) + 1), lambda i: power((q.f[i] - s.f[i]) / 0.5, 2)))) AS d FROM e q, e s WHERE q.vec_id % 100 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, seq) AS r FROM d)
 SELECT id, round(sum(keep / (d + 0.3)) / sum(1 / (d + 0.3)), 9) AS vote, round(min(d), 9) AS nearest FROM r WHERE r <= 7 GROUP BY id""")
 def knn_vote(spark, sf_dir):
     s = samples(spark, sf_dir)
-    found = learning.nearest_votes(s.where("seq % 100 = 0").select(F.col("seq").alias("id"), "f"), s, [0.5] * 16)
+    found = learning.nearest_votes(s.where("seq % 100 = 0").select(F.col("seq").alias("id"), "f"), s, [0.5] * 64)
     return found.select("id", F.round("vote", 9).alias("vote"), F.round("nearest", 9).alias("nearest"))
 
 
@@ -413,6 +413,7 @@ def clean_text(spark, sf_dir):
 
 @query(r"""SELECT p_partkey, regexp_matches(p_name, array_to_string(list_transform(string_split(substr(p_brand, 1, 4), ''), lambda c: regexp_escape(c)), '.*')) AS sub FROM part""")
 def subsequence(spark, sf_dir):
+    """The needle is a brand's first four characters, as whole ones are in no name; the names are read whole."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
     return df.select("p_partkey", tx.is_subsequence(F.substring("p_brand", 1, 4), F.col("p_name")).alias("sub"))
 
@@ -435,6 +436,7 @@ def multiset_rest(spark, sf_dir):
   p AS (SELECT p_partkey, substr(p_name, a + 1, k) AS part FROM part, range(2, 5) t(k), range(0, 60) u(a) WHERE a + k <= length(p_name))
 SELECT p_partkey, CAST(max(coalesce(f.freq, 0)) AS INT) AS best FROM p LEFT JOIN f ON p.part = f.word GROUP BY p_partkey""")
 def word_freq(spark, sf_dir):
+    """The word list is made of the names' first three letters, as the tables have no list of words; the names are read whole."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     words = df.groupBy(F.substring("p_name", 1, 3).alias("word")).agg(F.max(F.length("p_name")).alias("freq"))
     parts = df.select("p_partkey", F.explode(tx.word_windows(F.col("p_name"))).alias("s")).select("p_partkey", "s.part")
