@@ -70,3 +70,14 @@ def joins_with_space(before: Column, after: Column) -> Column:
     """A space goes between two words only if both neighbouring characters are ASCII."""
     ascii_char = lambda c: (F.ascii(c) < 128) & (F.length(c) > 0)
     return ascii_char(F.right(before, F.lit(1))) & ascii_char(F.left(after, F.lit(1))) & ~F.right(before, F.lit(1)).rlike(r"^\s$")
+
+
+def short_tall_mixed(text: Column, w: Column, h: Column) -> Column:
+    """A line of up to three characters with a Latin letter, taller than wide: vertical text that was read across."""
+    t = F.trim(text)
+    return F.length(t).between(1, 3) & (h > w * 1.2) & (h > 60) & F.rlike(t, F.lit("[A-Za-z]"))
+
+
+def icon_like_character(text: Column, w: Column, h: Column, score: Column, least: float = 0.9) -> Column:
+    """A single tall CJK character of low score: rather an icon than text."""
+    return F.rlike(F.trim(text), F.lit("^[\\u3400-\\u9fff]$")) & (h > w * 1.2) & (h > 60) & (score < least)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geom, text as tx
 from ..functions.geom import box
-from ..operators import folds, learning, sequences, spatial, votes
+from ..operators import folds, learning, marks, sequences, spatial, votes
 from .relations import relation, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,3 +507,86 @@ def find_inconsistent(spark, sf_dir):
 SELECT conv_id, run, min(turn) AS first, max(turn) AS last, any_value(role) AS value, count(*) AS n FROM (SELECT *, CAST(sum(ch) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM i) GROUP BY conv_id, run""")
 def role_runs(spark, sf_dir):
     return sequences.islands(relation(spark, sf_dir, "turns").withColumn("role", F.coalesce("role", F.lit("-"))), "conv_id", "turn", "role")
+
+
+@query(f"""{with_('boxes')}, s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, id) AS k FROM boxes), f AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(page BIGINT, id BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT)[]) AS kept FROM (SELECT DISTINCT page FROM s)
+  UNION ALL
+  SELECT f.page, s.k, CASE WHEN len(list_filter(f.kept, lambda b: {INTER.replace('a.', 's.')} / {SMALLER.replace('a.', 's.')} > 0.6)) > 0 THEN f.kept
+    ELSE list_append(f.kept, {{'page': s.page, 'id': s.id, 'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h}}) END FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1)
+SELECT page, u.id FROM (SELECT page, unnest(kept) AS u FROM (SELECT page, kept, row_number() OVER (PARTITION BY page ORDER BY k DESC) AS r FROM f) WHERE r = 1)""")
+def rect_dedupe(spark, sf_dir):
+    return folds.greedy_dedupe(boxes(spark, sf_dir), 0.6, largest_first=True)
+
+
+@query(f"""{with_('boxes')} SELECT a.page, a.id AS disc_id, b.id AS line_id, round(sqrt(power(b.x + b.w / 2 - a.x - a.w / 2, 2) + power(b.y + b.h / 2 - a.y - a.h / 2, 2)), 6) AS distance FROM boxes a JOIN boxes b ON a.page = b.page AND a.id % 3 = 0 AND b.id % 3 <> 0
+  AND sqrt(power(b.x + b.w / 2 - a.x - a.w / 2, 2) + power(b.y + b.h / 2 - a.y - a.h / 2, 2)) < 0.7 * a.w""")
+def disc_texts(spark, sf_dir):
+    discs = boxes(spark, sf_dir, "id % 3 = 0").select("page", "id", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), F.col("w").cast("double").alias("r"))
+    found = marks.texts_in_discs(discs, boxes(spark, sf_dir, "id % 3 <> 0"))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""{with_('boxes')}, e AS (SELECT page, id, x + w // 2 AS m, y, y + h * 6 AS low FROM boxes)
+SELECT a.page, a.id AS left_id, b.id AS right_id, a.m AS x, greatest(a.y, b.y) AS y, b.m - a.m AS w, least(a.low, b.low) - greatest(a.y, b.y) AS h FROM e a JOIN e b ON a.page = b.page AND b.m - a.m >= 60 AND least(a.low, b.low) - greatest(a.y, b.y) >= 60""")
+def edge_pairs(spark, sf_dir):
+    return marks.edge_pairs(boxes(spark, sf_dir).withColumn("h", F.col("h") * 6), 60)
+
+
+_FONT_LINES = "SELECT page, id, CAST(10 + h / 2.0 AS DOUBLE) AS size, id % 5 * 20 AS r, id % 3 * 15 AS g, 0 AS b, CASE WHEN id % 4 = 0 THEN 'serif' ELSE 'sans' END AS family, w AS n FROM boxes"
+
+
+def _peer_round(name: str, source: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT page, id, size, r, g, b, n, CASE WHEN peers >= 3 AND family = 'serif' AND serif < CAST(0.45 AS DOUBLE) * total THEN 'sans' WHEN peers >= 3 AND family = 'sans' AND serif > CAST(0.55 AS DOUBLE) * total THEN 'serif' ELSE family END AS family FROM (
+    SELECT p.page, p.id, p.size, p.r, p.g, p.b, p.n, p.family, count(*) AS peers, sum(q.n) AS total, sum(CASE WHEN q.family = 'serif' THEN q.n ELSE 0 END) AS serif FROM {source} p JOIN {source} q ON p.page = q.page AND abs(q.size - p.size) < CAST(0.06 AS DOUBLE) * p.size
+      AND abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) < 90 GROUP BY ALL))"""
+
+
+@query(f"""{with_('boxes')}, l AS MATERIALIZED (SELECT * FROM ({_FONT_LINES}) WHERE size < 28), {_peer_round('one', 'l')}, {_peer_round('two', 'one')} SELECT page, id, family FROM two""")
+def peer_family(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    lines = b.select("page", "id", (10 + F.col("h") / 2).alias("size"), (F.col("id") % 5 * 20).alias("r"), (F.col("id") % 3 * 15).alias("g"), F.lit(0).alias("b"), F.when(F.col("id") % 4 == 0, "serif").otherwise("sans").alias("family"), F.col("w").alias("n"))
+    return marks.family_of_peers(lines)
+
+
+@query(f"""{with_('boxes')} SELECT page, id % 10 AS block, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST(round_even(min((w % 100) / CAST(100 AS DOUBLE)) * 100, 0) AS BIGINT) AS score, string_agg('line ' || id, chr(10) ORDER BY id) AS text FROM boxes GROUP BY page, id % 10""")
+def wire_blocks(spark, sf_dir):
+    lines = boxes(spark, sf_dir).select("page", (F.col("id") % 10).alias("block"), F.col("id").alias("line_no"), "x", "y", "w", "h", ((F.col("w") % 100) / 100).alias("score"), F.concat(F.lit("line "), F.col("id")).alias("text"))
+    return marks.wire_blocks(lines)
+
+
+@query(f"""{with_('turns')} SELECT conv_id, bool_or(flag) AS "any", bool_and(flag) AS "all" FROM turns GROUP BY conv_id""")
+def any_all(spark, sf_dir):
+    return marks.any_all(relation(spark, sf_dir, "turns"), "conv_id", F.col("flag"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name, p_size * 6.0 AS ink, 10.0 + p_size % 9 AS size, unnest(string_split(p_name, '')) AS ch FROM part), s AS (
+  SELECT p_partkey, CAST(ink AS DOUBLE) AS ink, CAST(size AS DOUBLE) AS size, length(p_name) AS n, sum(CAST(CASE WHEN ch = ' ' THEN 0.28 WHEN ch BETWEEN 'a' AND 'z' THEN 0.5 ELSE 1.0 END AS DOUBLE)) AS units FROM c GROUP BY ALL),
+  d AS (SELECT *, (ink * CAST(0.985 AS DOUBLE) - units * size) / n / size AS need FROM s), f AS (SELECT *, greatest(CAST(-0.06 AS DOUBLE), least(need, CASE WHEN need > CAST(0.1 AS DOUBLE) THEN CAST(1.6 AS DOUBLE) ELSE CAST(0.03 AS DOUBLE) END)) AS fit FROM d)
+SELECT 1 AS page, p_partkey AS id, round(fit, 9) AS fit, round(CASE WHEN need < CAST(-0.06 AS DOUBLE) THEN size * greatest(CAST(0.86 AS DOUBLE), least(CAST(1 AS DOUBLE), ink * CAST(0.985 AS DOUBLE) / (units * size + fit * n * size))) ELSE size END, 9) AS size FROM f""")
+def width_refit(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = parts.select(F.lit(1).alias("page"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), (F.col("p_size") * 6.0).alias("ink"), (10.0 + F.col("p_size") % 9).alias("size"))
+    letters = [(chr(k), 0.5) for k in range(ord("a"), ord("z") + 1)]
+    widths = spark.createDataFrame([(" ", 0.28), *letters], "ch string, width double")
+    return marks.refitted(lines, widths).select("page", "id", F.round("fit", 9).alias("fit"), F.round("size", 9).alias("size"))
+
+
+@query(f"""{with_('boxes')}, p AS (SELECT page, CAST(x AS DOUBLE) AS u, CAST(y AS DOUBLE) AS v, CAST(w + h * 3 AS DOUBLE) AS z FROM boxes),
+  k AS (SELECT page, regr_slope(u, v) AS uv, avg(u) - regr_slope(u, v) * avg(v) AS u0, regr_slope(z, v) AS zv, avg(z) - regr_slope(z, v) * avg(v) AS z0 FROM p GROUP BY page),
+  c AS (SELECT page, regr_slope(z - z0 - zv * v, u - u0 - uv * v) AS cu, avg(z) AS mz, avg(u) AS mu, avg(v) AS mv, any_value(zv) AS zv, any_value(uv) AS uv FROM p JOIN k USING (page) GROUP BY page HAVING count(*) >= 3)
+SELECT page, round(mz - cu * mu - (zv - cu * uv) * mv, 4) AS c0, round(cu, 6) AS cu, round(zv - cu * uv, 6) AS cv FROM c""")
+def plane_fit(spark, sf_dir):
+    points = boxes(spark, sf_dir).select("page", F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"), (F.col("w") + F.col("h") * 3).cast("double").alias("z"))
+    return marks.fitted_planes(points, "page").where("cu is not null").select("page", F.round("c0", 4).alias("c0"), F.round("cu", 6).alias("cu"), F.round("cv", 6).alias("cv"))
+
+
+_GLYPHS = "CASE p_partkey % 5 WHEN 0 THEN '高' WHEN 1 THEN 'a高' WHEN 2 THEN ' Ab ' WHEN 3 THEN 'abcd' ELSE '数据' END"
+
+
+@query(f"""SELECT p_partkey, length(trim(t)) BETWEEN 1 AND 3 AND h > w * CAST(1.2 AS DOUBLE) AND h > 60 AND regexp_matches(trim(t), '[A-Za-z]') AS mixed, length(trim(t)) = 1 AND trim(t) BETWEEN chr(13312) AND chr(40959) AND h > w * CAST(1.2 AS DOUBLE) AND h > 60 AND s < CAST(0.9 AS DOUBLE) AS icon
+FROM (SELECT p_partkey, {_GLYPHS} AS t, 20 + p_size AS w, 40 + p_size * 2 AS h, (p_partkey % 100) / CAST(100 AS DOUBLE) AS s FROM part)""")
+def glyph_tests(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_GLYPHS).alias("t"), (20 + F.col("p_size")).alias("w"), (40 + F.col("p_size") * 2).alias("h"), ((F.col("p_partkey") % 100) / 100).alias("s"))
+    c = F.col
+    return df.select("p_partkey", tx.short_tall_mixed(c("t"), c("w"), c("h")).alias("mixed"), tx.icon_like_character(c("t"), c("w"), c("h"), c("s")).alias("icon"))
