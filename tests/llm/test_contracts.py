@@ -570,3 +570,40 @@ def test_importance_counts_all_good_rows(spark):
     rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit(1).alias("quality"))
     got = importance.resampled(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
     assert got.where("log_importance <> 0").count() == 0 and got.count() == 20_500
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_pipeline_on_awkward_rows(spark, docs, tmp_path, rows):
+    """Nulls, repeated rows and identifiers, clashing columns and empty tables; each row's fate is that of its own text."""
+    import corpus_pipeline
+
+    awkward = docs.withColumn("locator", F.lit("x")).withColumn("class_id", F.lit(1))
+    bad = " ".join(f"b{k}" for k in range(40))
+    more = spark.createDataFrame([(7, bad), (7, "another text of this id"), (None, bad + " tail"), (None, None)], "doc_id long, text string")
+    table = awkward.unionByName(more, allowMissingColumns=True) if rows else awkward.where("false")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1), (4, 0), (None, 1), (3, 1), *((i, 0) for i in range(10, 22))] if rows else [], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, bad), (2, None)] if rows else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left, seen = read, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == read.columns, name
+        left.write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
+        seen.append(left.count())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == seen[-1]
+    if not rows:
+        assert got == []
+        return
+    keys = [exactdedup.normalised(F.col("text")).alias("k")]
+    assert spark.read.parquet(str(tmp_path / "exact_dedup")).select(*keys).distinct().count() == seen[1]
+    texts = [r.text or "" for r in left.collect()]
+    assert len([t for t in texts if not t.strip()]) == 1 and bad not in texts and bad + " tail" not in texts and "another text of this id" in texts
+
+
+def test_near_empty_and_clashing(spark):
+    rows = [(1, None), (2, ""), (3, " ... "), (None, "some words of a text here"), (5, "some words of a text here"), (5, "some words of a text here"), (6, "Some words, of a TEXT here!"), (8, "x")]
+    got = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in neardup.classes(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, doc int, root int")).collect()}
+    assert got == {(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True), (None, None, 1, True), (5, 5, 3, True), (6, 5, 3, False), (8, 8, 1, True)}
