@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geom, text as tx
 from ..functions.geom import box
-from ..operators import folds, learning, marks, sequences, spatial, votes
+from ..operators import folds, learning, marks, repair, sequences, spatial, votes
 from .relations import relation, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -590,3 +590,23 @@ def glyph_tests(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_GLYPHS).alias("t"), (20 + F.col("p_size")).alias("w"), (40 + F.col("p_size") * 2).alias("h"), ((F.col("p_partkey") % 100) / 100).alias("s"))
     c = F.col
     return df.select("p_partkey", tx.short_tall_mixed(c("t"), c("w"), c("h")).alias("mixed"), tx.icon_like_character(c("t"), c("w"), c("h"), c("s")).alias("icon"))
+
+
+# Names with some letters o read as e, and words of two to four letters from all names with their counts.
+_READ = "CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'o', 'e') ELSE p_name END"
+_BEST = "list_max(list_concat([0], list_transform(spans, lambda w: coalesce(m[substr({0}, w[1] + 1, w[2] - w[1])], 0))))"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT p_name, unnest(range(0, length(p_name))) AS a FROM part), f AS (SELECT substr(p_name, a + 1, k) AS word, count(*) AS freq FROM g, (VALUES (3), (4)) t(k) WHERE a + k <= length(p_name) GROUP BY ALL HAVING count(*) >= 10),
+  d AS (SELECT map(list(word), list(freq)) AS m FROM f), l AS (SELECT p_partkey AS id, {_READ} AS text FROM part),
+  r AS (SELECT id, text, 0 AS i, text AS s FROM l UNION ALL
+    SELECT id, text, i + 1, CASE WHEN alt IS NULL OR {_BEST.format('s')} > 0 THEN s WHEN {_BEST.format('s2')} >= 50 THEN s2 ELSE s END FROM (
+      SELECT *, left(s, i) || alt || substr(s, i + 2) AS s2, list_filter(flatten(list_transform(range(greatest(0, i - 3), i + 1), lambda a: list_transform(range(a + 2, a + 5), lambda b: [a, b]))), lambda w: w[2] > i AND w[2] <= length(s)) AS spans
+      FROM (SELECT r.*, d.m, CASE substr(text, i + 1, 1) WHEN 'e' THEN 'o' WHEN 'o' THEN 'e' END AS alt FROM r, d WHERE i < length(text))))
+SELECT id, text, s AS fixed FROM r WHERE i = length(text)""")
+def confusable_repair(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    starts = parts.where(F.length("p_name") > 0).select("p_name", F.explode(F.sequence(F.lit(0), F.length("p_name") - 1)).alias("a"))
+    sized = starts.select("p_name", "a", F.explode(F.array(F.lit(3), F.lit(4))).alias("k")).where(F.col("a") + F.col("k") <= F.length("p_name"))
+    words = sized.groupBy(F.substr("p_name", F.col("a") + 1, F.col("k")).alias("word")).agg(F.count("*").alias("freq")).where("freq >= 10")
+    return repair.confusables_repaired(parts.select(F.col("p_partkey").alias("id"), F.expr(_READ).alias("text")), words, "oe eo")

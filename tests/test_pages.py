@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as tx
-from folioframe.operators import folds, kernels, learning, sequences, spatial
+from folioframe.operators import folds, kernels, learning, repair, sequences, spatial
 from folioframe.operators.consistency import inconsistent
 from folioframe.sources import files, ocr
 
@@ -272,3 +272,11 @@ def test_training_counts_all_samples(spark):
     rows = [(k, k, [float(k % 7), float(k % 2)], k % 4 // 3, 1.0, "page") for k in range(200)]
     model = learning.trained(spark.createDataFrame(rows, "t long, seq long, f array<double>, keep int, w double, src string"), max_samples=50)
     assert (model["n"], model["n_keep"], model["n_drop"]) == (200, 50, 150)
+
+
+def test_confusables(spark):
+    """A character that makes a word stays, one that makes none is replaced, and a repair counts for its neighbours."""
+    words = spark.createDataFrame([("自我", 900), ("项目", 500), ("目标", 400), ("天天", 60), ("太天", 10), ("大人", 80)], "word string, freq int")
+    cases = {"目我剖析": "自我剖析", "项目": "项目", "目标": "目标", "夭天": "天天", "x目": "x目", "": "", "太入": "太入", "大入": "大人"}
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    assert {r.text: r.fixed for r in repair.confusables_repaired(df, words).collect()} == cases
