@@ -96,3 +96,35 @@ def fitted_planes(points: DataFrame, key: str) -> DataFrame:
     real = (c("n") >= 3) & (det > 1e-9 * uu * vv)
     out = sums.withColumn("cu", F.when(real, (uz * vv - vz * uv) / det)).withColumn("cv", F.when(real, (vz * uu - uz * uv) / det))
     return out.select(key, ((c("z") - F.col("cu") * c("u") - F.col("cv") * c("v")) / c("n")).alias("c0"), "cu", "cv")
+
+
+CJK = "^[\\u4e00-\\u9fff]+$"
+
+
+def without_lone_glyphs(lines: DataFrame, least: float = 0.9) -> DataFrame:
+    """Lines less single CJK characters of a score under `least` that have no line beside them: those are icons.
+
+    Beside is a center within 0.6 of the character's height, and an edge within 1.5 of it.
+    """
+    lone = lines.where((F.length("text") == 1) & F.rlike("text", F.lit(CJK)) & (F.col("score") < least)).select("page", "id", "x", "y", "w", "h")
+    a, b = geom.box("a_"), geom.box("b_")
+    reach = geom.Box(a.x - 1.5 * a.h - 1, a.y - 0.2 * a.h - 1, a.w + 3 * a.h + 2, 1.4 * a.h + 2)
+    level = F.abs(b.y + b.h / 2 - a.y - a.h / 2) < 0.6 * a.h
+    beside = F.least(F.abs(b.x - a.right), F.abs(a.x - b.right)) < 1.5 * a.h
+    near = touching(lone, lines.select("page", "id", "x", "y", "w", "h"), reach_left=reach).where((F.col("a_id") != F.col("b_id")) & level & beside)
+    gone = lone.join(near.select(F.col("a_page").alias("page"), F.col("a_id").alias("id")).distinct(), ["page", "id"], "left_anti")
+    return lines.join(gone.select("page", "id"), ["page", "id"], "left_anti")
+
+
+def vertical_split(lines: DataFrame) -> DataFrame:
+    """(page, id, i, text, x, y, w, h): upright CJK lines as one line for each character; others as they are, with i 0.
+
+    A line is upright if it is 2.2 times as high as wide, and 0.8 of its width high for each character.
+    """
+    n = F.length("text")
+    upright = (n >= 2) & F.rlike("text", F.lit(CJK)) & (F.col("h") >= 2.2 * F.col("w")) & (F.col("h") >= 0.8 * n * F.col("w"))
+    step = F.col("h") / n
+    one = lambda i: F.struct(i.alias("i"), F.substr("text", i + 1, F.lit(1)).alias("text"), F.bround(F.col("y") + i * step).cast("long").alias("y"), F.bround(step).cast("long").alias("h"))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("text"), F.col("y").cast("long").alias("y"), F.col("h").cast("long").alias("h")))
+    rows = F.when(upright, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(whole)
+    return lines.select("page", "id", "x", "w", F.explode(rows).alias("r")).select("page", "id", "r.i", "r.text", "x", "r.y", "w", "r.h")

@@ -610,3 +610,22 @@ def confusable_repair(spark, sf_dir):
     sized = starts.select("p_name", "a", F.explode(F.array(F.lit(3), F.lit(4))).alias("k")).where(F.col("a") + F.col("k") <= F.length("p_name"))
     words = sized.groupBy(F.substr("p_name", F.col("a") + 1, F.col("k")).alias("word")).agg(F.count("*").alias("freq")).where("freq >= 10")
     return repair.confusables_repaired(parts.select(F.col("p_partkey").alias("id"), F.expr(_READ).alias("text")), words, "oe eo")
+
+
+_HAN = "CASE id % 4 WHEN 0 THEN '高' WHEN 1 THEN '风险程度' WHEN 2 THEN '数据' ELSE 'text' END"
+
+
+@query(f"""{with_('boxes')}, l AS (SELECT page, id, x, y, w, h, {_HAN} AS text, (id % 10) / CAST(10 AS DOUBLE) + CAST(0.05 AS DOUBLE) AS score FROM boxes)
+SELECT page, id, text FROM l a WHERE NOT (length(text) = 1 AND score < CAST(0.9 AS DOUBLE) AND NOT EXISTS (SELECT 1 FROM l b WHERE b.page = a.page AND b.id <> a.id AND abs(b.y + b.h / 2 - a.y - a.h / 2) < CAST(0.6 AS DOUBLE) * a.h
+  AND least(abs(b.x - a.x - a.w), abs(a.x - b.x - b.w)) < CAST(1.5 AS DOUBLE) * a.h))""")
+def lone_glyphs(spark, sf_dir):
+    lines = boxes(spark, sf_dir).select("page", "id", "x", "y", "w", "h", F.expr(_HAN).alias("text"), ((F.col("id") % 10) / 10 + 0.05).alias("score"))
+    return marks.without_lone_glyphs(lines).select("page", "id", "text")
+
+
+@query(f"""{with_('boxes')}, l AS (SELECT page, id, x, y, w // 2 AS w, h * 4 AS h, {_HAN} AS text FROM boxes), u AS (SELECT *, length(text) AS n, id % 4 < 3 AND length(text) >= 2 AND h >= CAST(2.2 AS DOUBLE) * w AND h >= CAST(0.8 AS DOUBLE) * length(text) * w AS upright FROM l),
+  e AS (SELECT *, unnest(range(0, CASE WHEN upright THEN n ELSE 1 END)) AS i FROM u)
+SELECT page, id, CAST(i AS INT) AS i, CASE WHEN upright THEN substr(text, i + 1, 1) ELSE text END AS text, x, CASE WHEN upright THEN CAST(round_even(y + i * (h / CAST(n AS DOUBLE)), 0) AS BIGINT) ELSE y END AS y, w, CASE WHEN upright THEN CAST(round_even(h / CAST(n AS DOUBLE), 0) AS BIGINT) ELSE h END AS h FROM e""")
+def vertical_split(spark, sf_dir):
+    lines = boxes(spark, sf_dir).select("page", "id", "x", "y", F.floor(F.col("w") / 2).alias("w"), (F.col("h") * 4).alias("h"), F.expr(_HAN).alias("text"))
+    return marks.vertical_split(lines)
