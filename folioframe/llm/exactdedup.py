@@ -106,7 +106,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         entries = entries.withColumn("text_sha256", F.col("digest"))
     state = stored(spark, stream_state(spark, where, call, schema, files_per_batch), "state")
     result = lambda df: df.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator", "keep_locator")
-    wrong = stored(spark, _unlike(norm, state, rows, text_column), "wrong")
+    wrong = stored(spark, _unlike(norm, state, None if state_dir is None else text_column), "wrong")
     if wrong.isEmpty():
         return result(entries.join(state, "digest"))
     apart = norm.join(wrong, "digest", "left_semi").withColumn("text_sha256", sha256(F.col("norm")))
@@ -115,8 +115,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return result(entries.join(wrong, "digest", "left_anti").join(state, "digest")).unionByName(result(apart.join(again, "norm")))
 
 
-def _unlike(norm: DataFrame, state: DataFrame, rows: DataFrame, text_column: str) -> DataFrame:
-    """(digest) of groups of which a row's bytes are not those of the row that stays."""
+def _unlike(norm: DataFrame, state: DataFrame, text_column: str | None) -> DataFrame:
+    """(digest) of groups of which a row's bytes are not those of the row that stays; text_column if earlier calls have rows."""
     spark = norm.sparkSession
     hits = state.where("group_size > 1").select("digest", "keep_locator", F.ceil(F.col("group_size") / SPREAD).cast("int").alias("copies"))
     keys = hits.select(F.xxhash64("digest").alias("key"))
@@ -125,12 +125,13 @@ def _unlike(norm: DataFrame, state: DataFrame, rows: DataFrame, text_column: str
     texts = stored(spark, texts.select("digest", "locator", "norm").join(hits, "digest"), "hits")  # read twice
     others = texts.where("locator <> keep_locator").select("digest", F.pmod(F.xxhash64("locator"), "copies").cast("int").alias("salt"), "norm")
     keepers = texts.where("locator = keep_locator").select("digest", "copies", F.col("norm").alias("keep_norm"))
-    own = [r.file for r in rows.select("locator.file").distinct().collect()]  # names of files
-    old = hits.where(~F.col("keep_locator.file").isin(own)) if own else hits
-    files = [r.file for r in old.select("keep_locator.file").distinct().collect()]
-    if files:  # kept since an earlier call
-        earlier = spark.read.parquet(*files).select(normalised(F.col(text_column)).alias("keep_norm"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
-        keepers = keepers.unionByName(old.join(earlier, F.col("keep_locator") == F.col("at")).select("digest", "copies", "keep_norm"))
+    if text_column:
+        own = norm.select(F.col("locator.file").alias("file")).distinct()
+        old = hits.join(own, F.col("keep_locator.file") == F.col("file"), "left_anti")
+        files = [r.file for r in old.select("keep_locator.file").distinct().collect()]  # names of files
+        if files:  # kept since an earlier call
+            earlier = spark.read.parquet(*files).select(normalised(F.col(text_column)).alias("keep_norm"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+            keepers = keepers.unionByName(old.join(earlier, F.col("keep_locator") == F.col("at")).select("digest", "copies", "keep_norm"))
     keepers = keepers.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "keep_norm")
     return others.join(keepers, ["digest", "salt"]).where("norm <> keep_norm").select("digest").distinct()
 
