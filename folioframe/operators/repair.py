@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import geom
 from ..functions.text import chars
+from .spatial import touching
 
 #: Characters that recognition takes for one another, first for second. Fixed values.
 CONFUSABLE = (
@@ -46,3 +48,41 @@ def confusables_repaired(lines: DataFrame, words: DataFrame, pairs: str = CONFUS
 
     fixed = doubtful.join(known, key).select(key, F.aggregate(places, F.col("text"), step).alias("fixed_"))
     return lines.join(fixed, key, "left").select(key, "text", F.coalesce("fixed_", "text").alias("fixed"))
+
+
+#: Least IoU of an edit's box and the line that it means.
+SAME_LINE = 0.4
+
+
+def lines_edited(lines: DataFrame, edits: DataFrame) -> DataFrame:
+    """(page, id, text): lines after a person's edits; a line that an edit deletes is gone.
+
+    lines: page, id, box, text. edits: page, id (their order), box (where the line stood), text; none, or blank, deletes. Each
+    edit means the line of largest IoU, the first by id on a tie, among those that no edit before it deleted.
+    """
+    boxed = edits.where("x is not null").select("page", "id", "x", "y", "w", "h")
+    near = touching(boxed, lines.select("page", "id", "x", "y", "w", "h")).withColumn("iou", geom.iou(geom.box("a_"), geom.box("b_"))).where(F.col("iou") >= SAME_LINE)
+    found = near.groupBy(F.col("a_page").alias("page"), F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("b_id").alias("line")))).alias("lines"))
+    told = found.join(edits.select("page", "id", F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))).alias("text")), ["page", "id"])
+    rows = told.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "text", F.transform("lines", lambda c: c["line"]).alias("lines")))).alias("rows"))
+    empty = F.expr("cast(array() as array<struct<line:bigint,text:string>>)")
+
+    def step(done: Column, e: Column) -> Column:
+        deleted = F.transform(F.filter(done, lambda d: d["text"] == ""), lambda d: d["line"])
+        line = F.get(F.array_except(e["lines"], deleted), F.lit(0))
+        return F.when(line.isNull(), done).otherwise(F.concat(done, F.array(F.struct(line.alias("line"), e["text"].alias("text")))))
+
+    last = rows.select("page", F.posexplode(F.aggregate("rows", empty, step)).alias("at", "d")).groupBy("page", F.col("d.line").alias("id")).agg(F.max_by("d.text", "at").alias("new"))
+    out = lines.join(last, ["page", "id"], "left").where("new is null or new <> ''")
+    return out.select("page", "id", F.coalesce("new", "text").alias("text"))
+
+
+def runs_with_text(runs: Column, text: Column) -> Column:
+    """Runs of one style that hold a new text: of the old length it is cut where they were cut, else the longest run's style, the first of such, takes all."""
+    size = lambda r: F.length(r["text"])
+    total = F.aggregate(runs, F.lit(0), lambda n, r: n + size(r))
+    before = lambda i: F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda n, r: n + size(r))
+    cut = F.transform(runs, lambda r, i: r.withField("text", F.substr(text, before(i) + 1, size(r))))
+    longest = F.array_max(F.transform(runs, size))
+    style = F.get(F.filter(runs, lambda r: size(r) == longest), F.lit(0))
+    return F.when((F.size(runs) > 1) & (total == F.length(text)), cut).when(F.size(runs) > 0, F.array(style.withField("text", text))).otherwise(runs)

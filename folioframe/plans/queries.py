@@ -629,3 +629,30 @@ SELECT page, id, CAST(i AS INT) AS i, CASE WHEN upright THEN substr(text, i + 1,
 def vertical_split(spark, sf_dir):
     lines = boxes(spark, sf_dir).select("page", "id", "x", "y", F.floor(F.col("w") / 2).alias("w"), (F.col("h") * 4).alias("h"), F.expr(_HAN).alias("text"))
     return marks.vertical_split(lines)
+
+
+_EDITED = "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN ' ' ELSE ' new ' || id END"
+
+
+@query(f"""{with_('boxes')}, e AS (SELECT page, id, x + 2 AS x, y + 1 AS y, w, h, trim(coalesce({_EDITED}, '')) AS text FROM boxes WHERE id % 3 <> 0),
+  p AS (SELECT a.page, a.id AS edit, a.text, b.id AS line, {INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE)) AS iou FROM e a JOIN boxes b ON a.page = b.page AND {INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE)) >= CAST(0.4 AS DOUBLE)),
+  c AS MATERIALIZED (SELECT page, edit, text, list(line ORDER BY iou DESC, line) AS lines, row_number() OVER (PARTITION BY page ORDER BY edit) AS k FROM p GROUP BY page, edit, text),
+  f AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(line BIGINT, text VARCHAR, k BIGINT)[]) AS done FROM (SELECT DISTINCT page FROM c)
+    UNION ALL SELECT page, k, CASE WHEN line IS NOT NULL AND text = '' THEN list_append(gone, line) ELSE gone END, CASE WHEN line IS NULL THEN done ELSE list_append(done, {{'line': line, 'text': text, 'k': k}}) END
+    FROM (SELECT f.page, c.k, c.text, f.gone, f.done, list_filter(c.lines, lambda l: NOT list_contains(f.gone, l))[1] AS line FROM f JOIN c ON c.page = f.page AND c.k = f.k + 1)),
+  d AS (SELECT page, d.line AS id, arg_max(d.text, d.k) AS new FROM (SELECT page, unnest(done) AS d FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY k DESC) AS r FROM f) WHERE r = 1) GROUP BY ALL)
+SELECT b.page, b.id, coalesce(new, 'line ' || b.id) AS text FROM boxes b LEFT JOIN d ON b.page = d.page AND b.id = d.id WHERE new IS NULL OR new <> ''""")
+def lines_edited(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    edits = b.where("id % 3 <> 0").withColumns({"x": F.col("x") + 2, "y": F.col("y") + 1, "text": F.expr(_EDITED)})
+    return repair.lines_edited(b.withColumn("text", F.concat(F.lit("line "), F.col("id"))), edits)
+
+
+@query("""WITH r AS (SELECT p_partkey, string_split(p_name, ' ') AS w, CASE WHEN p_partkey % 2 = 0 THEN upper(replace(p_name, ' ', '')) ELSE p_type END AS text FROM part),
+  l AS (SELECT *, list_transform(w, lambda x: length(x)) AS n FROM r)
+SELECT p_partkey, CASE WHEN len(w) > 1 AND list_sum(n) = length(text) THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: substr(text, CAST(coalesce(list_sum(n[1 : i - 1]), 0) AS BIGINT) + 1, n[i]) || ':' || i), ' ')
+  ELSE text || ':' || list_position(n, list_max(n)) END AS runs FROM l""")
+def runs_kept(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("w"), F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("")))).otherwise(F.col("p_type")).alias("text"))
+    runs = repair.runs_with_text(F.transform("w", lambda x, i: F.struct(x.alias("text"), (i + 1).alias("style"))), F.col("text"))
+    return parts.select("p_partkey", F.array_join(F.transform(runs, lambda r: F.concat(r["text"], F.lit(":"), r["style"])), " ").alias("runs"))
