@@ -51,13 +51,11 @@ NAMES = frozenset(("class", "id", "role", "aria-label", "itemprop"))
 #: Open elements, from the outermost, that give a block features; browsers have such a limit too.
 MAX_DEPTH = 256
 PARTS = re.compile(r"[a-z]+")
-KEYS = re.compile(
-    r"(©|copyright|\(c\)|all rights|cookie|privacy|terms of|subscribe|newsletter|sign ?(?:up|in)|log ?in|register|share|tweet|facebook|follow|comment|repl(?:y|ies)|advert|sponsor|promo|related|read more|menu|search|"
-    r"e-?mail|password|submit|home|next|previous|posted by|skip to|back to top|click here|accept|·|»|\|)",
-    re.I,
+#: Words and marks of menus, notices and the like; forms of one key stand together, parted by a slash.
+KEYS = (
+    "©/(c)|copyright|all rights|cookie|privacy|terms of|subscribe|newsletter|sign up/signup/sign in/signin|log in/login|register|share|tweet|facebook|follow|comment|reply/replies|advert|sponsor|promo|related|"
+    "read more|menu|search|e-mail/email|password|submit|home|next|previous|posted by|skip to|back to top|click here|accept|·|»"
 )
-
-
 #: A key word tells of a text if it stands there at least once in so many characters.
 KEY_RATE = 160
 
@@ -226,12 +224,26 @@ def path_features(path: tuple) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+@lru_cache(maxsize=1)
+def key_finder():
+    """An automaton that finds all keys' forms in one pass over a lower-cased text."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for key in KEYS.split("|"):
+        for form in key.split("/"):
+            found.add_word(form, key)
+    found.add_word("|", "bar")
+    found.make_automaton()
+    return found
+
+
 def text_features(block: Block) -> list[str]:
     text, n = block.text, len(block.text)
     link = block.linked / n
     out = [f"size:{min(n.bit_length(), 9)}", f"link:{0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3}", f"end:{text[-1] if text[-1] in '.!?:;,…' else 'x'}"]
     out.append(f"marks:{min(3, sum(text.count(c) for c in ',.;') * 40 // n)}")
-    found = Counter([k.lower() for k in KEYS.findall(text)])
+    found = Counter([key for _, key in key_finder().iter(text.lower())])
     return out + [f"key:{k}" for k, times in found.items() if times * KEY_RATE > n]
 
 
