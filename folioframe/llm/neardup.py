@@ -8,7 +8,7 @@ Documents with the same words in the same order are folded into one before bandi
 
 1. Every document of a bucket is held against the smallest identifier, its leader, and in buckets of up to `FEW` documents
    against all others. Only pairs whose sizes exclude a link, or whose signatures agree in fewer than `AGREE` samples of
-   both kinds, are passed over; at the threshold that loses 3 pairs in 100 million. The rest are judged by whole texts.
+   both kinds, are passed over; at the threshold that loses 1 pair in 80 million. The rest are judged by whole texts.
 2. In larger buckets that still hold several classes, every document is held against all others by its whole set of
    shingles, but for pairs of one class, as a further link can't change the classes. Buckets of over `BLOCK` shingles or
    `BLOCK_DOCS` documents are dealt out as pairs of blocks.
