@@ -23,6 +23,8 @@ from .words import IS_WORD, Prefix, mix, slices, text_bytes
 
 BUCKETS = 10_000
 SEED = 1729
+#: Good rows whose identifiers are broadcast at most to pick out their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Bins of one count, and keys that are few enough to be sorted by the driver.
 BINS, FEW = 1024, 4096
 KIND = np.where(IS_WORD, 1, 2).astype(np.int8)
@@ -110,7 +112,8 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     id_type = docs.schema["doc_id"].dataType.simpleString()
     known = labels.where(F.col("quality").isNotNull())
     good = known.where("quality = 1").select("doc_id").distinct()
-    target = _counts(docs.join(good, "doc_id", "left_semi"))
+    few = good.count() <= BROADCAST_IDS
+    target = _counts(docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi"))
     ratio = spark.sparkContext.broadcast(log_ratio(target, _counts(docs)))
 
     def weigh(batches):
