@@ -16,6 +16,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
+#: Bytes of words that only blanks part.
+NO_BLANK = np.ones(256, dtype=bool)
+NO_BLANK[0x20] = NO_BLANK[0x09:0x0E] = False
 #: An odd base, and its inverse modulo 2**64, of the rolling polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -86,12 +89,12 @@ class Prefix:
 
 
 class Words:
-    """starts, ends and hash of every word of the rows; first[i] is the index of row i's first word."""
+    """starts, ends and hash of every word of the rows; first[i] is the index of row i's first word. kind: the bytes of words."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, kind: np.ndarray = IS_WORD):
         self.data, self.offsets = text_bytes(column)
         self.low = LOWER[self.data]
-        inside = IS_WORD[self.low]
+        inside = kind[self.low]
         before = np.empty_like(inside)
         before[1:], before[:1] = inside[:-1], False
         filled = self.offsets[:-1][self.offsets[:-1] < len(self.data)]
