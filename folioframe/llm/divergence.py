@@ -13,7 +13,8 @@ Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Each
   If many terms tie at the threshold, histograms over prefixes of their UTF-8 bytes narrow them down. Only then are the few
   rows left of a group ordered.
 
-Texts are counted with partial aggregates, so a source or term of any share of the rows is no hot key.
+Texts are counted within each task first, so a source or term of any share of the rows is no hot key. Within a task terms of
+a group are equal if their 64-bit hashes are.
 
 Defined results: null text, lang and source are ''; each row is a document, so repeated rows count again; groups without
 terms have pairs but no terms; with no kept terms all pairs have the value 0; a language of one source has no pairs; ties
@@ -22,16 +23,18 @@ go by UTF-8 bytes; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import string
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
+from .words import IS_LETTER, U64, Words, mix, slices
 
 MIN_DOCS, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms of groups that a task holds, about, before it hands them on.
+HELD = 1_000_000
 #: Low bits of a value that the second histogram is over; values have 31 bits at most.
 LOW_BITS = 15
 #: Tied rows of a group that may be ordered at the end; more are narrowed down by prefixes first.
@@ -47,19 +50,80 @@ SALTS = 16
 GROUP = ["lang", "source"]
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every row; terms of a text in order."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]
-    return docs.select(*named, F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings data[start:end]."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    octets = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(octets))
+
+
+class Tally(NamedTuple):
+    """Distinct terms of groups: a hash of group and term, the group's number, the term, occurrences and documents."""
+
+    key: np.ndarray
+    group: np.ndarray
+    term: pa.Array
+    n: np.ndarray
+    docs: np.ndarray
+
+
+def tallied(text: pa.Array, group: np.ndarray) -> Tally:
+    """The terms of texts, each of the group with that number."""
+    words = Words(text, IS_LETTER)
+    row = words.row
+    key = mix(words.hash + mix(group.astype(np.uint64) + U64(1))[row])
+    order = np.argsort(key, kind="stable")  # of equal keys, in order of row
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    other = new.copy()
+    other[1:] |= row[1:] != row[:-1]
+    docs = np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    at = order[first]
+    return Tally(key[first], group[row[first]], _strings(words.low, words.starts[at], words.ends[at]), np.diff(np.append(first, len(key))), docs)
+
+
+def merged(parts: list[Tally]) -> Tally:
+    key = np.concatenate([p.key for p in parts])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    total = lambda name: np.add.reduceat(np.concatenate([getattr(p, name) for p in parts])[order], first) if len(first) else np.zeros(0, np.int64)
+    at = order[first]
+    return Tally(key[first], np.concatenate([p.group for p in parts])[at], pa.concat_arrays([p.term for p in parts]).take(pa.array(at)), total("n"), total("docs"))
+
+
+def _told(names: list[tuple[str, str]], t: Tally) -> pa.RecordBatch:
+    own = [pa.array([name[i] for name in names], pa.string()).take(pa.array(t.group)) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*own, t.term.cast(pa.string()), pa.array(t.n), pa.array(t.docs)], [*GROUP, "term", "n", "docs"])
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in each group, and documents that have it."""
-    of = terms(docs)
-    each = of.select(*GROUP, F.explode("terms").alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))
-    once = of.select(*GROUP, F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
-    return each.unionAll(once).groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences of each term in each group, and documents that have it.
+
+    Each task counts its texts before anything is shuffled; it hands on what it holds whenever that are over HELD terms.
+    """
+
+    def run(batches):
+        numbers: dict[tuple[str, str], int] = {}
+        parts: list[Tally] = []
+        for batch in batches:
+            for part in slices(batch):
+                named = zip(*(part.column(c).to_pylist() for c in GROUP))
+                parts.append(tallied(part.column("text"), np.array([numbers.setdefault(x, len(numbers)) for x in named], np.int64)))
+                if sum(len(p.key) for p in parts) > 2 * HELD:
+                    parts = [merged(parts)]
+                    if len(parts[0].key) > HELD:
+                        yield _told(list(numbers), parts.pop())
+                        numbers.clear()
+        if parts:
+            yield _told(list(numbers), merged(parts))
+
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]
+    rows = docs.select(*named, "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: str, total: str, kept: str) -> Column:

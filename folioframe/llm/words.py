@@ -16,6 +16,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
+#: Bytes of words without digits.
+IS_LETTER = IS_WORD.copy()
+IS_LETTER[0x30:0x3A] = False
 #: Bytes of words that only blanks part.
 NO_BLANK = np.ones(256, dtype=bool)
 NO_BLANK[0x20] = NO_BLANK[0x09:0x0E] = False
