@@ -56,19 +56,20 @@ def neighbour_above(items: DataFrame, icons: DataFrame, width: float) -> DataFra
     return items.join(hits, ["page", "id"], "left_semi")
 
 
-def previous_line(lines: DataFrame) -> DataFrame:
+def previous_line(lines: DataFrame, of: DataFrame | None = None, first: str = "id") -> DataFrame:
     """(page, id, prev_id): the line with the largest baseline that is less than 2.2 sizes above and 0.8 sizes aside.
 
-    Baselines are bucketed by `CELL`, so lines are held against those of two buckets and not of the whole page; a line of a
+    of: the lines that look for theirs, all by default. On a tie the smallest in column `first` wins, then the first by id. Baselines are bucketed by `CELL`, so lines are held against those of two buckets and not of the whole page; a line of a
     larger size looks back over more of them.
     """
-    now = lines.select(*[F.col(c).alias(f"a_{c}") for c in lines.columns])
+    of = lines if of is None else of
+    now = of.select(*[F.col(c).alias(f"a_{c}") for c in of.columns])
     now = now.withColumn("k", F.explode(F.sequence(F.floor((F.col("a_baseline") - 2.2 * F.col("a_size")) / CELL), F.floor(F.col("a_baseline") / CELL))))
     old = lines.select(*[F.col(c).alias(f"b_{c}") for c in lines.columns]).withColumn("j", F.floor(F.col("b_baseline") / CELL))
     step = F.col("a_baseline") - F.col("b_baseline")
     near = (step > 0) & (step < 2.2 * F.col("a_size")) & (F.abs(F.col("a_x") - F.col("b_x")) < 0.8 * F.col("a_size"))
     pairs = now.join(old, (F.col("a_page") == F.col("b_page")) & (F.col("k") == F.col("j")) & near)
-    last = pairs.groupBy("a_page", "a_id").agg(F.max_by("b_id", F.struct("b_baseline", -F.col("b_id"))).alias("prev_id"))
+    last = pairs.groupBy("a_page", "a_id").agg(F.max_by("b_id", F.struct("b_baseline", -F.col(f"b_{first}"), -F.col("b_id"))).alias("prev_id"))
     return last.select(F.col("a_page").alias("page"), F.col("a_id").alias("id"), "prev_id")
 
 

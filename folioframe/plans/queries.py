@@ -656,3 +656,6 @@ def runs_kept(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("w"), F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("")))).otherwise(F.col("p_type")).alias("text"))
     runs = repair.runs_with_text(F.transform("w", lambda x, i: F.struct(x.alias("text"), (i + 1).alias("style"))), F.col("text"))
     return parts.select("p_partkey", F.array_join(F.transform(runs, lambda r: F.concat(r["text"], F.lit(":"), r["style"])), " ").alias("runs"))
+
+
+from . import style_queries, text_queries  # noqa: E402, F401  they register their queries here

@@ -14,6 +14,18 @@ RELATIONS: dict[str, tuple[str, str]] = {
         CASE WHEN p_size % 7 = 0 THEN 'O' || CAST(p_partkey % 10 AS VARCHAR(9)) ELSE lpad(CAST(p_partkey % 12 + 1 AS VARCHAR(9)), 2, '0') END AS text FROM part"""),
     "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(48 + 210 * (p_partkey % 4) AS BIGINT) AS x, CAST(500 AS BIGINT) AS y, CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 180 ELSE 200 END AS BIGINT) AS w, CAST(56 AS BIGINT) AS h,
         CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS has_text, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS has_icon FROM part"""),
+    "written": ("part", """SELECT *, CASE id % 7 WHEN 0 THEN replace(text, 'o', 'e') WHEN 1 THEN replace(replace(text, 'l', '1'), 'n', 'm') WHEN 2 THEN replace(text, substr(text, 3, 1), CAST(size AS VARCHAR(9))) WHEN 3 THEN text WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN '  ' || replace(text, 'i', 'oo') || ' ' END AS new
+        FROM (SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST((p_partkey * p_partkey * 7 + p_partkey * 13) % 400 AS BIGINT) AS x, CAST(((p_partkey * p_partkey * 3) % 97 * 11 + p_partkey * 29) % 300 AS BIGINT) AS y,
+        CAST(20 + (p_size * 3) % 120 AS BIGINT) AS w, CAST(12 + (p_size * 7) % 40 AS BIGINT) AS h, p_size AS size, p_name || ' ' || lower(p_type) AS text FROM part)"""),
+    "styled": ("part", """SELECT page, id, CASE WHEN size % 19 <> 0 THEN col * 130 + size % 5 END AS x0, y, y + 20 AS baseline, CAST(20 + size % 3 AS DOUBLE) AS size, CASE WHEN col = 2 THEN 180 ELSE 10 END AS r, size % 4 * 8 AS g, 0 AS b, size % 3 = 0 AS bold, size % 6 = 0 AS heavy,
+        CASE WHEN col = 1 THEN 'serif' ELSE 'sans' END AS family, CAST((20 + size % 3) * (10 + size % 5 * 0.4) / 100 AS DOUBLE) AS stroke, text, size % 13 = 0 AS badge, CASE WHEN size % 11 = 0 THEN 2 ELSE 1 END AS n_runs FROM (SELECT *, CAST(nr * 26 + CASE col WHEN 1 THEN floor(nr / 2) * 40 WHEN 2 THEN floor(nr / 4) * 50 ELSE 0 END AS BIGINT) AS y
+        FROM (SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, p_partkey % 50 % 3 AS col, floor(p_partkey % 50 / 3) AS nr, p_size AS size, p_name AS text FROM part))"""),
+    "accent_lines": ("part", """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_size % 17 <> 0 THEN CAST(p_partkey % 2 * 300 + p_size % 4 AS BIGINT) END AS x0, CAST(floor(p_partkey % 50 / 2) * 30 AS BIGINT) AS y, CAST(floor(p_partkey % 50 / 2) * 30 + 20 + p_size % 2 AS BIGINT) AS baseline,
+        CAST(20 + p_size % 3 AS DOUBLE) AS size, p_size % 23 = 0 AS badge, p_size % 5 <> 0 AS has_runs FROM part"""),
+    "accent_runs": ("part", """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, k, text, r, g, b, bold, CAST(20 AS DOUBLE) AS px, CASE WHEN p_size % 9 <> 0 THEN CAST(2 + p_size % 5 * 0.25 + k * 0.2 AS DOUBLE) END AS stroke FROM (
+        SELECT p_partkey, p_size, 0 AS k, translate(substr(p_name, 1, 2 + p_size % 3), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') AS text, CASE p_size % 4 WHEN 0 THEN 200 WHEN 1 THEN 205 ELSE 10 END AS r, CASE p_size % 4 WHEN 0 THEN 20 WHEN 1 THEN 30 ELSE 10 END AS g, CASE p_size % 4 WHEN 0 THEN 20 WHEN 1 THEN 10 + p_size % 40 ELSE 10 END AS b, p_size % 7 = 0 AS bold FROM part
+        UNION ALL SELECT p_partkey, p_size, 1, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || CASE WHEN p_size % 6 = 0 THEN '。 ' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 200 WHEN 1 THEN 20 ELSE 10 END, 20, CASE p_partkey % 5 WHEN 0 THEN 20 + p_size WHEN 1 THEN 200 ELSE 12 END, p_size % 10 = 0 FROM part WHERE p_partkey % 3 >= 1 AND p_size % 5 <> 0
+        UNION ALL SELECT p_partkey, p_size, 2, translate(lower(p_type), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到'), CASE WHEN p_size % 3 = 0 THEN 210 ELSE 12 END, CASE WHEN p_size % 3 = 0 THEN 25 ELSE 10 END, CASE WHEN p_size % 3 = 0 THEN 15 + p_partkey % 30 ELSE 10 END, false FROM part WHERE p_partkey % 3 = 2 AND p_size % 5 <> 0)"""),
     "turns": ("conversations", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE role END AS role, CAST(length(text) % 2 AS INT) AS bit, length(text) % 4 = 0 AS flag, CAST(length(text) AS BIGINT) AS n FROM conversations"""),
     "votes": ("events", """SELECT CAST(user_id AS BIGINT) AS grp, event_type AS choice, CAST(value AS DOUBLE) AS score, CAST(event_id AS BIGINT) AS seq FROM events"""),
     "history": ("events", """SELECT event_type AS kind, CAST(event_id AS BIGINT) AS seq, CAST(event_id % 1000 AS BIGINT) AS t, CAST(1 + event_id % 9 AS BIGINT) AS total, CAST(event_id % 9 % 4 AS BIGINT) AS changed FROM events"""),
