@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geom
-from ..functions.text import chars
+from ..functions.text import chars, let
 from .spatial import touching
 
 #: Texts of so many characters have popular ones, which start no block: those that make up over a hundredth, and one more.
@@ -21,11 +19,6 @@ MOST_FIXES = 20_000
 _BLOCKS, _OPS = "array<struct<i:int,j:int,k:int>>", "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _none(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 

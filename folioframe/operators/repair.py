@@ -9,12 +9,17 @@ from ..functions.text import chars
 from .spatial import touching
 
 #: Characters that recognition takes for one another, first for second. Fixed values.
-CONFUSABLE = (
-    "目自 自目 己已 已己 未末 末未 土士 士土 入人 人入 曰日 戍戌 戌戍 鹰膺 膺鹰 茶荼 汨汩 汩汨 拨拔 拔拨 候侯 侯候 微徽 徽微 "
-    "析折 折析 免兔 兔免 治冶 冶治 大太 太大 干千 千干 天夭 夭天 间问 问间 货贷 贷货 裁栽 栽裁 历厉 厉历 壁璧 璧壁 墨黑 仓仑"
-)
+CONFUSABLE = {
+    "目": "自", "自": "目", "己": "已", "已": "己", "未": "末", "末": "未", "土": "士", "士": "土", "入": "人", "人": "入", "曰": "日",
+    "戍": "戌", "戌": "戍", "鹰": "膺", "膺": "鹰", "茶": "荼", "汨": "汩", "汩": "汨", "拨": "拔", "拔": "拨", "候": "侯", "侯": "候",
+    "微": "徽", "徽": "微", "析": "折", "折": "析", "免": "兔", "兔": "免", "治": "冶", "冶": "治", "大": "太", "太": "大", "干": "千",
+    "千": "干", "天": "夭", "夭": "天", "间": "问", "问": "间", "货": "贷", "贷": "货", "裁": "栽", "栽": "裁", "历": "厉", "厉": "历",
+    "壁": "璧", "璧": "壁", "墨": "黑", "仓": "仑",
+}
 #: Characters of a word at most, and a repaired word's frequency at least.
 LONGEST, LEAST = 4, 50
+#: A shorter list of words repairs nothing.
+ENOUGH_WORDS = 1000
 
 
 def _spans(i: Column, n: Column) -> Column:
@@ -24,14 +29,16 @@ def _spans(i: Column, n: Column) -> Column:
     return F.flatten(F.transform(starts, lambda a: F.transform(ends(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def confusables_repaired(lines: DataFrame, words: DataFrame, pairs: str = CONFUSABLE, key: str = "id") -> DataFrame:
+def confusables_repaired(lines: DataFrame, words: DataFrame, pairs: dict[str, str] = CONFUSABLE, key: str = "id") -> DataFrame:
     """(key, text, fixed): a character that makes no word with its neighbours is taken for the one it is confused with, if
     that one makes a word of frequency `LEAST` or more. From left to right; what was repaired counts for what follows.
 
-    words: word, freq. All stretches that could come up, with either form of each such character, are looked up in one join;
+    words: word, freq; fewer than ENOUGH_WORDS different ones change nothing. All stretches that could come up, with either form of each such character, are looked up in one join;
     a line then holds the few words it needs.
     """
-    other = F.create_map(*[F.lit(c) for p in pairs.split() for c in (p[0], p[1])])
+    if words.select("word").distinct().limit(ENOUGH_WORDS).count() < ENOUGH_WORDS:
+        return lines.select(key, "text", F.col("text").alias("fixed"))
+    other = F.create_map(*[F.lit(c) for pair in pairs.items() for c in pair])
     spread = lines.select(key, "text", chars(F.col("text")).alias("c")).withColumn("alt", F.transform("c", lambda x: F.element_at(other, x)))
     n = F.size("c")
     grown = lambda acc, i: F.flatten(F.transform(acc, lambda p: F.when(F.get("alt", i).isNull(), F.array(F.concat(p, F.get("c", i)))).otherwise(F.array(F.concat(p, F.get("c", i)), F.concat(p, F.get("alt", i))))))

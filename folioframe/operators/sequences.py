@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 
 def tolerance_rows(items: DataFrame, position: Column, tol: float, key: str = "page") -> DataFrame:
     """Adds row_no: items in order of position start a new row when more than tol from the item before."""
@@ -64,19 +66,42 @@ def numbered(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame
 
 
 def repaired_numbers(labels: DataFrame) -> DataFrame:
-    """(page, id, text, fixed): a column of two-digit numbers follows the start that most of them agree on.
+    """(page, id, text, fixed): columns of two-digit numbers follow the start that most of their labels agree on.
 
-    A label at place i (by y) with value v votes for start v - i; letters O read as 0. With at least three labels and 60 %
-    of the votes, all labels become start + i. The smallest start wins ties.
+    labels: page, id, x, y, h, text. Only texts of two characters, ASCII digits or O for 0, take part. In order of id each
+    label that is in no column yet gathers its column: the labels within 0.8 of its height in x, and between 0.75 and 1.33 of
+    its height. Of three or more, the label at place i by y with value v votes for start v - i. With 60 % of the votes all
+    labels become start + i, if that is from 0 to 99; the smallest start wins ties. Labels of a column lead none themselves,
+    but may be in another one, with the text that they have by then.
     """
-    w = Window.partitionBy("page").orderBy("y", "id")
-    value = F.expr("try_cast(translate(text, 'Oo', '00') as int)")
-    placed = labels.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("page"))).withColumn("start", value - F.col("i"))
-    votes = placed.where("start is not null").groupBy("page", "start").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("page").agg(F.min(F.struct((-F.col("votes")).alias("less"), "start")).alias("m")).select("page", F.col("m.start").alias("best"), (-F.col("m.less")).alias("got"))
-    want = F.lpad((F.col("best") + F.col("i")).cast("string"), 2, "0")
-    ok = (F.col("n") >= 3) & (F.col("got") >= 0.6 * F.col("n")) & F.col("best").isNotNull() & (F.col("best") + F.col("i")).between(0, 99)
-    return placed.join(best, "page", "left").select("page", "id", "text", F.when(ok, want).otherwise(F.col("text")).alias("fixed"))
+    part = labels.where(F.col("text").rlike("^[0-9Oo]{2}$"))
+    pages = part.groupBy("page").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(F.struct("y", "id", "x", "h", "text", F.lit(False).alias("used")))).alias("rows"))
+
+    def near(r: Column, a: Column) -> Column:
+        tall = r["h"] / F.greatest(F.lit(1), a["h"])
+        return (F.abs(r["x"] - a["x"]) <= 0.8 * a["h"]) & (tall > 0.75) & (tall < 1.33)
+
+    def start(column: Column) -> Column:
+        """(votes, -start) of the start with most votes."""
+        starts = F.transform(column, lambda r, i: F.translate(r["text"], "Oo", "00").cast("int") - i)
+        return let(starts, lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda s: F.struct(F.size(F.filter(all_, lambda t: t == s)).alias("votes"), (-s).alias("less")))))
+
+    def numbered_by(acc: Column, a: Column, column: Column, best: Column) -> Column:
+        ids = F.transform(column, lambda r: r["id"])
+        want = lambda r: F.array_position(ids, r["id"]).cast("int") - 1 - best["less"]
+        agreed = best["votes"] >= 0.6 * F.size(column)
+        text = lambda r: F.when(agreed & want(r).between(0, 99), F.lpad(want(r).cast("string"), 2, "0")).otherwise(r["text"])
+        return F.transform(acc, lambda r: F.when(near(r, a), r.withField("used", F.lit(True)).withField("text", text(r))).otherwise(r))
+
+    def gathered(acc: Column, a: Column) -> Column:
+        column = F.filter(acc, lambda r: near(r, a))
+        return let(column, lambda c: F.when(F.size(c) < 3, acc).otherwise(let(start(c), lambda best: numbered_by(acc, a, c, best))))
+
+    def step(acc: Column, i: Column) -> Column:
+        return let(F.get(F.filter(acc, lambda r: r["id"] == i), F.lit(0)), lambda a: F.when(a["used"], acc).otherwise(gathered(acc, a)))
+
+    done = pages.select("page", F.explode(F.aggregate("ids", F.col("rows"), step)).alias("r")).select("page", "r.id", F.col("r.text").alias("fixed"))
+    return labels.join(done, ["page", "id"], "left").select("page", "id", "text", F.coalesce("fixed", "text").alias("fixed"))
 
 
 def tick_chains(ticks: DataFrame, key: str = "grp") -> DataFrame:

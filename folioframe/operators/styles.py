@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geom
-from .edits import let
+from ..functions.text import let
 from .spatial import previous_line
 
 #: A group is of one weight if this share of its characters is bold, or at most that one is.

@@ -194,9 +194,18 @@ def kind_numbers(spark, sf_dir):
     return sequences.numbered(placed, ["page", "kind"], ["id"]).select("id", "kind", "number", "place")
 
 
-@query(f"""{with_('labels2')}, p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, id) - 1 AS i, count(*) OVER (PARTITION BY page) AS n, try_cast(translate(text, 'Oo', '00') AS INT) AS v FROM labels2),
-  c AS (SELECT page, v - i AS start, count(*) AS got FROM p WHERE v IS NOT NULL GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY got DESC, start) AS r FROM c) WHERE r = 1)
-SELECT p.page, id, text, CASE WHEN n >= 3 AND got >= 0.6 * n AND start + i BETWEEN 0 AND 99 THEN lpad(CAST(start + i AS VARCHAR), 2, '0') ELSE text END AS fixed FROM p LEFT JOIN b ON p.page = b.page""")
+_IN_COLUMN = "abs(r.x - a.x) <= CAST(0.8 AS DOUBLE) * a.h AND r.h / greatest(1, a.h) > 0.75 AND r.h / greatest(1, a.h) < 1.33"
+
+
+@query(f"""{with_('labels2')}, c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM labels2 WHERE regexp_matches(text, '^[0-9Oo]{{2}}$')),
+  f AS (SELECT page, CAST(0 AS BIGINT) AS k, list({{'id': id, 'x': x, 'h': h, 'text': text, 'used': false}} ORDER BY y, id) AS rows FROM c GROUP BY page
+    UNION ALL SELECT page, k, CASE WHEN a.used OR len(col) < 3 THEN rows ELSE list_transform(rows, lambda r: CASE WHEN {_IN_COLUMN} THEN {{'id': r.id, 'x': r.x, 'h': r.h, 'text': CASE WHEN -best.n >= CAST(0.6 AS DOUBLE) * len(col) AND best.s + list_position(ids, r.id) - 1 BETWEEN 0 AND 99
+        THEN lpad(CAST(best.s + list_position(ids, r.id) - 1 AS VARCHAR), 2, '0') ELSE r.text END, 'used': true}} ELSE r END) END
+      FROM (SELECT *, list_transform(col, lambda r: r.id) AS ids, list_sort(list_transform(list_distinct(starts), lambda s: {{'n': -len(list_filter(starts, lambda t: t = s)), 's': s}}))[1] AS best
+      FROM (SELECT *, list_transform(range(1, len(col) + 1), lambda i: CAST(translate(col[i].text, 'Oo', '00') AS BIGINT) - i + 1) AS starts FROM (SELECT *, list_filter(rows, lambda r: {_IN_COLUMN}) AS col
+      FROM (SELECT f.page, c.k, f.rows, list_filter(f.rows, lambda r: r.id = c.id)[1] AS a FROM f JOIN c ON c.page = f.page AND c.k = f.k + 1))))),
+  d AS (SELECT r.id, r.text AS fixed FROM (SELECT unnest(rows) AS r FROM (SELECT rows FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY k DESC) = 1)))
+SELECT l.page, l.id, text, coalesce(fixed, text) AS fixed FROM labels2 l LEFT JOIN d ON d.id = l.id""")
 def fix_numbering(spark, sf_dir):
     return sequences.repaired_numbers(relation(spark, sf_dir, "labels2"))
 
@@ -592,24 +601,25 @@ def glyph_tests(spark, sf_dir):
     return df.select("p_partkey", tx.short_tall_mixed(c("t"), c("w"), c("h")).alias("mixed"), tx.icon_like_character(c("t"), c("w"), c("h"), c("s")).alias("icon"))
 
 
-# Names with some letters o read as e, and words of two to four letters from all names with their counts.
+# Names with some letters o read as e, and words: pieces of three and four letters of all names, and the long words of documents, with their counts.
 _READ = "CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'o', 'e') ELSE p_name END"
 _BEST = "list_max(list_concat([0], list_transform(spans, lambda w: coalesce(m[substr({0}, w[1] + 1, w[2] - w[1])], 0))))"
 
 
 @query(f"""WITH RECURSIVE g AS (SELECT p_name, unnest(range(0, length(p_name))) AS a FROM part), f AS (SELECT substr(p_name, a + 1, k) AS word, count(*) AS freq FROM g, (VALUES (3), (4)) t(k) WHERE a + k <= length(p_name) GROUP BY ALL HAVING count(*) >= 10),
-  d AS (SELECT map(list(word), list(freq)) AS m FROM f), l AS (SELECT p_partkey AS id, {_READ} AS text FROM part),
+  d AS (SELECT map(list(word), list(freq)) AS m FROM f), long AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{5,}}')) AS word FROM documents), enough AS (SELECT (SELECT count(*) FROM f) + (SELECT count(*) FROM long) >= 1000 AS ok), l AS (SELECT p_partkey AS id, {_READ} AS text FROM part),
   r AS (SELECT id, text, 0 AS i, text AS s FROM l UNION ALL
     SELECT id, text, i + 1, CASE WHEN alt IS NULL OR {_BEST.format('s')} > 0 THEN s WHEN {_BEST.format('s2')} >= 50 THEN s2 ELSE s END FROM (
       SELECT *, left(s, i) || alt || substr(s, i + 2) AS s2, list_filter(flatten(list_transform(range(greatest(0, i - 3), i + 1), lambda a: list_transform(range(a + 2, a + 5), lambda b: [a, b]))), lambda w: w[2] > i AND w[2] <= length(s)) AS spans
       FROM (SELECT r.*, d.m, CASE substr(text, i + 1, 1) WHEN 'e' THEN 'o' WHEN 'o' THEN 'e' END AS alt FROM r, d WHERE i < length(text))))
-SELECT id, text, s AS fixed FROM r WHERE i = length(text)""")
+SELECT id, text, CASE WHEN ok THEN s ELSE text END AS fixed FROM r, enough WHERE i = length(text)""")
 def confusable_repair(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     starts = parts.where(F.length("p_name") > 0).select("p_name", F.explode(F.sequence(F.lit(0), F.length("p_name") - 1)).alias("a"))
     sized = starts.select("p_name", "a", F.explode(F.array(F.lit(3), F.lit(4))).alias("k")).where(F.col("a") + F.col("k") <= F.length("p_name"))
     words = sized.groupBy(F.substr("p_name", F.col("a") + 1, F.col("k")).alias("word")).agg(F.count("*").alias("freq")).where("freq >= 10")
-    return repair.confusables_repaired(parts.select(F.col("p_partkey").alias("id"), F.expr(_READ).alias("text")), words, "oe eo")
+    long = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    return repair.confusables_repaired(parts.select(F.col("p_partkey").alias("id"), F.expr(_READ).alias("text")), words.unionByName(long), {"o": "e", "e": "o"})
 
 
 _HAN = "CASE id % 4 WHEN 0 THEN '高' WHEN 1 THEN '风险程度' WHEN 2 THEN '数据' ELSE 'text' END"
@@ -658,4 +668,4 @@ def runs_kept(spark, sf_dir):
     return parts.select("p_partkey", F.array_join(F.transform(runs, lambda r: F.concat(r["text"], F.lit(":"), r["style"])), " ").alias("runs"))
 
 
-from . import style_queries, text_queries  # noqa: E402, F401  they register their queries here
+from . import arrow_queries, style_queries, text_queries  # noqa: E402, F401  they register their queries here

@@ -10,8 +10,12 @@ RELATIONS: dict[str, tuple[str, str]] = {
         CAST(((p_partkey * p_partkey * 3) % 97 * 11 + p_partkey * 29) % 300 AS BIGINT) AS y, CAST(20 + (p_size * 3) % 120 AS BIGINT) AS w, CAST(12 + (p_size * 7) % 40 AS BIGINT) AS h FROM part"""),
     "ticks": ("part", """SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS grp, CAST(p_partkey AS BIGINT) AS seq, CAST((p_partkey % 8) * 1000 - 3000 AS DOUBLE) AS v,
         CAST(400 - (p_partkey % 8) * 50 + 150 + CASE WHEN p_size % 5 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS p FROM part"""),
-    "labels2": ("part", """SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST((p_partkey % 12) * 30 AS BIGINT) AS y,
-        CASE WHEN p_size % 7 = 0 THEN 'O' || CAST(p_partkey % 10 AS VARCHAR(9)) ELSE lpad(CAST(p_partkey % 12 + 1 AS VARCHAR(9)), 2, '0') END AS text FROM part"""),
+    "labels2": ("part", """SELECT CAST(floor(p_partkey / 24) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(40 + p_partkey % 2 * 300 + p_size % 4 AS BIGINT) AS x, CAST(floor(p_partkey % 24 / 2) * 30 AS BIGINT) AS y, CAST(CASE WHEN p_size % 13 = 0 THEN 45 ELSE 20 + p_size % 5 END AS BIGINT) AS h,
+        CASE WHEN p_size % 11 = 0 THEN p_name WHEN p_size % 7 = 0 THEN 'O' || CAST(p_partkey % 10 AS VARCHAR(9)) WHEN p_size % 17 = 0 THEN '1O' ELSE lpad(CAST(CAST(floor(p_partkey % 24 / 2) AS INT) + 1 + p_partkey % 2 * 4 AS VARCHAR(9)), 2, '0') END AS text FROM part"""),
+    "arrow_lines": ("part", """SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 5 * 220 AS BIGINT) AS x, CAST(floor(p_partkey % 25 / 5) * 40 AS BIGINT) AS y, CAST(120 + p_size % 30 AS BIGINT) AS w, CAST(30 AS BIGINT) AS h, p_partkey % 3 <> 0 AS has_chars,
+        CASE p_size % 9 WHEN 0 THEN p_name || '↑' WHEN 1 THEN '→' || p_name WHEN 2 THEN p_name || '一' WHEN 3 THEN '↑' WHEN 4 THEN substr(p_name, 1, 4) || '→' || substr(p_name, 5) WHEN 5 THEN '→' || p_name || '↓' WHEN 6 THEN p_name || '个' WHEN 7 THEN '↑↓' ELSE p_name END AS text FROM part"""),
+    "arrow_regions": ("part", """SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey * 2 AS BIGINT) AS id, CAST(p_partkey % 5 * 220 + 104 + p_size % 30 + p_size % 7 AS BIGINT) AS x, CAST(floor(p_partkey % 25 / 5) * 40 + p_size % 4 * 7 AS BIGINT) AS y, CAST(10 + p_size % 8 AS BIGINT) AS w, CAST(26 AS BIGINT) AS h FROM part WHERE p_partkey % 4 <> 0
+        UNION ALL SELECT CAST(floor(p_partkey / 25) AS BIGINT), CAST(p_partkey * 2 + 1 AS BIGINT), CAST(p_partkey % 5 * 220 - 2 AS BIGINT), CAST(floor(p_partkey % 25 / 5) * 40 AS BIGINT), CAST(8 + p_size % 10 AS BIGINT), CAST(26 AS BIGINT) FROM part WHERE p_partkey % 5 < 3"""),
     "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(48 + 210 * (p_partkey % 4) AS BIGINT) AS x, CAST(500 AS BIGINT) AS y, CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 180 ELSE 200 END AS BIGINT) AS w, CAST(56 AS BIGINT) AS h,
         CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS has_text, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS has_icon FROM part"""),
     "written": ("part", """SELECT *, CASE id % 7 WHEN 0 THEN replace(text, 'o', 'e') WHEN 1 THEN replace(replace(text, 'l', '1'), 'n', 'm') WHEN 2 THEN replace(text, substr(text, 3, 1), CAST(size AS VARCHAR(9))) WHEN 3 THEN text WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN '  ' || replace(text, 'i', 'oo') || ' ' END AS new

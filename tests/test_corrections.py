@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import edits, styles
+from folioframe.operators import arrows, edits, styles
 
 
 def edited(rng, text, alphabet):
@@ -166,3 +166,45 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "old string, new string")
     assert edits.edit_scripts(none).count() == 0 and edits.short_fixes(none).count() == 0
     assert edits.counted(edits.short_fixes(none)).agg(F.count("*")).first()[0] == 0
+
+
+ARROW_LINE = "page long, id long, text string, x long, y long, w long, h long, chars array<struct<x0:long,x1:long>>"
+
+
+def without_arrows(spark, lines, regions):
+    lines = spark.createDataFrame([(1, i, *r) for i, r in enumerate(lines)], ARROW_LINE)
+    regions = spark.createDataFrame([(1, i, *r) for i, r in enumerate(regions)], "page long, id long, x long, y long, w long, h long")
+    kept = {r.id: (r.text, r.x, r.w, r.chars and [tuple(c) for c in r.chars]) for r in arrows.lines_without_arrows(lines, regions).collect()}
+    changes = sorted((r.region, r.id, r.removed, r.kept) for r in arrows.arrow_text_changes(lines, regions).collect())
+    clear = arrows.clear_regions(regions, arrows.glyph_meetings(lines, regions)).select("id").collect()
+    return kept, changes, sorted(r.id for r in clear)
+
+
+THREE, DRAWN = [(20, 45), (45, 70), (75, 101)], (75, 24, 26, 50)
+
+
+def test_arrows_leave_the_text(spark):
+    trimmed = {0: ("库存", 20, 55, THREE[:2])}
+    assert without_arrows(spark, [("库存↑", 20, 24, 81, 50, THREE)], [DRAWN]) == (trimmed, [(0, 0, "↑", "库存")], [0])
+    assert without_arrows(spark, [("库存一", 20, 24, 81, 50, THREE)], [DRAWN])[0] == trimmed  # a dash under the arrow
+    assert without_arrows(spark, [("库存个", 20, 24, 81, 50, THREE)], [DRAWN])[0] == trimmed
+    assert without_arrows(spark, [("↑", 75, 24, 26, 50, [(75, 101)])], [DRAWN]) == ({}, [], [0])
+
+
+def test_arrows_inside_or_beside_text_stay(spark):
+    inline = ("75%→80%", 20, 42, 115, 32, [(20, 32), (32, 44), (44, 56), (56, 82), (82, 94), (94, 106), (106, 118)])
+    assert without_arrows(spark, [inline], [(56, 43, 26, 30)]) == ({0: ("75%→80%", 20, 115, inline[5])}, [], [])
+    below = ("75%→80%", 20, 20, 115, 28, inline[5])
+    assert without_arrows(spark, [below], [(75, 82, 60, 30)])[2] == [0]
+    # An ordinary end glyph under the region: neither goes.
+    assert without_arrows(spark, [("库存量", 20, 24, 81, 50, THREE)], [DRAWN]) == ({0: ("库存量", 20, 81, THREE)}, [], [])
+    # A region that is part of one line's text takes nothing from another.
+    two = [("库存↑", 20, 24, 81, 50, THREE), ("存货量", 20, 24, 81, 50, THREE)]
+    assert without_arrows(spark, two, [DRAWN])[0][0][0] == "库存↑"
+
+
+def test_arrows_on_both_ends_and_without_places(spark):
+    both = ("←库↑", 0, 0, 90, 30, None)
+    assert without_arrows(spark, [both], [(0, 0, 30, 30), (60, 0, 30, 30)]) == ({0: ("库", 30, 30, None)}, [(0, 0, "←↑", "库"), (1, 0, "←↑", "库")], [0, 1])
+    assert without_arrows(spark, [("←↑", 0, 0, 60, 30, None)], [(0, 0, 30, 30), (30, 0, 30, 30)])[0] == {}
+    assert without_arrows(spark, [("", 0, 0, 60, 30, None), (None, 0, 0, 60, 30, None)], [(0, 0, 30, 30)])[0] == {0: ("", 0, 60, None), 1: (None, 0, 60, None)}

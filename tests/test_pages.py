@@ -140,8 +140,20 @@ def test_streams(spark, tmp_path):
 
 
 def test_numbering(spark):
-    df = spark.createDataFrame([(1, i, 10 * i, t) for i, t in enumerate(["01", "O2", "03", "1O", "05"])], "page int, id int, y int, text string")
-    assert [r.fixed for r in sequences.repaired_numbers(df).orderBy("id").collect()] == ["01", "02", "03", "04", "05"]
+    def fixed(rows):
+        df = spark.createDataFrame([(1, i, x, y, h, t) for i, (x, y, h, t) in enumerate(rows)], "page long, id long, x long, y long, h long, text string")
+        return [r.fixed for r in sequences.repaired_numbers(df).orderBy("id").collect()]
+
+    column = lambda x, texts: [(x, 30 * i, 20, t) for i, t in enumerate(texts)]
+    assert fixed(column(0, ["01", "O2", "03", "1O", "05"])) == ["01", "02", "03", "04", "05"]
+    # Ten other texts of the page, and a second column that counts from 7, change nothing.
+    both = column(0, ["01", "02", "O9"]) + [(5, 10 + 30 * i, 20, f"text {i}") for i in range(10)] + column(100, ["07", "O8", "90", "10"])
+    assert [t for t in fixed(both) if len(t) == 2] == ["01", "02", "03", "07", "08", "09", "10"]
+    assert fixed(column(0, ["01", "09", "05", "20"])) == ["01", "09", "05", "20"]  # no start has 60 %
+    assert fixed([*column(0, ["01", "02"]), (0, 60, 40, "O9")]) == ["01", "02", "O9"]  # another size
+    assert fixed(column(0, ["98", "99", "0O"])) == ["98", "99", "0O"]  # not beyond 99
+    # A label that one column has set counts with its new text in the next one.
+    assert fixed([(0, 0, 20, "01"), (10, 30, 20, "02"), (16, 60, 20, "O9"), (30, 90, 20, "04"), (32, 120, 20, "05")]) == ["01", "02", "03", "04", "05"]
 
 
 def test_fit_matches_gradient_and_expression(spark):
@@ -279,4 +291,6 @@ def test_confusables(spark):
     words = spark.createDataFrame([("自我", 900), ("项目", 500), ("目标", 400), ("天天", 60), ("太天", 10), ("大人", 80)], "word string, freq int")
     cases = {"目我剖析": "自我剖析", "项目": "项目", "目标": "目标", "夭天": "天天", "x目": "x目", "": "", "太入": "太入", "大入": "大人"}
     df = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
-    assert {r.text: r.fixed for r in repair.confusables_repaired(df, words).collect()} == cases
+    more = spark.createDataFrame([(f"word{i}", 1) for i in range(994)], "word string, freq int")
+    assert {r.text: r.fixed for r in repair.confusables_repaired(df, words.union(more)).collect()} == cases
+    assert all(r.text == r.fixed for r in repair.confusables_repaired(df, words.union(more.limit(993))).collect())  # too few words
