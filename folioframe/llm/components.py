@@ -10,6 +10,24 @@ from .common import stored
 PER_FILE = 500_000
 
 
+#: Links of a node that make it hot, at least; and how many nodes can be hot, as each takes that share of the links' ends.
+LEAST, HOT = 1000, 50_000
+
+
+def _with_low(edges: DataFrame, low: DataFrame, links: int) -> DataFrame:
+    """The edges (u, v) with the row (k, m, n) of low whose k is u; n is how many edges have it, at most.
+
+    A node may have most of the links. The rows of such hot nodes, HOT at most, are broadcast; the others are joined by a shuffle.
+    """
+    here = F.col("u") == F.col("k")
+    if links <= LEAST:
+        return edges.join(low, here)
+    many = max(LEAST, 2 * links // HOT)
+    held = edges.join(F.broadcast(low.where(F.col("n") > many)), here, "left")
+    rest = held.where("k is null").select("u", "v").join(low.where(F.col("n") <= many), here)
+    return held.where("k is not null").unionByName(rest)
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return n, int(total or 0)
@@ -18,7 +36,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node of its component.
 
-    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place. Links with a
+    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place, nor those of a node. Links with a
     null end and from a node to itself are passed over; without links there are no rows.
     """
     spark = links.sparkSession
@@ -27,10 +45,10 @@ def components(links: DataFrame) -> DataFrame:
     now, before = _state(edges), None
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("k")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"), F.count("*").alias("n")).select("k", F.least("k", "m").alias("m"), "n")
+        large = _with_low(both.where("v > u"), low, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, now[0]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
         edges = stored(spark, small, "edges", files=1 + now[0] // PER_FILE)  # a step makes no more links than there are
         before, now = now, _state(edges)

@@ -294,3 +294,25 @@ def test_corrections_equal_dense_sums():
     number = np.unique(term, return_inverse=True)[1]
     got = divergence.corrections(base, number[order], place[order], shares[has][order]) + m * np.abs(base[:, None] - base)
     assert (got == np.abs(shares[:, :, None] - shares[:, None, :]).sum(axis=0)).all()
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from folioframe.llm import components
+
+    monkeypatch.setattr(components, "LEAST", 5)
+    rng = random.Random(7)
+    links = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 400)] + [(i, i + 1) for i in range(600, 640)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(150)] + [(199, 500), (5, 5)]
+    root = {n: n for x in links for n in x if x[0] != x[1]}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    rng.shuffle(links)
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {n: top(n) for n in root} and len(got) == len(root)
