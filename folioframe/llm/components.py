@@ -23,7 +23,9 @@ def _with_low(edges: DataFrame, low: DataFrame, links: int) -> DataFrame:
     if links <= LEAST:
         return edges.join(low, here)
     many = max(LEAST, 2 * links // HOT)
-    held = edges.join(F.broadcast(low.where(F.col("n") > many)), here, "left")
+    if (hot := low.where(F.col("n") > many)).isEmpty():
+        return edges.join(low, here)
+    held = edges.join(F.broadcast(hot), here, "left")
     rest = held.where("k is null").select("u", "v").join(low.where(F.col("n") <= many), here)
     return held.where("k is not null").unionByName(rest)
 
@@ -36,8 +38,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node of its component.
 
-    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place, nor those of a node. Links with a
-    null end and from a node to itself are passed over; without links there are no rows.
+    Each step is two groupings with partial aggregates and two joins; links are never gathered in one place, nor those of a
+    node. Links with a null end and from a node to itself are passed over; without links there are no rows.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
