@@ -348,10 +348,20 @@ def decide_blend(spark, sf_dir):
     return learning.decisions(b).select("id", F.round("p", 9).alias("p"), "new_kind", "decision")
 
 
-@query()
+# The fit step by step: each turn of g adds the pull of all samples to every coefficient; the bias is number 65 and bears no penalty.
+_FIT = f"""{with_('samples')}, x AS MATERIALIZED (SELECT s.seq, s.keep, CAST(s.keep AS DOUBLE) AS y, s.w, list_transform(e.embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM samples s JOIN embeddings e ON e.vec_id = s.seq),
+  u AS (SELECT seq, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS j FROM x), m AS MATERIALIZED (SELECT list(mu ORDER BY j) AS mu, list(sd ORDER BY j) AS sd FROM (SELECT j, avg(v) AS mu, stddev_pop(v) + CAST(1e-6 AS DOUBLE) AS sd FROM u GROUP BY j)),
+  z AS MATERIALIZED (SELECT seq, keep, y, list_append(list_transform(range(1, len(f) + 1), lambda i: (f[i] - mu[i]) / sd[i]), CAST(1 AS DOUBLE)) AS z, w / 2 / CASE WHEN y > 0.5 THEN (SELECT sum(w) FROM x WHERE y > 0.5) ELSE (SELECT sum(w) FROM x WHERE y <= 0.5) END AS share FROM x, m),
+  c AS MATERIALIZED (SELECT seq, unnest(range(1, len(z) + 1)) AS j, unnest(z) AS v FROM z),
+  g AS (SELECT 0 AS step, list_transform(range(0, 65), lambda i: CAST(0 AS DOUBLE)) AS beta
+    UNION ALL SELECT step + 1, list(b ORDER BY j) FROM (SELECT r.step, c.j, any_value(r.beta)[c.j] * CASE WHEN c.j < 65 THEN CAST(0.975 AS DOUBLE) ELSE 1 END + sum(CAST(0.5 AS DOUBLE) * c.v * r.pull) AS b
+      FROM (SELECT g.step, g.beta, z.seq, z.share * (z.y - 1 / (1 + exp(-list_dot_product(z.z, g.beta)))) AS pull FROM g, z WHERE g.step < 600) r JOIN c ON c.seq = r.seq GROUP BY r.step, c.j) GROUP BY step)
+SELECT seq, keep, round(1 / (1 + exp(-list_dot_product(z, beta))), 6) AS p FROM z, g WHERE step = 600"""
+
+
+@query(_FIT)
 def logreg_fit(spark, sf_dir):
-    x, y, w = learning.collected(samples(spark, sf_dir))
-    model = learning.fit_logistic(x, y, w)
+    model = learning.fitted(samples(spark, sf_dir))
     return samples(spark, sf_dir).select("seq", "keep", F.round(learning.probability(model, F.col("f")), 6).alias("p"))
 
 

@@ -280,7 +280,20 @@ def test_merge_close_replay(spark):
         assert [(r.x, r.y, r.x + r.w, r.y + r.h) for r in got] == want
 
 
-def test_training_counts_all_samples(spark):
+def test_spread_fit_equals_the_fit(spark):
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(size=(300, 5)), rng.random(300)
+    y = (x[:, 0] + rng.normal(size=300) > 0.4).astype(int)
+    df = spark.createDataFrame([(r.tolist(), int(k), float(v)) for r, k, v in zip(x, y, w)], "f array<double>, keep int, w double").repartition(7)
+    want, got = learning.fit_logistic(x, y.astype(float), w, steps=25), learning.spread_fit(df, steps=25)
+    for name in ("mu", "sd", "beta"):
+        assert np.allclose(got[name], want[name], rtol=0, atol=1e-9), name
+
+
+def test_training_counts_all_samples(spark, monkeypatch):
+    import functools
+
+    monkeypatch.setattr(learning, "spread_fit", functools.partial(learning.spread_fit, steps=3))
     rows = [(k, k, [float(k % 7), float(k % 2)], k % 4 // 3, 1.0, "page") for k in range(200)]
     model = learning.trained(spark.createDataFrame(rows, "t long, seq long, f array<double>, keep int, w double, src string"), max_samples=50)
     assert (model["n"], model["n_keep"], model["n_drop"]) == (200, 50, 150)
