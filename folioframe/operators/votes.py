@@ -105,10 +105,14 @@ def learning_stats(history: DataFrame, samples: DataFrame, fixes: DataFrame, see
     return out.crossJoin(labels).join(rates, F.lit(True), "left")
 
 
+#: Jobs in these states are not idle, however old their last event is.
+ACTIVE = ("queued", "running")
+
+
 def idle(jobs: DataFrame, now: float, limit: float = 3600.0) -> DataFrame:
     """Jobs whose last event is older than the limit and whose last state is neither queued nor running."""
     last = jobs.groupBy("job").agg(F.max_by("state", F.struct("t", "seq")).alias("state"), F.max("t").alias("touched"))
-    return last.where((F.col("touched") < now - limit) & ~F.col("state").isin("queued", "running"))
+    return last.where((F.col("touched") < now - limit) & ~F.col("state").isin(*ACTIVE))
 
 
 def queue_position(jobs: DataFrame) -> DataFrame:

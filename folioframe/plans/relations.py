@@ -16,6 +16,12 @@ RELATIONS: dict[str, tuple[str, str]] = {
         CASE p_size % 9 WHEN 0 THEN p_name || '↑' WHEN 1 THEN '→' || p_name WHEN 2 THEN p_name || '一' WHEN 3 THEN '↑' WHEN 4 THEN substr(p_name, 1, 4) || '→' || substr(p_name, 5) WHEN 5 THEN '→' || p_name || '↓' WHEN 6 THEN p_name || '个' WHEN 7 THEN '↑↓' ELSE p_name END AS text FROM part"""),
     "arrow_regions": ("part", """SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey * 2 AS BIGINT) AS id, CAST(p_partkey % 5 * 220 + 104 + p_size % 30 + p_size % 7 AS BIGINT) AS x, CAST(floor(p_partkey % 25 / 5) * 40 + p_size % 4 * 7 AS BIGINT) AS y, CAST(10 + p_size % 8 AS BIGINT) AS w, CAST(26 AS BIGINT) AS h FROM part WHERE p_partkey % 4 <> 0
         UNION ALL SELECT CAST(floor(p_partkey / 25) AS BIGINT), CAST(p_partkey * 2 + 1 AS BIGINT), CAST(p_partkey % 5 * 220 - 2 AS BIGINT), CAST(floor(p_partkey % 25 / 5) * 40 AS BIGINT), CAST(8 + p_size % 10 AS BIGINT), CAST(26 AS BIGINT) FROM part WHERE p_partkey % 5 < 3"""),
+    "icons": ("part", """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST((p_partkey * p_partkey * 7 + p_partkey * 13) % 400 AS BIGINT) AS x, CAST(((p_partkey * p_partkey * 3) % 97 * 11 + p_partkey * 29) % 300 AS BIGINT) AS y, CAST(20 + (p_size * 3) % 120 AS BIGINT) AS w, CAST(12 + (p_size * 7) % 90 AS BIGINT) AS h,
+        CAST(30 + p_size % 60 AS BIGINT) AS score, p_size % 19 = 0 AS pale, p_size % 7 = 0 AS light, CAST((20 + (p_size * 3) % 120) * (12 + (p_size * 7) % 90) * (60 + p_partkey % 41) / 100 AS BIGINT) AS fill, CAST(p_partkey % 90 AS BIGINT) AS rest, p_size % 3 * 60 AS r, 10 AS g, 0 AS b, p_partkey % 3 * 60 AS rest_r, 15 AS rest_g, 5 AS rest_b,
+        p_partkey % 20 / CAST(50 AS DOUBLE) AS free, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 7 / CAST(6 AS DOUBLE) END AS drawn, p_partkey % 11 / CAST(10 AS DOUBLE) AS plain FROM part"""),
+    "gap_lines": ("part", """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS x, CAST(22 * length(p_name) + 40 AS BIGINT) AS w, CAST(24 + p_partkey % 3 * 14 AS BIGINT) AS h, CASE p_partkey % 4 WHEN 0 THEN p_name || '05' WHEN 1 THEN translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') WHEN 2 THEN translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '（' || translate(lower(p_type), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '）' ELSE translate(substr(p_name, 1, 3), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '。ok' END AS text FROM part"""),
+    "grade_lines": ("part", """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN q < 3 THEN 50 + p_size % 4 WHEN q < 6 THEN 60 + (q - 2) * 120 + p_size % 9 ELSE 50 + p_size * 9 END AS BIGINT) AS x, CAST(CASE WHEN q < 3 THEN 100 + q * 90 + p_size % 9 WHEN q < 6 THEN 350 + p_size % 5 ELSE 90 + p_size * 6 END AS BIGINT) AS y, CAST(30 AS BIGINT) AS w, CAST(18 + p_size % 6 AS BIGINT) AS h,
+        CASE q WHEN 0 THEN '高' WHEN 1 THEN ' 中' WHEN 2 THEN '低' WHEN 3 THEN 'Low' WHEN 4 THEN 'Medium' WHEN 5 THEN 'High' ELSE CASE WHEN p_size % 9 = 0 THEN '高' ELSE p_name END END AS text FROM (SELECT p_partkey, p_size, p_name, p_partkey % 10 AS q FROM part)"""),
     "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(48 + 210 * (p_partkey % 4) AS BIGINT) AS x, CAST(500 AS BIGINT) AS y, CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 180 ELSE 200 END AS BIGINT) AS w, CAST(56 AS BIGINT) AS h,
         CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS has_text, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS has_icon FROM part"""),
     "written": ("part", """SELECT *, CASE id % 7 WHEN 0 THEN replace(text, 'o', 'e') WHEN 1 THEN replace(replace(text, 'l', '1'), 'n', 'm') WHEN 2 THEN replace(text, substr(text, 3, 1), CAST(size AS VARCHAR(9))) WHEN 3 THEN text WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN '  ' || replace(text, 'i', 'oo') || ' ' END AS new

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import arrows, edits, styles
+from folioframe.operators import arrows, edits, layout, styles, votes
+from folioframe.streaming import jobs
 
 
 def edited(rng, text, alphabet):
@@ -208,3 +209,83 @@ def test_arrows_on_both_ends_and_without_places(spark):
     assert without_arrows(spark, [both], [(0, 0, 30, 30), (60, 0, 30, 30)]) == ({0: ("库", 30, 30, None)}, [(0, 0, "←↑", "库"), (1, 0, "←↑", "库")], [0, 1])
     assert without_arrows(spark, [("←↑", 0, 0, 60, 30, None)], [(0, 0, 30, 30), (30, 0, 30, 30)])[0] == {}
     assert without_arrows(spark, [("", 0, 0, 60, 30, None), (None, 0, 0, 60, 30, None)], [(0, 0, 30, 30)])[0] == {0: ("", 0, 60, None), 1: (None, 0, 60, None)}
+
+
+def test_idle_jobs_as_a_stream(spark, tmp_path):
+    """Over ten batches the stream tells the same idle jobs as the batch query does over all events."""
+    rng = random.Random(3)
+    schema = "job string, t double, seq long, state string"
+    events = [(f"job{rng.randrange(60)}", 10.0 * k + rng.random(), k, rng.choice(["queued", "running", "done", "error"])) for k in range(300)]
+    now = 3600.5
+    folder = tmp_path / "events"
+    for n in range(10):
+        part = events[30 * n : 30 * n + 30] + ([("clock", now, 999, "running")] if n == 9 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(folder))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)).withColumn("at", F.timestamp_seconds("t"))
+    query = jobs.idle_jobs(rows, 500.0).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    told = spark.sql("select * from idle").collect()
+    assert len(query.recentProgress) >= 10
+    last = {}
+    for job, t, seq, state in events:
+        last[job] = (state, t)
+    got = {r.job: (r.state, r.touched) for r in told if last[r.job][1] == r.touched}
+    want = {r.job: (r.state, r.touched) for r in votes.idle(spark.createDataFrame(events, schema), now, 500.0).collect()}
+    assert got == want and want
+    at = {(job, t): state for job, t, _, state in events}
+    assert all(at[r.job, r.touched] == r.state not in ("queued", "running") for r in told)  # those that came back later were idle then
+
+
+def icons(spark, rows):
+    """rows: (box, and other columns by name); {id: (score, why)} of contained_icons()."""
+    base = {"score": 60, "pale": False, "light": False, "fill": 10, "rest": 100, "r": 0, "g": 0, "b": 0, "rest_r": 0, "rest_g": 0, "rest_b": 0}
+    kind = "page long, id long, x long, y long, w long, h long, score long, pale boolean, light boolean, fill long, rest long, r int, g int, b int, rest_r int, rest_g int, rest_b int"
+    out = [dict(zip(("x", "y", "w", "h"), box)) | base | more | {"page": 1, "id": i} for i, (box, more) in enumerate(rows)]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in out], kind)
+    return {r.id: (r.score, r.why, r.kept) for r in layout.contained_icons(df).collect()}
+
+
+OUTER, INNER = (0, 0, 100, 100), (20, 20, 40, 40)
+
+
+def test_icons_in_icons(spark):
+    fine, gone = (60, None, True), lambda why: (40, why, False)
+    assert icons(spark, [(OUTER, {}), (INNER, {})]) == {0: fine, 1: gone(layout.PART)}
+    assert icons(spark, [(OUTER, {"rest": 5}), (INNER, {"r": 200})]) == {0: fine, 1: gone(layout.PART)}
+    assert icons(spark, [(OUTER, {}), (INNER, {"r": 200})]) == {0: gone(layout.CONTAINER), 1: fine}
+    assert icons(spark, [(OUTER, {}), (INNER, {"r": 200, "fill": 1600})]) == {0: fine, 1: gone(layout.HOLE)}
+    assert icons(spark, [(OUTER, {}), (INNER, {"light": True})]) == {0: gone(layout.BAND), 1: fine}
+    assert icons(spark, [(OUTER, {}), (INNER, {"pale": True})]) == {0: fine, 1: fine}
+    assert icons(spark, [(OUTER, {"score": 50}), (INNER, {})]) == {0: (50, None, False), 1: fine}
+    # One of two has its colour: neither part nor container.
+    assert icons(spark, [(OUTER, {}), (INNER, {"r": 200}), ((60, 60, 30, 30), {})]) == {0: fine, 1: fine, 2: fine}
+    nested = icons(spark, [(OUTER, {"rest": 5}), ((10, 10, 60, 60), {"rest_r": 200}), ((20, 20, 30, 30), {"r": 0, "fill": 900})])
+    assert nested == {0: fine, 1: gone(layout.PART), 2: gone(layout.HOLE)}
+
+
+def split(spark, text, gaps, h=20, apart=None):
+    spans = [(20 * i, 20 * i + 18) for i in range(len(text))]
+    kind = "page long, id long, x long, w long, h long, text string, chars array<struct<x0:long,x1:long>>, gaps array<double>, apart array<double>"
+    row = (1, 1, 0, 20 * len(text), h, text, spans, [float(g) for g in gaps], [float(a) for a in apart or [0] * len(gaps)])
+    return [(r.text, r.x, r.w) for r in layout.split_at_gaps(spark.createDataFrame([row], kind)).orderBy("part").collect()]
+
+
+def test_lines_are_cut_at_wide_gaps(spark):
+    assert split(spark, "一二三四五", [1, 30, 1, 1]) == [("一二", 0, 38), ("三四五", 40, 58)]
+    assert split(spark, "一二三四五", [1, 10, 1, 1]) == [("一二 三四五", 0, 98)]
+    assert split(spark, "abcde", [1, 10, 1, 1]) == [("abcde", 0, 100)]  # no space between ASCII characters
+    assert split(spark, "一二，四五", [1, 1, 30, 1]) == [("一二，四五", 0, 100)]  # a comma is open anyway
+    assert split(spark, "一二三四五", [9, 9, 30, 9]) == [("一二三四五", 0, 100)]  # spaced out as a whole
+    assert split(spark, "05经百战", [1, 20, 1, 1], 60, [0, 120, 0, 0]) == [("05", 0, 38), ("经百战", 40, 58)]
+    assert split(spark, "一", []) == [("一", 0, 20)]
+
+
+def test_axes_form_an_l(spark):
+    column = [("高", 50, 100), ("中", 50, 180), ("低", 50, 260)]
+    row = [("低", 120, 320), ("中", 220, 320), ("高", 320, 320)]
+    found = lambda rows: [tuple(r) for r in layout.axis_corners(spark.createDataFrame([(1, i, x, y, 20, 20, t) for i, (t, x, y) in enumerate(rows)], "page long, id long, x long, y long, w long, h long, text string")).collect()]
+    assert found(column + row) == [(1, 0, 3, 50, 100, 290, 240)]
+    assert found(column[::-1] + row) == [(1, 2, 3, 50, 100, 290, 240)]
+    assert found([(t, x, 360 - y) for t, x, y in column] + row) == []  # low to high downwards
+    assert found(column + [(t, x, y + 200) for t, x, y in row]) == []  # too far below
+    assert found(column + [("低", 120, 320), ("中", 220, 320), ("高", 420, 320)]) == []  # uneven
