@@ -36,13 +36,15 @@ def edge_pairs(edges: DataFrame, least: int, cell: int = 128) -> DataFrame:
 
 
 def family_of_peers(lines: DataFrame, rounds: int = 2, most: float = 28.0) -> DataFrame:
-    """(page, id, family): small lines of a clear minority take the family of their peers.
+    """(page, id, family) of all lines: small ones of a clear minority take the family of their peers.
 
-    lines: page, id, size, r, g, b, family ('serif' or 'sans'), n (characters). Peers are lines of the page whose size is
-    within 6 % and whose colour is near, at least three with the line itself. Serif lines change where serif has under 45 %
-    of the peers' characters, others where it has over 55 %. All change at once, `rounds` times.
+    lines: page, id, size, r, g, b, family ('serif' or 'sans', or none), text. Lines of ASCII alone, or without a family, take no part. Peers
+    are lines of the page whose size is within 6 % and whose colour is near, at least three with the line itself; a line of
+    size 0 has none. Serif lines change where serif has under 45 % of the peers' characters, others where it has over 55 %.
+    All change at once, `rounds` times.
     """
-    small = lines.where(F.col("size") < most).select("page", "id", "size", "r", "g", "b", "n", "family")
+    part = (F.col("size") < most) & F.col("text").rlike(r"[^\x00-\x7f]") & F.col("family").isNotNull()
+    small = lines.where(part).select("page", "id", "size", "r", "g", "b", F.length("text").alias("n"), "family")
     step = lambda c: F.floor(F.log(c) / F.log(F.lit(1.07)))  # noqa: E731  sizes within 6 % lie in neighbouring steps
     for _ in range(rounds):
         one = small.withColumnsRenamed({c: f"a_{c}" for c in small.columns}).withColumn("step", F.explode(F.array(*[step("a_size") + k for k in (-1, 0, 1)])))
@@ -52,8 +54,8 @@ def family_of_peers(lines: DataFrame, rounds: int = 2, most: float = 28.0) -> Da
         counts = peers.groupBy(F.col("a_page").alias("page"), F.col("a_id").alias("id")).agg(F.count("*").alias("peers"), F.sum("b_n").alias("all"), F.sum(F.when(F.col("b_family") == "serif", F.col("b_n")).otherwise(0)).alias("serif"))
         share = F.try_divide(F.col("serif"), F.col("all"))
         to = F.when((F.col("family") == "serif") & (share < 0.45), "sans").when((F.col("family") == "sans") & (share > 0.55), "serif").otherwise(F.col("family"))
-        small = small.join(counts, ["page", "id"]).withColumn("family", F.when(F.col("peers") >= 3, to).otherwise(F.col("family"))).select("page", "id", "size", "r", "g", "b", "n", "family")
-    return small.select("page", "id", "family")
+        small = small.join(counts, ["page", "id"], "left").withColumn("family", F.when(F.col("peers") >= 3, to).otherwise(F.col("family"))).select("page", "id", "size", "r", "g", "b", "n", "family")
+    return lines.join(small.select("page", "id", F.col("family").alias("new")), ["page", "id"], "left").select("page", "id", F.coalesce("new", "family").alias("family"))
 
 
 def wire_blocks(lines: DataFrame) -> DataFrame:

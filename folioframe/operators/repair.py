@@ -70,7 +70,7 @@ def lines_edited(lines: DataFrame, edits: DataFrame) -> DataFrame:
     boxed = edits.where("x is not null").select("page", "id", "x", "y", "w", "h")
     near = touching(boxed, lines.select("page", "id", "x", "y", "w", "h")).withColumn("iou", geom.iou(geom.box("a_"), geom.box("b_"))).where(F.col("iou") >= SAME_LINE)
     found = near.groupBy(F.col("a_page").alias("page"), F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("b_id").alias("line")))).alias("lines"))
-    told = found.join(edits.select("page", "id", F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))).alias("text")), ["page", "id"])
+    told = found.join(edits.select("page", "id", F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")), r"(?U)^\s+|\s+$", "").alias("text")), ["page", "id"])
     rows = told.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "text", F.transform("lines", lambda c: c["line"]).alias("lines")))).alias("rows"))
     empty = F.expr("cast(array() as array<struct<line:bigint,text:string>>)")
 

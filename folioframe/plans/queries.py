@@ -127,14 +127,33 @@ def unify_sizes(spark, sf_dir):
     return folds.size_groups(lines)
 
 
-@query()
+_SIDES = "abs(z.x - s.x) < CAST(0.6 AS DOUBLE) * s.h"
+_MIDDLES = "abs((z.x + z.r) - (s.x + s.x + s.w)) / 2 < CAST(0.6 AS DOUBLE) * s.h"
+_GOES_ON = f"""abs(z.h - s.h) < CAST(0.15 AS DOUBLE) * greatest(z.h, s.h) AND 23 * abs(z.tone - s.id % 5) < 90 AND s.y + s.h - z.base > CAST(0.9 AS DOUBLE) * s.h AND s.y + s.h - z.base < CAST(2.2 AS DOUBLE) * s.h AND ({_SIDES} OR {_MIDDLES}) AND s.id % 17 <> 0 AND NOT z.badge"""
+
+
+@query(f"""{with_('boxes')}, s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS k FROM boxes),
+  f AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS line_no, CAST([] AS STRUCT(x BIGINT, r BIGINT, h BIGINT, base BIGINT, tone BIGINT, badge BOOLEAN, n BIGINT, align VARCHAR)[]) AS blocks FROM (SELECT DISTINCT page FROM s)
+    UNION ALL SELECT page, k, id, at_ - 1, coalesce(blocks[at_].n, 0), list_concat(list_concat(blocks[1 : at_ - 1], [{{'x': own.x, 'r': own.r, 'h': own.h, 'base': own.base, 'tone': own.tone, 'badge': own.badge, 'n': coalesce(blocks[at_].n, 0) + 1, 'align': CASE WHEN blocks[at_] IS NULL THEN 'left' WHEN NOT side AND middle THEN 'center' ELSE blocks[at_].align END}}]), blocks[at_ + 1 : len(blocks)])
+    FROM (SELECT *, abs(blocks[at_].x - own.x) < CAST(0.6 AS DOUBLE) * own.h AS side, abs((blocks[at_].x + blocks[at_].r) - (own.x + own.r)) / 2 < CAST(0.6 AS DOUBLE) * own.h AS middle
+    FROM (SELECT f.page, s.k, s.id, f.blocks, {{'x': s.x, 'r': s.x + s.w, 'h': s.h, 'base': s.y + s.h, 'tone': s.id % 5, 'badge': s.id % 17 = 0}} AS own, coalesce(nullif(list_position(list_transform(f.blocks, lambda z: {_GOES_ON}), true), 0), len(f.blocks) + 1) AS at_ FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1))),
+  e AS (SELECT page, blocks FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY k DESC) = 1)
+SELECT f.page, CAST(f.block AS INT) AS block, CAST(f.line_no AS INT) AS line_no, f.id, e.blocks[f.block + 1].align AS align FROM f JOIN e ON e.page = f.page WHERE f.k > 0""")
 def group_lines(spark, sf_dir):
     b = box("")
     lines = boxes(spark, sf_dir).select("page", "id", "x", "y", b.right.alias("right"), b.bottom.alias("baseline"), b.h.cast("double").alias("size"), F.lit(False).alias("bold"), (F.col("id") % 17 == 0).alias("badge"), *[((F.col("id") % 5) * k).alias(c) for c, k in zip("rgb", (5, 7, 11), strict=True)])
     return folds.paragraphs(lines)
 
 
-@query()
+_UNITED = "greatest(bs[i].r, bs[j].r) - least(bs[i].x, bs[j].x)", "greatest(bs[i].b, bs[j].b) - least(bs[i].y, bs[j].y)"
+_NEAR = f"({_UNITED[0]}) - (bs[i].r - bs[i].x) - (bs[j].r - bs[j].x) <= 4 AND ({_UNITED[1]}) - (bs[i].b - bs[i].y) - (bs[j].b - bs[j].y) <= 4 AND greatest({_UNITED[0]}, {_UNITED[1]}) <= 200"
+
+
+# Every turn of f unites the first pair of a page that is near enough, by the first box and then by the second.
+@query(f"""{with_('boxes')}, f AS (SELECT page, 0 AS k, list({{'x': x, 'y': y, 'r': x + w, 'b': y + h}} ORDER BY id) AS bs FROM boxes GROUP BY page
+    UNION ALL SELECT page, k + 1, list_concat(list_concat(bs[1 : i - 1], [{{'x': least(bs[i].x, bs[j].x), 'y': least(bs[i].y, bs[j].y), 'r': greatest(bs[i].r, bs[j].r), 'b': greatest(bs[i].b, bs[j].b)}}]), list_concat(bs[i + 1 : j - 1], bs[j + 1 : len(bs)]))
+    FROM (SELECT *, pair // 10000 AS i, pair % 10000 AS j FROM (SELECT *, list_min(flatten(list_transform(range(1, len(bs)), lambda i: list_transform(list_filter(range(i + 1, len(bs) + 1), lambda j: {_NEAR}), lambda j: i * 10000 + j)))) AS pair FROM f)) WHERE pair IS NOT NULL)
+SELECT page, CAST(n - 1 AS INT) AS seq, b.x AS x, b.y AS y, b.r - b.x AS w, b.b - b.y AS h FROM (SELECT page, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS n FROM (SELECT page, bs FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY k DESC) = 1))""")
 def merge_close(spark, sf_dir):
     return folds.merged_close(boxes(spark, sf_dir), 4, 200)
 
@@ -552,19 +571,21 @@ def edge_pairs(spark, sf_dir):
     return marks.edge_pairs(boxes(spark, sf_dir).withColumn("h", F.col("h") * 6), 60)
 
 
-_FONT_LINES = "SELECT page, id, CAST(10 + h / 2.0 AS DOUBLE) AS size, id % 5 * 20 AS r, id % 3 * 15 AS g, 0 AS b, CASE WHEN id % 4 = 0 THEN 'serif' ELSE 'sans' END AS family, w AS n FROM boxes"
+_FONT_TEXT = "CASE WHEN id % 6 = 0 THEN 'ascii ' || id ELSE repeat('字', CAST(w AS INT)) END"
+_FONT_LINES = f"SELECT page, id, CASE WHEN id % 31 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + h / 2.0 AS DOUBLE) END AS size, id % 5 * 20 AS r, id % 3 * 15 AS g, 0 AS b, CASE WHEN id % 4 = 0 THEN 'serif' ELSE 'sans' END AS family, {_FONT_TEXT} AS text, w AS n FROM boxes"
 
 
 def _peer_round(name: str, source: str) -> str:
     return f"""{name} AS MATERIALIZED (SELECT page, id, size, r, g, b, n, CASE WHEN peers >= 3 AND family = 'serif' AND serif < CAST(0.45 AS DOUBLE) * total THEN 'sans' WHEN peers >= 3 AND family = 'sans' AND serif > CAST(0.55 AS DOUBLE) * total THEN 'serif' ELSE family END AS family FROM (
-    SELECT p.page, p.id, p.size, p.r, p.g, p.b, p.n, p.family, count(*) AS peers, sum(q.n) AS total, sum(CASE WHEN q.family = 'serif' THEN q.n ELSE 0 END) AS serif FROM {source} p JOIN {source} q ON p.page = q.page AND abs(q.size - p.size) < CAST(0.06 AS DOUBLE) * p.size
+    SELECT p.page, p.id, p.size, p.r, p.g, p.b, p.n, p.family, count(q.id) AS peers, sum(q.n) AS total, sum(CASE WHEN q.family = 'serif' THEN q.n ELSE 0 END) AS serif FROM {source} p LEFT JOIN {source} q ON p.page = q.page AND abs(q.size - p.size) < CAST(0.06 AS DOUBLE) * p.size
       AND abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) < 90 GROUP BY ALL))"""
 
 
-@query(f"""{with_('boxes')}, l AS MATERIALIZED (SELECT * FROM ({_FONT_LINES}) WHERE size < 28), {_peer_round('one', 'l')}, {_peer_round('two', 'one')} SELECT page, id, family FROM two""")
+@query(f"""{with_('boxes')}, a AS MATERIALIZED (SELECT * FROM ({_FONT_LINES})), l AS MATERIALIZED (SELECT * FROM a WHERE size < 28 AND id % 6 <> 0), {_peer_round('one', 'l')}, {_peer_round('two', 'one')} SELECT a.page, a.id, coalesce(two.family, a.family) AS family FROM a LEFT JOIN two ON two.id = a.id""")
 def peer_family(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    lines = b.select("page", "id", (10 + F.col("h") / 2).alias("size"), (F.col("id") % 5 * 20).alias("r"), (F.col("id") % 3 * 15).alias("g"), F.lit(0).alias("b"), F.when(F.col("id") % 4 == 0, "serif").otherwise("sans").alias("family"), F.col("w").alias("n"))
+    size = F.when(F.col("id") % 31 == 0, 0.0).otherwise(10 + F.col("h") / 2)
+    lines = b.select("page", "id", size.alias("size"), (F.col("id") % 5 * 20).alias("r"), (F.col("id") % 3 * 15).alias("g"), F.lit(0).alias("b"), F.when(F.col("id") % 4 == 0, "serif").otherwise("sans").alias("family"), F.expr(_FONT_TEXT).alias("text"))
     return marks.family_of_peers(lines)
 
 
@@ -651,10 +672,10 @@ def vertical_split(spark, sf_dir):
     return marks.vertical_split(lines)
 
 
-_EDITED = "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN ' ' ELSE ' new ' || id END"
+_EDITED = "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 8 = 1 THEN ' ' WHEN id % 8 = 5 THEN chr(9) || chr(10) || ' ' ELSE ' new ' || chr(10) || id || chr(9) END"
 
 
-@query(f"""{with_('boxes')}, e AS (SELECT page, id, x + 2 AS x, y + 1 AS y, w, h, trim(coalesce({_EDITED}, '')) AS text FROM boxes WHERE id % 3 <> 0),
+@query(f"""{with_('boxes')}, e AS (SELECT page, id, x + 2 AS x, y + 1 AS y, w, h, regexp_replace(replace(coalesce({_EDITED}, ''), chr(10), ''), '^\\s+|\\s+$', '', 'g') AS text FROM boxes WHERE id % 3 <> 0),
   p AS (SELECT a.page, a.id AS edit, a.text, b.id AS line, {INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE)) AS iou FROM e a JOIN boxes b ON a.page = b.page AND {INTER} / greatest(1e-6, CAST({UNION} AS DOUBLE)) >= CAST(0.4 AS DOUBLE)),
   c AS MATERIALIZED (SELECT page, edit, text, list(line ORDER BY iou DESC, line) AS lines, row_number() OVER (PARTITION BY page ORDER BY edit) AS k FROM p GROUP BY page, edit, text),
   f AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(line BIGINT, text VARCHAR, k BIGINT)[]) AS done FROM (SELECT DISTINCT page FROM c)
