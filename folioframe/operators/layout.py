@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geom
 from ..functions.text import chars, let
@@ -154,3 +154,56 @@ def axis_corners(lines: DataFrame) -> DataFrame:
     pairs = pairs.where((down >= -F.col("tall")) & (down < 5 * F.col("tall")) & (across >= -F.col("tall")) & (across < 6 * F.col("tall")))
     x, y = least("col", lambda m: m["x"]), least("col", lambda m: m["y"])
     return pairs.select("page", "column_id", "row_id", x.alias("x"), y.alias("y"), (most("row", lambda m: m["x"] + m["w"]) - x).alias("w"), (most("row", lambda m: m["y"] + m["h"]) - y).alias("h"))
+
+
+#: A row or column of this share of background is empty; a cut between panels needs this much.
+EMPTY, SEAM = 0.995, 0.55
+#: Width by height of a panel, and how many there may be in a band.
+SHAPE, PANELS = (1.15, 2.2), 8
+
+
+def sheet_panels(cells: DataFrame) -> DataFrame:
+    """(page, panel, x, y, w, h): the pages that a contact sheet shows, in reading order; nothing for a single page.
+
+    cells: page, r, c, pure (background or not), a row for each pixel of a coarse image. Empty rows cut a sheet into bands; a band
+    is cut into as many equally wide panels as their shape allows, each cut at the emptiest column near its place. Panels
+    lose their empty margins. A sheet has two bands at least, panels of much the same shape, and they cover 0.4 of it.
+    """
+    from .sequences import segments
+
+    share = F.avg(F.col("pure").cast("double"))
+    size = cells.groupBy("page").agg((F.max("r") + 1).alias("H"), (F.max("c") + 1).alias("W"))
+    rows = cells.groupBy("page", "r").agg((share >= EMPTY).alias("gap"))
+    bands = segments(rows, "page", "r", "gap", 3, 0).join(size, "page").where(F.col("stop") - F.col("start") >= F.floor(0.08 * F.col("H")))
+    bands = bands.select("page", F.col("start").alias("y0"), F.col("stop").alias("y1"))
+    several = bands.groupBy("page").agg(F.count("*").alias("n")).where("n >= 2").select("page")
+    bands = bands.join(several, "page", "left_semi")
+    inside = cells.join(bands, "page").where("r >= y0 and r < y1")
+    columns = inside.groupBy("page", "y0", "y1", "c").agg(share.alias("s")).groupBy("page", "y0", "y1").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda z: z["s"]).alias("cs"))
+    full = F.filter(F.transform("cs", lambda s, i: F.when(s < EMPTY, i)), lambda i: i.isNotNull())
+    columns = columns.withColumns({"a": F.array_min(full), "b": F.array_max(full) + 1}).where("a is not null")
+    a, b, tall = F.col("a"), F.col("b"), F.col("y1") - F.col("y0")
+
+    tried = columns.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(PANELS)))).withColumn("wide", (b - a) / F.col("k")).where((F.col("wide") / tall).between(*SHAPE))
+    reach = F.greatest(F.lit(3), F.floor(0.04 * F.col("wide")).cast("int"))
+
+    def seam(i: Column) -> Column:
+        """The emptiest column near the i-th cut's place, the first on a tie; null if it is not empty enough."""
+        place = F.floor(a + i * F.col("wide")).cast("int")
+        first = lambda c: F.greatest(a, c - reach)
+        best = lambda c, near: F.when(F.array_max(near) >= SEAM, first(c) + F.array_position(near, F.array_max(near)).cast("int") - 1)
+        return let(place, lambda c: let(F.slice("cs", first(c) + 1, F.least(b, c + reach) - first(c)), lambda near: best(c, near)))
+
+    seams = F.when(F.col("k") > 1, F.transform(F.sequence(F.lit(1), F.col("k") - 1), seam)).otherwise(F.expr("cast(array() as array<int>)"))
+    tried = tried.withColumn("seams", seams).where(~F.exists("seams", lambda c: c.isNull()))
+    parts = tried.groupBy("page", "y0", "y1").agg(F.max_by(F.concat(F.array("a"), "seams", F.array("b")), "k").alias("cuts"))
+    parts = parts.select("page", "y0", "y1", F.explode(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("x0"), F.get("cuts", i + 1).alias("x1")))).alias("p")).select("page", "y0", "y1", "p.*")
+    held = cells.join(parts, "page").where("r >= y0 and r < y1 and c >= x0 and c < x1")
+    panel = ["page", "y0", "y1", "x0", "x1"]
+    edges = lambda by, low, high: held.groupBy(*panel, by).agg(share.alias("s")).where(F.col("s") < EMPTY).groupBy(*panel).agg(F.min(by).alias(low), F.max(by).alias(high))
+    boxes = edges("c", "x", "right").join(edges("r", "y", "low"), panel).select("page", "y0", "x0", "x", "y", (F.col("right") - F.col("x") + 1).alias("w"), (F.col("low") - F.col("y") + 1).alias("h"))
+    shape = F.col("w") / F.col("h")
+    sums = boxes.groupBy("page").agg(F.count("*").alias("n"), F.min(shape).alias("narrow"), F.max(shape).alias("broad"), F.sum(F.col("w") * F.col("h")).alias("area")).join(size, "page")
+    real = sums.where((F.col("n") >= 2) & (F.col("broad") <= 1.25 * F.col("narrow")) & (F.col("area") >= 0.4 * F.col("W") * F.col("H"))).select("page")
+    order = F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0"))
+    return boxes.join(real, "page", "left_semi").select("page", order.alias("panel"), "x", "y", "w", "h")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geom
+from ..functions.text import let
 from .spatial import touching
 
 
@@ -100,6 +101,42 @@ def fitted_planes(points: DataFrame, key: str) -> DataFrame:
     return out.select(key, ((c("z") - F.col("cu") * c("u") - F.col("cv") * c("v")) / c("n")).alias("c0"), "cu", "cv")
 
 
+#: The powers of u and v in the terms of a surface: 1, u, v, u u, u v and v v.
+TERMS = ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2))
+
+
+def _solved(rows: Column) -> Column:
+    """The solution of linear equations, [(coefficients.., right side)], by elimination with row pivots; null without a clear one."""
+    n = len(TERMS)
+    cell = lambda m, r, c: F.get(F.get(m, r), c)
+
+    def cleared(m: Column, k: Column, p: Column) -> Column:
+        swapped = F.transform(m, lambda row, r: F.when(r == k, F.get(m, p)).when(r == p, F.get(m, k)).otherwise(row))
+        top = lambda s: F.transform(F.get(s, k), lambda v: v / cell(s, k, k))
+        below = lambda s, t: F.transform(s, lambda row, r: F.when(r == k, t).otherwise(F.zip_with(row, t, lambda a, b: a - F.get(row, k) * b)))
+        return let(swapped, lambda s: let(top(s), lambda t: below(s, t)))
+
+    def step(m: Column, k: Column) -> Column:
+        largest = F.array_max(F.transform(F.sequence(k, F.lit(n - 1)), lambda r: F.struct(F.abs(cell(m, r, k)).alias("size"), (-r).alias("less"))))
+        return let(largest, lambda z: F.when(z["size"] > 1e-9 * F.get(F.get(rows, F.lit(0)), F.lit(0)), cleared(m, k, -z["less"])))
+
+    done = F.aggregate(F.array(*map(F.lit, range(n))), rows, step)
+    return F.transform(done, lambda row: F.get(row, F.lit(n)))
+
+
+def fitted_surfaces(points: DataFrame, key: str) -> DataFrame:
+    """(key, c): least squares of z on 1, u, v, u u, u v and v v, by sums; the plane with three zeros where that has no clear
+    solution or points are under six, and null where there is no plane either. u and v should be scaled to about -1 .. 1."""
+    power = lambda i, j: F.pow("u", F.lit(i)) * F.pow("v", F.lit(j))
+    sums = {f"m_{i}_{j}": F.sum(power(i, j)) for i in range(5) for j in range(5 - i)} | {f"z_{i}_{j}": F.sum(power(i, j) * F.col("z")) for i, j in TERMS}
+    rows = points.where("z is not null").groupBy(key).agg(F.count("*").alias("n"), *[s.alias(k) for k, s in sums.items()])
+    equations = F.array(*[F.array(*[F.col(f"m_{a + c}_{b + d}") for c, d in TERMS], F.col(f"z_{a}_{b}")) for a, b in TERMS])
+    solved = rows.withColumn("rows", equations).withColumn("c", F.when(F.col("n") >= len(TERMS), _solved(F.col("rows"))))
+    planes = fitted_planes(points, key)
+    plane = F.when(F.col("cu").isNotNull(), F.array("c0", "cu", "cv", *[F.lit(0.0)] * 3))
+    return solved.join(planes, key, "left").select(key, F.coalesce("c", plane).alias("c"))
+
+
 CJK = "^[\\u4e00-\\u9fff]+$"
 
 

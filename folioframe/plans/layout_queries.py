@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, marks
 from .queries import INTER, query
 from .relations import relation, with_
 
@@ -65,3 +65,39 @@ def _axes(key: str, pos: str, order: str) -> str:
 SELECT page, column_id, row_id, x, y, list_max(list_transform("row", lambda z: z.x + z.w)) - x AS w, list_max(list_transform("row", lambda z: z.y + z.h)) - y AS h FROM k WHERE cl <= rt + tall AND rt - cl < 5 * tall AND cr <= rl + tall AND rl - cr < 6 * tall""")
 def axis_corners(spark, sf_dir):
     return layout.axis_corners(relation(spark, sf_dir, "grade_lines"))
+
+
+# Every number of panels is tried for each band; of those whose cuts all fall on empty columns the largest counts.
+@query(f"""{with_('sheet_cells')}, sz AS (SELECT page, max(r) + 1 AS hh, max(c) + 1 AS ww FROM sheet_cells GROUP BY page),
+  rw AS (SELECT page, r, avg(CAST(pure AS INT)) >= 0.995 AS gap FROM sheet_cells GROUP BY page, r),
+  i AS (SELECT page, gap, min(r) AS a, max(r) AS b, count(*) AS n FROM (SELECT *, r - row_number() OVER (PARTITION BY page, gap ORDER BY r) AS g FROM rw) GROUP BY page, gap, g),
+  p AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY page ORDER BY a) AS part FROM (SELECT i.*, gap AND (n >= 3 OR a = low OR b = high) AS cut FROM i JOIN (SELECT page, min(r) AS low, max(r) AS high FROM rw GROUP BY page) USING (page))),
+  bd AS MATERIALIZED (SELECT * FROM (SELECT p.page, min(a) AS y0, max(b) + 1 AS y1, any_value(hh) AS hh FROM p JOIN sz ON sz.page = p.page WHERE NOT cut GROUP BY p.page, part) WHERE y1 - y0 >= floor(CAST(0.08 AS DOUBLE) * hh) QUALIFY count(*) OVER (PARTITION BY page) >= 2),
+  cs AS MATERIALIZED (SELECT s.page, y0, y1, c, avg(CAST(pure AS INT)) AS s FROM sheet_cells s JOIN bd ON bd.page = s.page AND r >= y0 AND r < y1 GROUP BY ALL),
+  ab AS (SELECT page, y0, y1, min(c) AS a, max(c) + 1 AS b FROM cs WHERE s < 0.995 GROUP BY page, y0, y1),
+  kk AS (SELECT *, (b - a) / CAST(k AS DOUBLE) AS wide FROM ab, (SELECT unnest(range(1, 9)) AS k)),
+  ct AS (SELECT *, CAST(floor(a + i * wide) AS INT) AS at_, greatest(3, CAST(floor(CAST(0.04 AS DOUBLE) * wide) AS INT)) AS win FROM kk, LATERAL (SELECT unnest(range(1, k)) AS i) WHERE wide / (y1 - y0) BETWEEN 1.15 AND 2.2),
+  sm AS (SELECT ct.page, ct.y0, k, i, arg_max(c, s * 1000000 - c) AS cut, max(s) AS s FROM ct JOIN cs ON cs.page = ct.page AND cs.y0 = ct.y0 AND c >= greatest(a, at_ - win) AND c < least(b, at_ + win) GROUP BY ALL),
+  ok AS (SELECT page, y0, max(k) AS k FROM (SELECT kk.page, kk.y0, kk.k FROM kk LEFT JOIN sm ON sm.page = kk.page AND sm.y0 = kk.y0 AND sm.k = kk.k AND sm.s >= 0.55 WHERE wide / (kk.y1 - kk.y0) BETWEEN 1.15 AND 2.2 GROUP BY ALL HAVING count(sm.i) = kk.k - 1) GROUP BY ALL),
+  pt AS (SELECT page, y0, cut AS x0, lead(cut) OVER (PARTITION BY page, y0 ORDER BY cut) AS x1 FROM (SELECT ab.page, ab.y0, a AS cut FROM ab JOIN ok ON ok.page = ab.page AND ok.y0 = ab.y0 UNION ALL SELECT ab.page, ab.y0, b FROM ab JOIN ok ON ok.page = ab.page AND ok.y0 = ab.y0 UNION ALL SELECT sm.page, sm.y0, cut FROM sm JOIN ok ON ok.page = sm.page AND ok.y0 = sm.y0 AND ok.k = sm.k)),
+  hd AS MATERIALIZED (SELECT s.page, bd.y0, x0, r, c, pure FROM sheet_cells s JOIN bd ON bd.page = s.page AND r >= bd.y0 AND r < bd.y1 JOIN pt ON pt.page = s.page AND pt.y0 = bd.y0 AND c >= x0 AND c < x1),
+  bx AS MATERIALIZED (SELECT page, y0, x0, x, y, x2 - x + 1 AS w, y2 - y + 1 AS h FROM (SELECT page, y0, x0, min(c) AS x, max(c) AS x2 FROM (SELECT page, y0, x0, c FROM hd GROUP BY ALL HAVING avg(CAST(pure AS INT)) < 0.995) GROUP BY ALL) JOIN (SELECT page, y0, x0, min(r) AS y, max(r) AS y2 FROM (SELECT page, y0, x0, r FROM hd GROUP BY ALL HAVING avg(CAST(pure AS INT)) < 0.995) GROUP BY ALL) USING (page, y0, x0)),
+  rl AS (SELECT bx.page FROM bx JOIN sz ON sz.page = bx.page GROUP BY bx.page HAVING count(*) >= 2 AND max(w / h) <= CAST(1.25 AS DOUBLE) * min(w / h) AND sum(w * h) >= CAST(0.4 AS DOUBLE) * any_value(ww) * any_value(hh))
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0) AS INT) AS panel, x, y, w, h FROM bx WHERE page IN (SELECT page FROM rl)""")
+def contact_sheets(spark, sf_dir):
+    return layout.sheet_panels(relation(spark, sf_dir, "sheet_cells"))
+
+
+_POINTS = "SELECT page, (x - 200) / CAST(200 AS DOUBLE) AS u, (y - 150) / CAST(150 AS DOUBLE) AS v, CAST(w + h * 3 AS DOUBLE) AS z FROM boxes"
+_MATRIX = "[" + ", ".join("[" + ", ".join(f"sum(pow(u, {a + c}) * pow(v, {b + d}))" for c, d in marks.TERMS) + f", sum(pow(u, {a}) * pow(v, {b}) * z)]" for a, b in marks.TERMS) + "]"
+
+
+# Elimination: turn k brings the row with the largest entry of column k up, and clears that column in all others.
+@query(f"""{with_('boxes')}, e AS (SELECT page, 1 AS k, {_MATRIX} AS m FROM ({_POINTS}) GROUP BY page HAVING count(*) >= 6
+    UNION ALL SELECT page, k + 1, list_transform(range(1, 7), lambda r: CASE WHEN r = k THEN list_transform(s[k], lambda v: v / s[k][k]) ELSE list_transform(range(1, 8), lambda c: s[r][c] - s[r][k] * (s[k][c] / s[k][k])) END)
+    FROM (SELECT *, list_transform(range(1, 7), lambda r: CASE WHEN r = k THEN m[p] WHEN r = p THEN m[k] ELSE m[r] END) AS s FROM (SELECT *, list_reverse_sort(list_transform(range(k, 7), lambda r: {{'size': abs(m[r][k]), 'less': -r}}))[1].less * -1 AS p FROM e WHERE k <= 6)))
+SELECT page, {", ".join(f"round(m[{i + 1}][7], 4) AS c{i}" for i in range(6))} FROM e WHERE k = 7""")
+def surface_fit(spark, sf_dir):
+    points = relation(spark, sf_dir, "boxes").select("page", ((F.col("x") - 200) / 200).alias("u"), ((F.col("y") - 150) / 150).alias("v"), (F.col("w") + F.col("h") * 3).cast("double").alias("z"))
+    found = marks.fitted_surfaces(points, "page").where("c is not null")
+    return found.select("page", *[F.round(F.get("c", F.lit(i)), 4).alias(f"c{i}") for i in range(6)])

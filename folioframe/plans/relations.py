@@ -22,6 +22,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
     "gap_lines": ("part", """SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS x, CAST(22 * length(p_name) + 40 AS BIGINT) AS w, CAST(24 + p_partkey % 3 * 14 AS BIGINT) AS h, CASE p_partkey % 4 WHEN 0 THEN p_name || '05' WHEN 1 THEN translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') WHEN 2 THEN translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '（' || translate(lower(p_type), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '）' ELSE translate(substr(p_name, 1, 3), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '。ok' END AS text FROM part"""),
     "grade_lines": ("part", """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN q < 3 THEN 50 + p_size % 4 WHEN q < 6 THEN 60 + (q - 2) * 120 + p_size % 9 ELSE 50 + p_size * 9 END AS BIGINT) AS x, CAST(CASE WHEN q < 3 THEN 100 + q * 90 + p_size % 9 WHEN q < 6 THEN 350 + p_size % 5 ELSE 90 + p_size * 6 END AS BIGINT) AS y, CAST(30 AS BIGINT) AS w, CAST(18 + p_size % 6 AS BIGINT) AS h,
         CASE q WHEN 0 THEN '高' WHEN 1 THEN ' 中' WHEN 2 THEN '低' WHEN 3 THEN 'Low' WHEN 4 THEN 'Medium' WHEN 5 THEN 'High' ELSE CASE WHEN p_size % 9 = 0 THEN '高' ELSE p_name END END AS text FROM (SELECT p_partkey, p_size, p_name, p_partkey % 10 AS q FROM part)"""),
+    "sheet_cells": ("orders", """SELECT page, r, c, r IN (0, 1, 14, 15, 16, 29) OR c % (16 + page % 2 * 9) = 0 OR noise % (6 + page % 3) = 0 AND page % 7 <> 3 AS pure FROM (SELECT CAST(floor(o_orderkey / 1500) AS BIGINT) AS page, CAST(floor(o_orderkey % 1500 / 50) AS INT) AS r, CAST(o_orderkey % 50 AS INT) AS c, CAST(o_custkey AS BIGINT) AS noise FROM orders)"""),
     "cards": ("part", """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(48 + 210 * (p_partkey % 4) AS BIGINT) AS x, CAST(500 AS BIGINT) AS y, CAST(CASE WHEN floor(p_partkey / 4) % 2 = 0 THEN 180 ELSE 200 END AS BIGINT) AS w, CAST(56 AS BIGINT) AS h,
         CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS has_text, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS has_icon FROM part"""),
     "written": ("part", """SELECT *, CASE id % 7 WHEN 0 THEN replace(text, 'o', 'e') WHEN 1 THEN replace(replace(text, 'l', '1'), 'n', 'm') WHEN 2 THEN replace(text, substr(text, 3, 1), CAST(size AS VARCHAR(9))) WHEN 3 THEN text WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN '  ' || replace(text, 'i', 'oo') || ' ' END AS new

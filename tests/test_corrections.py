@@ -3,9 +3,10 @@
 import difflib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from folioframe.operators import arrows, edits, layout, styles, votes
+from folioframe.operators import arrows, edits, layout, marks, styles, votes
 from folioframe.streaming import jobs
 
 
@@ -289,3 +290,47 @@ def test_axes_form_an_l(spark):
     assert found([(t, x, 360 - y) for t, x, y in column] + row) == []  # low to high downwards
     assert found(column + [(t, x, y + 200) for t, x, y in row]) == []  # too far below
     assert found(column + [("低", 120, 320), ("中", 220, 320), ("高", 420, 320)]) == []  # uneven
+
+
+def panels(spark, width, height, boxes, noise=()):
+    inside = lambda r, c: any(x <= c < x + w and y <= r < y + h for x, y, w, h in boxes)
+    cells = [(1, r, c, not inside(r, c) or (r, c) in noise) for r in range(height) for c in range(width)]
+    df = spark.createDataFrame(cells, "page long, r int, c int, pure boolean")
+    return [tuple(r)[2:] for r in layout.sheet_panels(df).orderBy("panel").collect()]
+
+
+def test_contact_sheets_in_two_dimensions(spark):
+    grid = [(2 + 18 * i, 2 + 14 * j, 16, 10) for j in range(2) for i in range(3)]
+    assert panels(spark, 57, 28, grid) == grid
+    uneven = [*grid[:3], (2, 16, 25, 12), (29, 16, 25, 12)]  # three above two, of other shapes
+    assert panels(spark, 57, 31, uneven) == []
+    assert panels(spark, 57, 28, grid[:3]) == []  # one band
+    assert panels(spark, 90, 70, grid) == []  # they cover too little
+    assert panels(spark, 57, 28, []) == []
+
+
+def test_surfaces(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.uniform(-1, 1, (2, 60))
+    cases = {
+        "quadratic": (u, v, 3 + 2 * u - v + 0.5 * u * u - 4 * u * v + v * v),
+        "noisy": (u, v, rng.normal(size=60)),
+        "five points": (u[:5], v[:5], 1 + 2 * u[:5] - 3 * v[:5]),
+        "on a grid of two": (np.array([0.0, 0, 1, 1, 0, 1]), np.array([0.0, 1, 0, 1, 0, 1]), np.array([1.0, 2, 3, 4, 1, 4])),
+        "on a line": (u[:20], 2 * u[:20], u[:20]),
+    }
+    rows = [(name, float(a), float(b), float(c)) for name, xyz in cases.items() for a, b, c in zip(*xyz)]
+    got = {r.key: r.c for r in marks.fitted_surfaces(spark.createDataFrame(rows, "key string, u double, v double, z double"), "key").collect()}
+    for name in ("quadratic", "noisy"):
+        x, y, z = cases[name]
+        want = np.linalg.lstsq(np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], axis=1), z, rcond=None)[0]
+        assert np.allclose(got[name], want, atol=1e-9), name
+    assert np.allclose(got["five points"], [1, 2, -3, 0, 0, 0], atol=1e-9)
+    assert np.allclose(got["on a grid of two"], [1, 2, 1, 0, 0, 0], atol=1e-9)
+    assert got["on a line"] is None
+
+
+def test_peers_of_all_lines(spark):
+    lines = [(1, i, 20.0, 0, 0, 0, "sans", "正文正文") for i in range(4)] + [(1, 4, 20.0, 0, 0, 0, "serif", "正文"), (1, 5, 20.0, 0, 0, 0, "serif", "ascii"), (1, 6, 0.0, 0, 0, 0, "serif", "字"), (1, 7, 40.0, 0, 0, 0, "serif", "大字"), (1, 8, 20.0, 0, 0, 0, None, "字")]
+    got = marks.family_of_peers(spark.createDataFrame(lines, "page long, id long, size double, r int, g int, b int, family string, text string")).collect()
+    assert {r.id: r.family for r in got} == {**{i: "sans" for i in range(5)}, 5: "serif", 6: "serif", 7: "serif", 8: None}
