@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 BLANK = "▁"
 #: Marks before which a word may be cut, where the pieces allow it.
 MARKS = ".,;:!?|#$%&*()\"'-/"
-#: Units whose encoding a worker keeps, twice over: when so many are new, those before the last time go.
-KEPT = 80_000
+#: Units whose encoding a worker keeps, twice over: when so many are new, those before the last time go. The pipeline's workers,
+#: which hold other stages' tables too, keep KEPT; a job of its own may keep ALONE. Results don't depend on it.
+KEPT, ALONE = 80_000, 240_000
 UNKNOWN, NORMAL, BYTE = 2, 1, 6
 
 
@@ -45,6 +46,7 @@ class PieceModel:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.end = proto.trainer_spec.eos_id
+        self.room = KEPT
         self.plain = set(self.ids.values())
         self.special = {i for i, p in enumerate(proto.pieces) if p.type not in (NORMAL, BYTE)}
         self.automaton = ahocorasick.Automaton()
@@ -84,7 +86,7 @@ class PieceModel:
         key = left, right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > KEPT:
+            if len(self.fits) > self.room:
                 self.fits.clear()
             known = self.fits[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -136,7 +138,7 @@ class PieceModel:
             ids = self.unit_ids(unit)
             text = self._text(ids)
             got = " ".join(map(str, ids)), unit if text == unit else text
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.room:
             self.old, self.kept = self.kept, {}
         if len(unit) <= 64:
             self.kept[unit] = got
@@ -174,13 +176,14 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens and, as digests are wanted or not, ids and decoded or their sha256."""
+def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", digests: bool = False, kept: int = KEPT) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens and, as digests are wanted or not, ids and decoded or their sha256. kept: units that a worker keeps."""
     id_type = docs.schema[id_column].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches):
         m = model(path)
+        m.room = kept
         for batch in batches:
             n, first, second = [], [], []
             for text in batch.column(1):

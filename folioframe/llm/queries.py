@@ -29,7 +29,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents"), piece_model_path(), digests=True)
+    return pieces.encoded(table(spark, sf_dir, "documents"), piece_model_path(), digests=True, kept=pieces.ALONE)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
