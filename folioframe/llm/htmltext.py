@@ -12,8 +12,9 @@ Scanning takes time in proportion to the page: every step moves on in it, and wh
 
 Defined results: null, empty and tagless pages (their text is one block) are decoded like any other; a page without main
 text gives an empty text; tags, quotes, comments and open elements end as in browsers, but a quote that nothing closes ends
-at the tag's end; elements nested over `MAX_DEPTH` deep keep their text and give no features; text of any length is read
-whole; repeated rows are extracted each; an empty table gives no rows.
+at the tag's end; elements nested to any depth give features, each at the cost of what it adds to those around it; what
+stands on a button is a form's; text of any length is read whole; repeated rows are extracted each; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Elements whose content is no text of the page.
-SILENT = frozenset(("script", "style", "noscript", "template", "title", "svg", "iframe", "object", "canvas", "math", "audio", "video", "select", "textarea", "head"))
+SILENT = frozenset(("script", "style", "noscript", "template", "title", "svg", "iframe", "object", "canvas", "math", "audio", "video", "select", "textarea", "head", "button", "datalist"))
 RAW = ("script", "style", "noscript", "template", "title", "svg", "iframe", "textarea")
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A new element of a kind closes the open ones of these kinds.
-CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SCOPE = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "p": ("div", "td", "li", "section", "article", "blockquote", "body"), "thead": ("table",), "tbody": ("table",), "option": ("select",)}
 #: Elements that stand in a head; any other one ends it.
@@ -48,8 +49,8 @@ TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in RAW}
 #: Attributes whose words tell what a part of a page is.
 NAMES = frozenset(("class", "id", "role", "aria-label", "itemprop"))
-#: Open elements, from the outermost, that give a block features; browsers have such a limit too.
-MAX_DEPTH = 256
+#: Elements that tell what the text in them is for; the innermost one counts.
+SECTIONS = frozenset("article main nav aside header footer form".split())
 PARTS = re.compile(r"[a-z]+")
 #: Words and marks of menus, notices and the like; forms of one key stand together, parted by a slash.
 KEYS = (
@@ -60,19 +61,50 @@ KEYS = (
 KEY_RATE = 160
 
 
+class Element:
+    """An open element and those around it; inline ones without names are left out."""
+
+    __slots__ = ("around", "tag", "names", "fresh", "leaf", "parent", "depth", "section")
+
+    def __init__(self, around: Element | None, tag: str, names: str, fresh: tuple[str, ...]):
+        self.around, self.tag, self.names = around, tag, names
+        self.fresh = fresh  # features that no element around it has
+        if around is None:
+            self.leaf, self.parent, self.depth, self.section = "-", "-", 0, "-"
+        elif tag in INLINE:
+            self.leaf, self.parent, self.depth, self.section = around.leaf, around.parent, around.depth, around.section
+        else:
+            self.leaf, self.parent, self.depth = tag, around.leaf, around.depth + 1
+            self.section = tag if tag in SECTIONS else around.section
+
+    def out(self):
+        """This element and those around it, innermost first, but for the page itself."""
+        at = self
+        while at.around is not None:
+            yield at
+            at = at.around
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple  # (tag, names) of the open elements, outermost first
+    inside: Element  # the innermost open element
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple:
+        """(tag, names) of the open elements, outermost first."""
+        return tuple((e.tag, e.names) for e in self.inside.out())[::-1]
+
 
 class Scanner:
     """The leaf blocks of a page, in order."""
 
     def __init__(self, html: str):
         self.out: list[Block] = []
-        self.stack: list[tuple[str, str]] = []
+        self.page = Element(None, "", "", ("bias",))
+        self.stack: list[tuple[str, Element]] = []
+        self.features: set[str] = set()  # of the open elements
         self.places: dict[str, list[int]] = {}  # of each tag's open elements, in the stack
         self.blocks: list[int] = []  # of open elements that are not inline
         self.parts: list[str] = []
@@ -127,11 +159,13 @@ class Scanner:
             if html[at] == ">":
                 return at + 1, " ".join(names).lower(), html[at - 1] == "/" and not value
 
+    def inside(self) -> Element:
+        return self.stack[-1][1] if self.stack else self.page
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(x for x in self.stack[:MAX_DEPTH] if x[0] not in INLINE or x[1])
-            self.out.append(Block(text, path, min(self.linked, len(text))))
+            self.out.append(Block(text, self.inside(), min(self.linked, len(text))))
         self.parts.clear()
         self.linked = 0
 
@@ -150,16 +184,23 @@ class Scanner:
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
             self.blocks.append(len(self.stack))
-        self.stack.append((tag, names))
+        element = self.inside()
+        if names or tag not in INLINE:
+            fresh = tuple(f for f in element_features(tag, names) if f not in self.features)
+            self.features.update(fresh)
+            element = Element(element, tag, names, fresh)
+        self.stack.append((tag, element))
         self.links += tag == "a"
         self.silent += tag in SILENT
 
     def pop(self, to: int) -> None:
-        for tag, _ in self.stack[to:]:
+        while len(self.stack) > to:
+            tag, element = self.stack.pop()
+            if element is not self.inside():
+                self.features.difference_update(element.fresh)
             self.places[tag].pop()
             self.links -= tag == "a"
             self.silent -= tag in SILENT
-        del self.stack[to:]
         while self.blocks and self.blocks[-1] >= to:
             self.blocks.pop()
 
@@ -208,22 +249,31 @@ def blocks(html: str) -> list[Block]:
     return Scanner(html).out
 
 
+@lru_cache(maxsize=1)
+def part_kinds() -> dict[str, list[str]]:
+    """The kinds of parts that a word of a name tells of."""
+    out: dict[str, list[str]] = {}
+    for kind, names in PART_NAMES.items():
+        for word in sorted(set(PARTS.findall(names)) - set(PARTS.findall(MAIN_NAMES))):
+            out.setdefault(word, []).append(kind)
+    return out
+
+
 @lru_cache(maxsize=10_000)
-def path_features(path: tuple) -> tuple[str, ...]:
-    """Features of a block's ancestors."""
-    out = {"bias"}
-    for tag, names in path:
-        out.add(f"in:{tag}")
-        for word in PARTS.findall(names):
-            out.add(f"name:{word}")
-            out.update(f"stem:{word[:k]}" for k in (3, 5) if len(word) > k)
-    block = [t for t, _ in path if t not in INLINE]
-    out.add(f"leaf:{block[-1] if block else '-'}")
-    out.add(f"parent:{block[-2] if len(block) > 1 else '-'}")
-    out.add(f"depth:{min(len(block), 6)}")
+def element_features(tag: str, names: str) -> tuple[str, ...]:
+    """Features that an element gives to the blocks in it."""
+    out = {f"in:{tag}"}
+    for word in PARTS.findall(names):
+        out.add(f"name:{word}")
+        out.update(f"stem:{word[:k]}" for k in (3, 5) if len(word) > k)
+        out.update(f"kind:{k}" for k in part_kinds().get(word, ()))
     return tuple(sorted(out))
 
 
+def place_features(inside: Element) -> tuple[str, str, str]:
+    return f"leaf:{inside.leaf}", f"parent:{inside.parent}", f"depth:{min(inside.depth, 6)}"
+
+
 @lru_cache(maxsize=1)
 def key_finder():
     """An automaton that finds all keys' forms in one pass over a lower-cased text."""
@@ -244,11 +294,13 @@ def text_features(block: Block) -> list[str]:
     out = [f"size:{min(n.bit_length(), 9)}", f"link:{0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3}", f"end:{text[-1] if text[-1] in '.!?:;,…' else 'x'}"]
     out.append(f"marks:{min(3, sum(text.count(c) for c in ',.;') * 40 // n)}")
     found = Counter([key for _, key in key_finder().iter(text.lower())])
-    return out + [f"key:{k}" for k, times in found.items() if times * KEY_RATE > n]
+    keys = [k for k, times in found.items() if times * KEY_RATE > n]
+    section = block.inside.section
+    return out + [f"key:{k}" for k in keys] + [f"keyed:{section}"] * bool(keys) + [f"key:{section}:{k}" for k in keys]
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    return [[*path_features(b.path), *text_features(b)] for b in page]
+    return [["bias", *(f for e in b.inside.out() for f in e.fresh), *place_features(b.inside), *text_features(b)] for b in page]
 
 
 class Field:
@@ -256,17 +308,20 @@ class Field:
 
     def __init__(self, weights: dict[str, float], pairs: np.ndarray):
         self.weights, self.pairs = weights, pairs
-        self._path: dict[tuple, float] = {}
 
     def scores(self, page: list[Block]) -> list[float]:
+        """Of each block; an element's score is worked out once, from that of the element around it."""
         get, out = self.weights.get, []
+        known: dict[Element | None, float] = {None: 0.0}
         for b in page:
-            own = self._path.get(b.path)
-            if own is None:
-                if len(self._path) > 10_000:
-                    self._path.clear()
-                own = self._path[b.path] = sum(get(f, 0.0) for f in path_features(b.path))
-            out.append(own + sum([get(f, 0.0) for f in text_features(b)]))
+            new, at = [], b.inside
+            while at not in known:
+                new.append(at)
+                at = at.around
+            score = known[at]
+            for at in reversed(new):
+                score = known[at] = score + sum([get(f, 0.0) for f in at.fresh])
+            out.append(score + sum([get(f, 0.0) for f in (*place_features(b.inside), *text_features(b))]))
         return out
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -347,6 +402,8 @@ PART_NAMES = {
     "comments": "comments comment commentlist comment-list comment-body discussion responses replies disqus reactions respond",
     "share": "share sharing social social-links share-buttons follow byline-tools toolbar",
 }
+#: Marks and references that stand in articles.
+MARKS = ["&mdash;", "&lt;tag&gt;", "&amp;", "&nbsp;", "&copy;", "&copy 2024", "&#8212;", "x&shy;y", "&hellip;", "100 %", "(1)", "&unknown", "#1", "2024"]
 MAIN_NAMES = "content main main-content article article-body post post-content entry entry-content story story-body text body-text page-content article-text single prose blog-post"
 #: Sentences that stand in such parts, besides invented words.
 PART_TEXTS = {
@@ -364,10 +421,10 @@ PART_TAGS = {"menu": ["nav", "div", "ul", "nav"], "header": ["header", "div", "h
 SYLLABLES = "an be co da el fi ga ho in ju ka lo mi no or pe ra si ta un ver wo ent ing tion lich que ado ment sch ou".split()
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Pages of many layouts with each block's label; the same for the same arguments."""
     rng = random.Random(seed)
-    pages = []
+    pages, forms = [], KEYS.replace("/", "|").split("|")
 
     def words(low: int, high: int) -> str:
         out = []
@@ -395,7 +452,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
         elif tag == "p":
             inner = lines[0]
         else:
-            style = rng.choice(["<p>{}</p>", "<a href=x>{}</a> ", "<span>{}</span> ", "<li><a href=x>{}</a></li>", "<div>{}</div>", "{} "])
+            style = rng.choice(["<p>{}</p>", "<a href=x>{}</a> ", "<span>{}</span> ", "<li><a href=x>{}</a></li>", "<div>{}</div>", "{} ", *(["<label>{}</label><input name=q>"] * 4 if kind == "form" else [])])
             inner = "".join(style.format(x) for x in lines)
             inner = f"<ul>{inner}</ul>" if "<li>" in inner else inner
             if rng.random() < 0.3:
@@ -404,10 +461,22 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
                 inner += "<input name=q><button>Go</button>"
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
+    def with_keys(text: str) -> str:
+        """Words of menus and notices, and marks, stand in articles too."""
+        out = text.split(" ")
+        if rng.random() < 0.2:  # columns and lists in a line
+            return f" {rng.choice('|·»')} ".join(out)
+        for _ in range(rng.randint(1, 3)):
+            out.insert(rng.randint(0, len(out)), rng.choice(forms + MARKS))
+        return " ".join(out)
+
     def body() -> list[tuple[int, str]]:
-        out = [(1, f"<h1>{sentence(1, 12)}</h1>")] if rng.random() < 0.85 else []
+        title = sentence(1, 12) if rng.random() < 0.93 else rng.choice(PART_TEXTS[rng.choice(list(PART_TEXTS))].split("|"))
+        out = [(1, f"<h1>{title}</h1>")] if rng.random() < 0.85 else []
         for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 10])):
             text = sentence(rng.choice([1, 5, 20, 60]), rng.choice([60, 90, 140]))
+            if rng.random() < 0.3:
+                text = with_keys(text)
             if rng.random() < 0.25:
                 text = text.replace(" ", " <b>", 1) + ("</b>" if rng.random() < 0.7 else "")
             if rng.random() < 0.15:
@@ -416,7 +485,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
                 text += "<br>" + sentence(5, 40)
             kind = rng.choices(["p", "h2", "ul", "quote", "pre", "table", "div", "open"], [60, 7, 6, 5, 2, 3, 8, 12])[0]
             out.append((1, {"p": f"<p>{text}</p>", "h2": f"<h2>{sentence(1, 8)}</h2>", "ul": "<ul>" + "".join(f"<li>{sentence(1, 20)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>", "quote": f"<blockquote><p>{text}</p></blockquote>", "pre": f"<pre>{text}</pre>", "table": f"<table><tr><td>{sentence(1, 5)}<td>{sentence(1, 5)}</table>", "div": f"<div>{text}</div>", "open": f"<p>{text}"}[kind]))
-            if rng.random() < 0.08:
+            if rng.random() < 0.15:
                 out.append((0, part(rng.choice(["advert", "share", "sidebar", "notice", "form"]))))
         return out
 
@@ -442,7 +511,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
         html = "<html><head><title>t</title></head><body>" + outer[0] + "".join(marks[y] + p for y, p in pieces) + opening + "".join(marks[y] + p for y, p in inner) + closing + "".join(marks[y] + p for y, p in after) + outer[1] + rng.choice(["</body></html>", ""])
         page, labels, now = [], [], 0
         for b in blocks(re.sub("\x02([01])\x03", r"<hr><x-mark>\1</x-mark><hr>", html)):
-            if b.path and b.path[-1][0] == "x-mark":
+            if b.inside.tag == "x-mark":
                 now = int(b.text)
             else:
                 page.append(b)
