@@ -699,4 +699,4 @@ def runs_kept(spark, sf_dir):
     return parts.select("p_partkey", F.array_join(F.transform(runs, lambda r: F.concat(r["text"], F.lit(":"), r["style"])), " ").alias("runs"))
 
 
-from . import arrow_queries, layout_queries, style_queries, text_queries  # noqa: E402, F401  they register their queries here
+from . import arrow_queries, attach_queries, layout_queries, style_queries, text_queries  # noqa: E402, F401  they register their queries here

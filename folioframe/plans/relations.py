@@ -37,6 +37,24 @@ RELATIONS: dict[str, tuple[str, str]] = {
         SELECT p_partkey, p_size, 0 AS k, translate(substr(p_name, 1, 2 + p_size % 3), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') AS text, CASE p_size % 4 WHEN 0 THEN 200 WHEN 1 THEN 205 ELSE 10 END AS r, CASE p_size % 4 WHEN 0 THEN 20 WHEN 1 THEN 30 ELSE 10 END AS g, CASE p_size % 4 WHEN 0 THEN 20 WHEN 1 THEN 10 + p_size % 40 ELSE 10 END AS b, p_size % 7 = 0 AS bold FROM part
         UNION ALL SELECT p_partkey, p_size, 1, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || CASE WHEN p_size % 6 = 0 THEN '。 ' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 200 WHEN 1 THEN 20 ELSE 10 END, 20, CASE p_partkey % 5 WHEN 0 THEN 20 + p_size WHEN 1 THEN 200 ELSE 12 END, p_size % 10 = 0 FROM part WHERE p_partkey % 3 >= 1 AND p_size % 5 <> 0
         UNION ALL SELECT p_partkey, p_size, 2, translate(lower(p_type), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到'), CASE WHEN p_size % 3 = 0 THEN 210 ELSE 12 END, CASE WHEN p_size % 3 = 0 THEN 25 ELSE 10 END, CASE WHEN p_size % 3 = 0 THEN 15 + p_partkey % 30 ELSE 10 END, false FROM part WHERE p_partkey % 3 = 2 AND p_size % 5 <> 0)"""),
+    "mark_lines": ("part", """SELECT page, id, CASE WHEN size % 19 > 0 THEN x0 END AS x0, y0, CASE WHEN size % 19 > 0 THEN x1 END AS x1, y0 + 14 + id % 6 AS y1, CAST(9 + size % 12 AS DOUBLE) AS size, text, size % 17 = 0 AS badge, size % 3 * 20 AS r, 10 AS g, 0 AS b FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1,
+        CASE p_size % 7 WHEN 0 THEN p_name WHEN 1 THEN '一' || translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') WHEN 2 THEN translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') || '。' WHEN 3 THEN '“' || translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') ELSE translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '的一是在不了有和人这中大为上个国我以要他时来用们生到') END AS text FROM part)"""),
+    "strokes": ("part", """SELECT page, CAST(id AS BIGINT) AS id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, size % 3 * 20 + id % 7 * 12 AS r, 10 AS g, 0 AS b, size % 10 = 0 AS taken, size % 9 > 0 AS alone FROM (
+        SELECT page, p * 4 AS id, x0 - 8 - p % 11 - size % 34 AS x, y0 + 6 + p % 3 AS y, 6 + size % 34 AS w, 1 + size % 5 AS h, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part)
+        UNION ALL SELECT page, p * 4 + 1, x0 - 24 - p % 11 - size % 34, y0 + 6 + size % 4, 12, 2, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part) WHERE p % 3 = 0
+        UNION ALL SELECT page, p * 4 + 2, x1 + 3 + size % 14, y0 + 7, 8 + p * 7 % 60, 2, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part) WHERE p % 4 < 2)"""),
+    "spots": ("part", """SELECT page, CAST(id AS BIGINT) AS id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, size % 3 * 20 + id % 7 * 13 AS r, 10 AS g, 0 AS b, size % 10 = 0 AS taken, size % 8 = 0 AS stem, CAST(floor(w * h * (4 + id % 7) / 10) AS BIGINT) AS area FROM (
+        SELECT page, p * 5 AS id, x1 + 1 + size % 9 AS x, y0 + 4 + p % 14 AS y, 1 + size % 6 AS w, 1 + p % 8 AS h, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part)
+        UNION ALL SELECT page, p * 5 + 1, x1 + 4 + p % 4, y0 + 12, 4, 4, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part) WHERE p % 2 = 0
+        UNION ALL SELECT page, p * 5 + 2, x1 + 2, y0 + size % 4, 2, 4, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part) WHERE p % 3 < 2
+        UNION ALL SELECT page, p * 5 + 3, x1 + 5 + size % 3, y0 + 1, 3, 4, size FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, p_partkey AS p, p_size AS size, CAST(60 + p_partkey % 5 * 300 AS BIGINT) AS x0, CAST(20 + floor(p_partkey % 25 / 5) * 60 AS BIGINT) AS y0, CAST(160 + p_partkey % 5 * 300 + p_size % 10 AS BIGINT) AS x1 FROM part) WHERE p % 5 < 2)"""),
+    "glyph_lines": ("part", """SELECT *, b1 + 1 + size % 6 AS a2, b1 + 7 + size % 6 + id % 5 AS b2, b1 + 9 + size % 6 + id % 5 + id % 12 AS a3 FROM (SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, p_size AS size, CAST(p_size AS BIGINT) AS x, CAST(300 + p_size AS BIGINT) AS w, CAST(20 AS BIGINT) AS h, p_size % 13 = 0 AS manual, p_size % 3 AS a1, p_size % 3 + 5 + p_partkey % 9 AS b1,
+        CASE p_size % 5 WHEN 0 THEN '品 ' || p_name WHEN 1 THEN '口' || p_name WHEN 2 THEN '■ a' WHEN 3 THEN '田  ' || p_name ELSE '□ ' || p_type END AS text FROM part)"""),
+    "bar_lines": ("part", """SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS x, CAST(20 * length(p_name) + 60 AS BIGINT) AS w, CAST(22 AS BIGINT) AS h, CASE p_size % 5 WHEN 0 THEN '▌' || p_name WHEN 1 THEN '1 ' || p_name WHEN 2 THEN 'K1' || p_name WHEN 3 THEN substr(p_name, 1, 4) || '|' || substr(p_name, 5) ELSE '丨' || p_name || ' I' END AS text FROM part"""),
+    "tall_lines": ("part", """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 10 * 60 AS BIGINT) AS x, CAST(p_size % 3 * 10 AS BIGINT) AS y, CAST(40 AS BIGINT) AS w, CAST(50 + p_size % 40 AS BIGINT) AS h, CAST(0.7 + p_size % 5 * 0.06 AS DOUBLE) AS score,
+        CASE p_size % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'A的' WHEN 2 THEN '的' WHEN 3 THEN 'ab' WHEN 4 THEN p_name ELSE '的是A' END AS text FROM part"""),
+    "strip_reads": ("part", """SELECT page, p AS line, CAST(k AS INT) AS band, CAST(p * 4 + k AS BIGINT) AS seq, CAST(p % 10 * 60 + k * 9 AS BIGINT) AS x, CAST(k * 20 AS BIGINT) AS y, CAST(30 AS BIGINT) AS w, CAST(18 AS BIGINT) AS h, CASE (p + p_size + k) % 4 WHEN 0 THEN '的' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN '是在' ELSE '的' END WHEN 2 THEN 'A' ELSE '的' END AS text, CAST((p_size * (k + 1)) % 7 AS BIGINT) AS score
+        FROM (SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS p, p_size FROM part) CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE (p * 3 + k + p_size) % 5 < 3"""),
     "turns": ("conversations", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE role END AS role, CAST(length(text) % 2 AS INT) AS bit, length(text) % 4 = 0 AS flag, CAST(length(text) AS BIGINT) AS n FROM conversations"""),
     "votes": ("events", """SELECT CAST(user_id AS BIGINT) AS grp, event_type AS choice, CAST(value AS DOUBLE) AS score, CAST(event_id AS BIGINT) AS seq FROM events"""),
     "history": ("events", """SELECT event_type AS kind, CAST(event_id AS BIGINT) AS seq, CAST(event_id % 1000 AS BIGINT) AS t, CAST(1 + event_id % 9 AS BIGINT) AS total, CAST(event_id % 9 % 4 AS BIGINT) AS changed FROM events"""),
