@@ -41,6 +41,9 @@ STATE = {
 }
 #: Rows of a group that are held against one copy of the row that stays.
 SPREAD = 500
+#: A digest is hot if it has over one in so many of all rows, so fewer digests than that are; its rows meet its entry by
+#: digest and salt.
+HOT_PART, SALTS = 1000, 256
 #: Groups whose keys are broadcast at most to pick out their texts; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -87,6 +90,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def hot_digests(state: DataFrame) -> DataFrame:
+    """(digest, hot) of digests with over one in HOT_PART of all rows, under HOT_PART of them; read from the stored state."""
+    total = state.agg(F.sum("group_size").alias("n")).first().n or 0
+    return state.where(F.col("group_size") > total / HOT_PART).select("digest", F.lit(True).alias("hot"))
+
+
+def with_entry(rows: DataFrame, entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows, which have a locator, with the entry of their digest; a hot digest's rows are dealt out over SALTS keys, each with a copy of its one entry."""
+    part = F.pmod(F.xxhash64("locator"), F.lit(SALTS)).cast("int")
+    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0)).drop("hot")
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(entries.join(F.broadcast(hot), "digest", "left").withColumn("part", F.explode(parts)).drop("hot"), ["digest", "part"]).drop("part")
+
+
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest=sha256, files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, and locators of the row and of the one that stays.
 
@@ -106,23 +123,24 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         entries = entries.withColumn("text_sha256", F.col("digest"))
     state = stored(spark, stream_state(spark, where, call, schema, files_per_batch), "state")
     result = lambda df: df.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator", "keep_locator")
-    wrong = stored(spark, _unlike(norm, state, None if state_dir is None else text_column), "wrong")
+    hot = hot_digests(state)
+    wrong = stored(spark, _unlike(norm, state, hot, None if state_dir is None else text_column), "wrong")
     if wrong.isEmpty():
-        return result(entries.join(state, "digest"))
+        return result(with_entry(entries, state, hot))
     apart = norm.join(wrong, "digest", "left_semi").withColumn("text_sha256", sha256(F.col("norm")))
     best = F.struct((-F.length(F.coalesce("text_", F.lit("")))).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
     again = apart.groupBy("norm").agg(F.min(best).alias("best"), F.count("*").alias("group_size")).select("norm", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
-    return result(entries.join(wrong, "digest", "left_anti").join(state, "digest")).unionByName(result(apart.join(again, "norm")))
+    return result(with_entry(entries.join(wrong, "digest", "left_anti"), state, hot)).unionByName(result(apart.join(again, "norm")))
 
 
-def _unlike(norm: DataFrame, state: DataFrame, text_column: str | None) -> DataFrame:
+def _unlike(norm: DataFrame, state: DataFrame, hot: DataFrame, text_column: str | None) -> DataFrame:
     """(digest) of groups of which a row's bytes are not those of the row that stays; text_column if earlier calls have rows."""
     spark = norm.sparkSession
     hits = state.where("group_size > 1").select("digest", "keep_locator", F.ceil(F.col("group_size") / SPREAD).cast("int").alias("copies"))
     keys = hits.select(F.xxhash64("digest").alias("key"))
     few = hits.count() <= BROADCAST_KEYS
     texts = norm.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    texts = stored(spark, texts.select("digest", "locator", "norm").join(hits, "digest"), "hits")  # read twice
+    texts = stored(spark, with_entry(texts.select("digest", "locator", "norm"), hits, hot), "hits")  # read twice
     others = texts.where("locator <> keep_locator").select("digest", F.pmod(F.xxhash64("locator"), "copies").cast("int").alias("salt"), "norm")
     keepers = texts.where("locator = keep_locator").select("digest", "copies", F.col("norm").alias("keep_norm"))
     if text_column:
