@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geom
-from ..functions.text import chars, let
-from .spatial import touching
+from .spatial import by_shuffle, spread, touching
 
-#: Texts of so many characters have popular ones, which start no block: those that make up over a hundredth, and one more.
-POPULAR_FROM = 200
 #: A line is the one that was edited if their boxes are equal, or else if none has a larger IoU, of this at least.
 SAME_LINE = 0.5
 #: A correction of more changed stretches is new writing. A fix replaces up to WRONG characters by up to RIGHT.
 STRETCHES, WRONG, RIGHT = 3, 4, 6
 #: Fixes that one row may hold.
 MOST_FIXES = 20_000
-_BLOCKS, _OPS = "array<struct<i:int,j:int,k:int>>", "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
-
-
-def _none(kind: str) -> Column:
-    return F.expr(f"cast(array() as {kind})")
+_OPS = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 
 
 def _span(a: Column, b: Column) -> Column:
@@ -28,91 +25,35 @@ def _span(a: Column, b: Column) -> Column:
     return F.when(b > a, F.sequence(a, b - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def _reach(a: Column, b: Column, i: Column, j: Column, way: int, most: Column) -> Column:
-    """How many elements a[i], a[i + way], .. and b[j], b[j + way], .. agree in, `most` at the most."""
-    agree = F.transform(_span(F.lit(0), most), lambda t: F.get(a, i + way * t) == F.get(b, j + way * t))
-    return let(F.array_position(agree, False).cast("int"), lambda p: F.when(p == 0, F.greatest(most, F.lit(0))).otherwise(p - 1))
-
-
-def _longest(a: Column, b: Column, rare: Column, s: Column) -> Column:
-    """(i, j, k): the longest block that a[i:] and b[j:] share within stretch s, the first in a, then in b.
-
-    A row of the table holds, for each place of b, how long a block ends there and at the place of a. `rare` is b without
-    its popular characters; they only prolong a block.
-    """
-    here = F.slice(rare, s["blo"] + 1, s["bhi"] - s["blo"])
-    start = F.struct(_none("array<int>").alias("row"), F.lit(0).alias("k"), s["alo"].alias("i"), s["blo"].alias("j"))
-
-    def step(acc: Column, i: Column) -> Column:
-        row = F.transform(here, lambda c, j: F.when(c == F.get(a, i), F.coalesce(F.get(acc["row"], j - 1), F.lit(0)) + 1).otherwise(0))
-        ends = lambda r, k: (s["blo"] + F.array_position(r, k).cast("int") - k).alias("j")
-        better = lambda r, k: F.struct(r.alias("row"), k.alias("k"), (i - k + 1).alias("i"), ends(r, k))
-        worse = lambda r: F.struct(r.alias("row"), acc["k"].alias("k"), acc["i"].alias("i"), acc["j"].alias("j"))
-        return let(row, lambda r: let(F.array_max(r), lambda k: F.when(k > acc["k"], better(r, k)).otherwise(worse(r))))
-
-    found = F.aggregate(_span(s["alo"], s["ahi"]), start, step)
-
-    def prolonged(m: Column) -> Column:
-        before = _reach(a, b, m["i"] - 1, m["j"] - 1, -1, F.least(m["i"] - s["alo"], m["j"] - s["blo"]))
-        after = _reach(a, b, m["i"] + m["k"], m["j"] + m["k"], 1, F.least(s["ahi"] - m["i"] - m["k"], s["bhi"] - m["j"] - m["k"]))
-        return let(before, lambda n: F.struct((m["i"] - n).alias("i"), (m["j"] - n).alias("j"), (m["k"] + n + after).alias("k")))
-
-    plain = lambda m: F.struct(m["i"].alias("i"), m["j"].alias("j"), m["k"].alias("k"))
-    return let(found, lambda m: F.when(F.size(b) >= POPULAR_FROM, prolonged(m)).otherwise(plain(m)))
-
-
-def _blocks(a: Column, b: Column, rare: Column) -> Column:
-    """The blocks that a and b share: the longest one, and again those of what lies before it and of what lies after it."""
-    stretch = lambda alo, ahi, blo, bhi: F.struct(alo.alias("alo"), ahi.alias("ahi"), blo.alias("blo"), bhi.alias("bhi"))
-    full = lambda todo: F.filter(todo, lambda s: (s["ahi"] > s["alo"]) & (s["bhi"] > s["blo"]))
-    start = F.struct(full(F.array(stretch(F.lit(0), F.size(a), F.lit(0), F.size(b)))).alias("todo"), _none(_BLOCKS).alias("done"))
-
-    def split(acc: Column, s: Column, m: Column) -> Column:
-        rest = F.slice(acc["todo"], F.lit(1), F.size(acc["todo"]) - 1)
-        sides = full(F.array(stretch(s["alo"], m["i"], s["blo"], m["j"]), stretch(m["i"] + m["k"], s["ahi"], m["j"] + m["k"], s["bhi"])))
-        return F.when(m["k"] == 0, F.struct(rest.alias("todo"), acc["done"].alias("done"))).otherwise(F.struct(F.concat(rest, sides).alias("todo"), F.concat(acc["done"], F.array(m)).alias("done")))
-
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(F.size(acc["todo"]) == 0, acc).otherwise(let(F.element_at(acc["todo"], -1), lambda s: let(_longest(a, b, rare, s), lambda m: split(acc, s, m))))
-
-    turns = _span(F.lit(0), 2 * F.least(F.size(a), F.size(b)) + 1)
-    return F.array_sort(F.aggregate(turns, start, step, lambda acc: acc["done"]))
-
-
-def _opcodes(blocks: Column, a: Column, b: Column) -> Column:
-    """What turns a into b, in order; blocks that follow each other without a gap on either side are one."""
-    end = F.struct(F.size(a).alias("i"), F.size(b).alias("j"), F.lit(0).alias("k"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), _none(_OPS).alias("ops"))
-    op = lambda tag, i1, i2, j1, j2: F.struct(tag.alias("tag"), i1.alias("i1"), i2.alias("i2"), j1.alias("j1"), j2.alias("j2"))
+@lru_cache(20_000)
+def _script(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
+    return SequenceMatcher(None, old, new).get_opcodes()
 
-    def step(acc: Column, m: Column) -> Column:
-        i, j, ops = acc["i"], acc["j"], acc["ops"]
-        tag = F.when((i < m["i"]) & (j < m["j"]), "replace").when(i < m["i"], "delete").when(j < m["j"], "insert")
-        changed = F.when(tag.isNotNull(), F.concat(ops, F.array(op(tag, i, m["i"], j, m["j"])))).otherwise(ops)
-        last = F.element_at(ops, -1)
-        grown = F.concat(F.slice(ops, F.lit(1), F.size(ops) - 1), F.array(op(last["tag"], last["i1"], m["i"] + m["k"], last["j1"], m["j"] + m["k"])))
-        same = F.concat(changed, F.array(op(F.lit("equal"), m["i"], m["i"] + m["k"], m["j"], m["j"] + m["k"])))
-        out = F.when(m["k"] == 0, changed).when(tag.isNull() & (F.size(ops) > 0), grown).otherwise(same)
-        return F.struct((m["i"] + m["k"]).alias("i"), (m["j"] + m["k"]).alias("j"), out.alias("ops"))
 
-    return F.aggregate(F.concat(blocks, F.array(end)), start, step, lambda acc: acc["ops"])
+def _opcodes(old: pa.Array, new: pa.Array) -> pa.Array:
+    """The edit scripts of a batch of pairs, by the standard library."""
+    offsets, parts = [], ([], [], [], [], [])
+    for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True):
+        known = a is not None and b is not None
+        offsets.append(len(parts[0]) if known else None)
+        for op in _script(a, b) if known else ():
+            for values, value in zip(parts, op, strict=True):
+                values.append(value)
+    fields = [pa.field("tag", pa.string()), *[pa.field(n, pa.int32()) for n in ("i1", "i2", "j1", "j2")]]
+    ops = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(parts, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(parts[0])], pa.int32()), ops)
 
 
 def edit_scripts(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
     """Adds ops, [(tag, i1, i2, j1, j2)]: old[i1:i2] is equal to, replaced by, or lost against new[j1:j2], or that is inserted.
 
     The script is made of the longest common block, the first on a tie, and so on either side of it; a popular character of a
-    long text starts no block. Null for a null text. Each pair is worked on in its row, so nothing is shuffled; the work is the
-    product of both lengths for each block.
+    text of 200 or more starts no block. Null for a null text. The pairs are dealt out evenly and
+    each is worked on in its row; a worker remembers the last pairs, as the same correction is often made again.
     """
-    rows = pairs.withColumns({"a_": chars(F.col(old)), "b_": chars(F.col(new))})
-    times = lambda c: F.size(F.filter("b_", lambda x: x == c))
-    popular = F.when(F.size("b_") >= POPULAR_FROM, F.filter(F.array_distinct("b_"), lambda c: times(c) > F.floor(F.size("b_") / 100) + 1)).otherwise(F.expr("cast(array() as array<string>)"))
-    rows = rows.withColumn("popular_", popular)
-    rows = rows.withColumn("rare_", F.when(F.size("popular_") == 0, F.col("b_")).otherwise(F.transform("b_", lambda c: F.when(~F.array_contains("popular_", c), c))))
-    rows = rows.withColumn("blocks_", _blocks(F.col("a_"), F.col("b_"), F.col("rare_")))
-    ops = F.when(F.col(old).isNotNull() & F.col(new).isNotNull(), _opcodes(F.col("blocks_"), F.col("a_"), F.col("b_")))
-    return rows.withColumn("ops", ops).drop("a_", "b_", "popular_", "rare_", "blocks_")
+    # Not deterministic, or a filter on the script would work it out a second time.
+    script = F.arrow_udf(_opcodes, _OPS).asNondeterministic()
+    return spread(pairs).withColumn("ops", script(F.col(old), F.col(new)))
 
 
 def edited_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
@@ -122,11 +63,11 @@ def edited_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
     """
     told = edits.where("x is not null and text is not null and text <> ''").select("page", "id", "x", "y", "w", "h", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("new"))
     at = ["page", "x", "y", "w", "h"]
-    exact = told.join(lines.groupBy(*at).agg(F.max("id").alias("line")), at).select("page", "id", "line", "new")
-    others = told.join(exact.select("page", "id"), ["page", "id"], "left_anti")
+    exact = told.join(by_shuffle(lines.groupBy(*at).agg(F.max("id").alias("line"))), at).select("page", "id", "line", "new")
+    others = told.join(by_shuffle(exact.select("page", "id")), ["page", "id"], "left_anti")
     near = touching(others, lines.select("page", "id", "x", "y", "w", "h")).withColumn("iou", geom.iou(geom.box("a_"), geom.box("b_"))).where(F.col("iou") >= SAME_LINE)
     best = near.groupBy(F.col("a_page").alias("page"), F.col("a_id").alias("id")).agg(F.max_by("b_id", F.struct("iou", -F.col("b_id"))).alias("line"), F.first("a_new").alias("new"))
-    both = exact.unionByName(best).join(lines.select("page", F.col("id").alias("line"), F.col("text").alias("old")), ["page", "line"])
+    both = exact.unionByName(best).join(by_shuffle(lines.select("page", F.col("id").alias("line"), F.col("text").alias("old"))), ["page", "line"])
     return both.where("old <> new").select("page", "id", "line", "old", "new")
 
 
@@ -165,11 +106,12 @@ def trusted(table: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """The fixes of a table that were made twice, or whose right form holds a known word of two characters or more."""
     if words is None:
         return table.where("n >= 2")
-    n = F.length("right")
-    starts = table.select("wrong", "right", F.explode(_span(F.lit(0), n - 1)).alias("a"))
-    parts = starts.select("wrong", "right", F.explode(F.transform(_span(F.col("a") + 2, n + 1), lambda b: F.substr(F.col("right"), F.col("a") + 1, b - F.col("a")))).alias("word"))
-    known = parts.join(words.select("word").distinct(), "word", "left_semi").select("wrong", "right").distinct()
-    return table.where("n >= 2").unionByName(table.where("n < 2").join(known, ["wrong", "right"], "left_semi"))
+    n, part = F.length("right"), lambda a, b: F.substr(F.col("right"), a + 1, b - a)
+    parts = F.flatten(F.transform(_span(F.lit(0), n - 1), lambda a: F.transform(_span(a + 2, n + 1), lambda b: part(a, b))))
+    held = table.select("wrong", "right", "n", F.explode_outer(F.when(F.col("n") < 2, parts)).alias("word"))
+    told = held.join(by_shuffle(words.select("word", F.lit(True).alias("known")).distinct()), "word", "left")
+    rows = told.groupBy("wrong", "right", "n").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"))
+    return rows.where("n >= 2 or known").select("wrong", "right", "n")
 
 
 def with_fixes(lines: DataFrame, table: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -178,11 +120,11 @@ def with_fixes(lines: DataFrame, table: DataFrame, words: DataFrame | None = Non
     The result of a replacement feeds the next. A fix that changes the length is passed over on lines with character places.
     All trusted fixes reach each task in one row; more than MOST_FIXES are an error, as none may be left out.
     """
-    good = trusted(table, words)
-    if (n := good.count()) > MOST_FIXES:
-        raise ValueError(f"{n} trusted fixes; {MOST_FIXES} can be applied")
     order = F.struct((-F.length("wrong")).alias("less"), "wrong", "right")
-    rows = good.agg(F.array_sort(F.collect_list(order)).alias("fixes_"))
+    rows = trusted(table, words).agg(F.array_sort(F.collect_list(order)).alias("fixes_"))
+    n = F.size("fixes_")
+    too_many = F.raise_error(F.concat(n.cast("string"), F.lit(f" trusted fixes; {MOST_FIXES} can be applied")))
+    rows = rows.select(F.when(n <= MOST_FIXES, F.col("fixes_")).otherwise(too_many).alias("fixes_"))
     allowed = lambda f: (F.length(f["wrong"]) == F.length(f["right"])) | ~F.col("has_chars")
     step = lambda t, f: F.when(allowed(f), F.replace(t, f["wrong"], f["right"])).otherwise(t)
     return lines.crossJoin(F.broadcast(rows)).withColumn("fixed", F.aggregate("fixes_", F.col("text"), step)).drop("fixes_")  # rows is one row
