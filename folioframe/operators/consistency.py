@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import geom
 from ..functions.geom import Box, box
 from .sequences import tolerance_rows
-from .spatial import touching
+from .spatial import by_shuffle, touching
 
 
 def _first(rows: DataFrame, column: str, position: Column) -> Column:
@@ -58,7 +58,7 @@ def inconsistent(texts: DataFrame, icons: DataFrame, width: float) -> DataFrame:
     rows = rows.withColumn("w0", _first(rows, "w", cy)).withColumn("h0", _first(rows, "h", cy))
     same = rows.where((F.abs(F.col("w") - F.col("w0")) <= 0.08 * F.col("w0")) & (F.abs(F.col("h") - F.col("h0")) <= 0.12 * F.col("h0")))
     hits = touching(texts.drop("text"), labels).where(geom.center_in(box("a_"), box("b_"))).select(F.col("b_page").alias("page"), F.col("b_id").alias("id")).distinct().withColumn("flag", F.lit(1))
-    flagged = same.join(hits, ["page", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0))).withColumn("n", F.count("*").over(w)).withColumn("got", F.sum("flag").over(w))
+    flagged = same.join(by_shuffle(hits), ["page", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0))).withColumn("n", F.count("*").over(w)).withColumn("got", F.sum("flag").over(w))
     odd = flagged.where((F.col("n") >= 3) & (F.col("got") > 0) & (F.col("got") < F.col("n")) & (F.col("flag") != (2 * F.col("got") >= F.col("n")).cast("int")))
     out = odd.select("page", "x", "y", "w", "h", F.lit("text").alias("reason"))
 
@@ -69,7 +69,7 @@ def inconsistent(texts: DataFrame, icons: DataFrame, width: float) -> DataFrame:
         rows = tolerance_rows(items, across, tol)
         rows = rows.withColumn("h0", _first(rows, "h", across)).where(F.abs(F.col("h") - F.col("h0")) <= 0.3 * F.col("h0"))
         even = _even(rows, along)
-        flagged = even.join(_icon_beside(items, icons, width, above).withColumn("flag", F.lit(1)), ["page", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0))).withColumn("got", F.sum("flag").over(w))
+        flagged = even.join(by_shuffle(_icon_beside(items, icons, width, above).withColumn("flag", F.lit(1))), ["page", "id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0))).withColumn("got", F.sum("flag").over(w))
         lone = flagged.where(F.col("even") & (F.col("got") >= 2) & (F.col("got") >= 0.6 * F.col("n")) & (F.col("got") < F.col("n")) & (F.col("flag") == 0))
         out = out.unionByName(lone.select("page", "x", "y", "w", "h", F.lit("icon").alias("reason")))
     return out.groupBy("page", "x", "y", "w", "h").agg(F.max("reason").alias("reason"))
