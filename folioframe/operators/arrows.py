@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geom
 from ..functions.text import char_weight, chars, let
-from .spatial import touching
+from .spatial import by_shuffle, spread, touching
 
 #: Arrow characters, and dashes that an arrow is often read as.
 ARROWS, DASHES = "↑↓←→↖↗↘↙⇧⇩⇦⇨➔➜➝➞➤", "一—–-"
@@ -16,7 +16,7 @@ ROWS, COLUMNS, DASH, TALL = 0.30, 0.35, 0.72, 0.85
 
 def glyph_spans(lines: DataFrame) -> DataFrame:
     """Adds letters and spans, [(x0, x1)] of each character: as recognised (chars), if there is one for each, else the width shared out by weights."""
-    lines = lines.withColumn("letters", chars(F.col("text")))
+    lines = spread(lines).withColumn("letters", chars(F.col("text")))
     weights = F.transform("letters", char_weight)
     total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
     start = F.struct(F.col("x").cast("double").alias("at"), F.expr("cast(array() as array<struct<x0:bigint,x1:bigint>>)").alias("out"))
@@ -54,15 +54,15 @@ def glyph_meetings(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
 def clear_regions(regions: DataFrame, meetings: DataFrame) -> DataFrame:
     """The regions that are no part of a line's text."""
-    return regions.join(meetings.where("blocked").select("page", F.col("region").alias("id")).distinct(), ["page", "id"], "left_anti")
+    return regions.join(by_shuffle(meetings.where("blocked").select("page", F.col("region").alias("id")).distinct()), ["page", "id"], "left_anti")
 
 
 def _trims(lines: DataFrame, meetings: DataFrame) -> DataFrame:
     """lines with letters, spans, and left and right: the letters that stay; null where no region took any."""
     blocked = meetings.where("blocked").select("page", "region").distinct()
-    taken = meetings.where("edge is not null").join(blocked, ["page", "region"], "left_anti")
+    taken = meetings.where("edge is not null").join(by_shuffle(blocked), ["page", "region"], "left_anti")
     ends = taken.groupBy("page", "id").agg(F.max(F.col("edge") == 0).alias("first_"), F.max("edge").alias("most_"))
-    out = glyph_spans(lines).join(ends, ["page", "id"], "left")
+    out = glyph_spans(lines).join(by_shuffle(ends), ["page", "id"], "left")
     n = F.size("letters")
     last = F.col("most_") == n - 1
     left = F.when(F.col("first_"), F.when(last & (n == 2), 2).otherwise(1)).otherwise(0)
@@ -88,8 +88,8 @@ def arrow_text_changes(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """(page, region, id, removed, kept): of each region the lines that lost a glyph to it, with all that they lost and what is left."""
     meetings = glyph_meetings(lines, regions)
     trimmed = _trims(lines, meetings).where("left < right")
-    own = meetings.where("edge is not null").select("page", "region", "id").join(clear_regions(regions, meetings).select("page", F.col("id").alias("region")), ["page", "region"], "left_semi")
+    own = meetings.where("edge is not null").select("page", "region", "id").join(by_shuffle(clear_regions(regions, meetings).select("page", F.col("id").alias("region"))), ["page", "region"], "left_semi")
     part = lambda a, n: F.slice("letters", a + 1, n)
     removed = F.concat(part(F.lit(0), F.col("left")), part(F.col("right"), F.size("letters") - F.col("right")))
     changes = trimmed.select("page", "id", F.array_join(removed, "").alias("removed"), F.array_join(part(F.col("left"), F.col("right") - F.col("left")), "").alias("kept"))
-    return own.join(changes, ["page", "id"]).select("page", "region", "id", "removed", "kept")
+    return own.join(by_shuffle(changes), ["page", "id"]).select("page", "region", "id", "removed", "kept")
