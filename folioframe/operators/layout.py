@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geom
 from ..functions.text import chars, let
-from .spatial import touching
+from .spatial import spread, touching
 
 #: Least score of an icon, and what a demoted one has at most.
 KEEP_SCORE, DEMOTED = 55, 40
@@ -84,7 +84,7 @@ def split_at_gaps(lines: DataFrame) -> DataFrame:
     less in large type between parts of other colours; 0.45 of a character makes a space, but not between ASCII characters.
     Lines without a place for each character stay as they are.
     """
-    rows = lines.withColumn("c", chars(F.col("text")))
+    rows = spread(lines).withColumn("c", chars(F.col("text")))
     usable = F.col("chars").isNotNull() & (F.size("chars") == F.size("c")) & (F.size("c") >= 2)
     code = lambda x, pattern: F.coalesce(x.rlike(pattern), F.lit(False))
     wide = F.transform(F.filter(F.arrays_zip("c", "chars"), lambda z: code(z["c"], "^[一-鿿]$") & (z["chars"]["x1"] > z["chars"]["x0"])), lambda z: (z["chars"]["x1"] - z["chars"]["x0"]).cast("double"))
@@ -108,13 +108,14 @@ def split_at_gaps(lines: DataFrame) -> DataFrame:
     begins = F.concat(F.array(F.lit(0)), F.filter(F.transform("kinds", lambda k, i: F.when(k == 2, i + 1)), lambda i: i.isNotNull()))
     place = lambda x0, x1: F.struct(x0.alias("x0"), x1.alias("x1"))
     each = F.transform("c", lambda ch, k: F.when(F.get("kinds", k - 1) == 1, F.struct(F.concat(F.lit(" "), ch).alias("t"), F.array(place(F.get("chars", k - 1)["x1"], F.get("chars", k)["x0"]), F.get("chars", k)).alias("s"))).otherwise(F.struct(ch.alias("t"), F.array(F.get("chars", k)).alias("s"))))
-    parts = rows.where("cut").withColumns({"each": each, "ends": ends}).select("page", "id", "each", "ends", F.posexplode(begins).alias("part", "a"))
-    held = parts.select("page", "id", "part", F.slice("each", F.col("a") + 1, F.get("ends", F.col("part")) - F.col("a")).alias("own"))
-    spans = F.flatten(F.transform("own", lambda e: e["s"]))
-    held = held.select("page", "id", "part", F.array_join(F.transform("own", lambda e: e["t"]), "").alias("text"), spans.alias("chars"))
-    x = F.get("chars", F.lit(0))["x0"]
-    held = held.select("page", "id", "part", "text", x.alias("x"), (F.element_at("chars", -1)["x1"] - x).alias("w"), "chars")
-    return rows.where("not cut").select("page", "id", F.lit(0).alias("part"), "text", "x", "w", "chars").unionByName(held)
+    rows = rows.withColumns({"each": each, "ends": ends})
+    row = lambda part, text, x, w, spans: F.struct(part.alias("part"), text.alias("text"), x.alias("x"), w.alias("w"), spans.alias("chars"))
+    x = lambda spans: F.get(spans, F.lit(0))["x0"]
+    held = lambda i, own: let(F.flatten(F.transform(own, lambda e: e["s"])), lambda spans: row(i, F.array_join(F.transform(own, lambda e: e["t"]), ""), x(spans), F.element_at(spans, -1)["x1"] - x(spans), spans))
+    parts = F.transform(begins, lambda a, i: let(F.slice("each", a + 1, F.get("ends", i) - a), lambda own: held(i, own)))
+    # Cut or not is decided within the row: a filter would be pushed below and work out median and gaps anew at every gap.
+    out = rows.select("page", "id", F.explode(F.when(F.col("cut"), parts).otherwise(F.array(row(F.lit(0), *map(F.col, ("text", "x", "w", "chars")))))).alias("p"))
+    return out.select("page", "id", "p.*")
 
 
 #: Words of an axis in order.
