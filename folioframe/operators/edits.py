@@ -120,11 +120,11 @@ def with_fixes(lines: DataFrame, table: DataFrame, words: DataFrame | None = Non
     The result of a replacement feeds the next. A fix that changes the length is passed over on lines with character places.
     All trusted fixes reach each task in one row; more than MOST_FIXES are an error, as none may be left out.
     """
-    order = F.struct((-F.length("wrong")).alias("less"), "wrong", "right")
+    order = F.struct((-F.length("wrong")).alias("less"), "wrong", "right", (F.length("wrong") == F.length("right")).alias("same"))
     rows = trusted(table, words).agg(F.array_sort(F.collect_list(order)).alias("fixes_"))
     n = F.size("fixes_")
     too_many = F.raise_error(F.concat(n.cast("string"), F.lit(f" trusted fixes; {MOST_FIXES} can be applied")))
     rows = rows.select(F.when(n <= MOST_FIXES, F.col("fixes_")).otherwise(too_many).alias("fixes_"))
-    allowed = lambda f: (F.length(f["wrong"]) == F.length(f["right"])) | ~F.col("has_chars")
+    allowed = lambda f: f["same"] | ~F.col("has_chars")
     step = lambda t, f: F.when(allowed(f), F.replace(t, f["wrong"], f["right"])).otherwise(t)
-    return lines.crossJoin(F.broadcast(rows)).withColumn("fixed", F.aggregate("fixes_", F.col("text"), step)).drop("fixes_")  # rows is one row
+    return spread(lines).crossJoin(F.broadcast(rows)).withColumn("fixed", F.aggregate("fixes_", F.col("text"), step)).drop("fixes_")  # rows is one row
