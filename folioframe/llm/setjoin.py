@@ -34,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored
 from .components import components
@@ -150,9 +150,14 @@ def members(folded: DataFrame, of: Bands) -> DataFrame:
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """The rows (doc, key, at) of keys that several sets have, one of them in its own band, with n and the leader, the smallest such."""
-    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("at") % 2 == 1, F.col("doc"))).alias("leader")).where("n > 1 and leader is not null")
-    return rows.join(sized, "key")
+    """The rows (doc, key, at) of keys that several sets have, one of them in its own band, with n and the leader, the smallest such.
+
+    Nearly all keys are of one set only, so their narrow rows are shuffled once, and counted where they arrive;
+    by repartition(), as the window's own shuffle would take the column for its minimum along.
+    """
+    same = Window.partitionBy("key")
+    sized = rows.repartition("key").select("key", "doc", "at", F.count("*").over(same).alias("n"), F.min(F.when(F.col("at") % 2 == 1, F.col("doc"))).over(same).alias("leader"))
+    return sized.where("n > 1 and leader is not null")
 
 
 def allocation(cost: dict[int, float], docs: dict[int, int], of: Bands, more_pairs: float = MORE_PAIRS) -> tuple[list[int], list[int]]:
@@ -220,9 +225,13 @@ def allocated(docs: DataFrame, folded: DataFrame, every: DataFrame, of: Bands, m
     return stored(spark, kept.unionByName(buckets(level_2).select(*held.columns)), "held")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, hashes) of the documents in ids: their shingles in order of hash, packed; one row for each text of a doc_id."""
+def sets_of(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
+    """(doc, hashes) of the documents in ids: their shingles in order of hash, packed; one row for each text of a doc_id.
+
+    Further columns of ids, whose doc_id is unique, follow. repeats: whether a doc_id may stand for several rows of docs.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [c for c in ids.columns if c != "doc_id"]
     few = ids.count() <= BROADCAST_IDS
 
     def run(batches):
@@ -230,11 +239,13 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part in slices(batch, most=SLICE):
                 row, value = scanned(part.column("text"))
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([value[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["doc", "hashes"])
+                packed = pa.array([value[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed, *(part.column(c) for c in more)], ["doc", "hashes", *more])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, f"doc {kind}, hashes binary").where("length(hashes) > 0")
-    return sets.dropDuplicates(["doc", "hashes"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    columns = [f"doc {kind}", "hashes binary", *(f"{c} {ids.schema[c].dataType.simpleString()}" for c in more)]
+    sets = texts.mapInArrow(run, ", ".join(columns)).where("length(hashes) > 0")
+    return sets.dropDuplicates(["doc", "hashes"]) if repeats else sets
 
 
 def intersections(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +261,15 @@ def intersections(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both, sizes[0] + sizes[1] - both
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the stored pairs (doc, leader) that link, judged by whole sets."""
+def verified(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """(a, b) of the stored pairs (doc, leader) that link, judged by whole sets.
+
+    Sets of either side go straight to the leader's partition, and there is no other copy of them.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = pairs.select(F.col("doc").alias("doc_id")).union(pairs.select("leader")).distinct()
-    sets = stored(spark, sets_of(docs, stored(spark, ids, "ids")), "sets")
+    to = stored(spark, pairs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("leader").alias("leaders")), "ids")
+    leaders = stored(spark, pairs.select(F.col("leader").alias("doc_id")).distinct(), "ids")
 
     def run(batches):
         for batch in batches:
@@ -264,8 +278,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 linked = pa.array(OF * both >= PART * either)
                 yield pa.RecordBatch.from_arrays([part.column("doc").filter(linked), part.column("leader").filter(linked)], ["a", "b"])
 
-    rows = pairs.join(sets.select("doc", F.col("hashes").alias("x")), "doc").join(sets.select(F.col("doc").alias("leader"), F.col("hashes").alias("y")), "leader")
-    return rows.select("doc", "leader", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    x = sets_of(docs, to, repeats).select("doc", F.explode("leaders").alias("leader"), F.col("hashes").alias("x"))
+    y = sets_of(docs, leaders, repeats).select(F.col("doc").alias("leader"), F.col("hashes").alias("y"))
+    return x.join(y, "leader").select("doc", "leader", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def slices_of(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -326,7 +341,7 @@ def joining(group: pa.RecordBatch) -> tuple[list[int], list[int]]:
     return high, low
 
 
-def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: DataFrame) -> DataFrame | None:
+def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: DataFrame, repeats: bool) -> DataFrame | None:
     """(a, b) of links between components whose sets share buckets, if any do: see step 3 of the module's text."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -351,7 +366,7 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("other").alias("first"), F.lit(True).alias("second")))
     placed = placed.select("doc", "root", "family", "other", F.explode(F.when(many == 1, whole).otherwise(F.concat(as_second, as_first))).alias("at")).select("doc", "root", "family", "other", "at.*")
     placed = stored(spark, placed, "placed")
-    sets = sets_of(docs, stored(spark, placed.select(F.col("doc").alias("doc_id")).distinct(), "ids"))
+    sets = sets_of(docs, stored(spark, placed.select(F.col("doc").alias("doc_id")).distinct(), "ids"), repeats)
     group = ["family", "i", "j"]
     rows = placed.join(sets, "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
@@ -364,22 +379,33 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def first_rows(some: DataFrame, folded: DataFrame) -> DataFrame:
+    """The rows of some that folded names by row, of which it has one for each set. Their keys stay where they are if few others go."""
+    rows = folded.select("row")
+    if some.count() - folded.count() > BROADCAST_IDS:
+        return some.join(rows, "row", "left_semi")
+    copies = stored(some.sparkSession, some.select("row").join(rows, "row", "left_anti"), "copies")
+    return some.join(F.broadcast(copies), "row", "left_anti")
+
+
 def joined(docs: DataFrame, more_pairs: float = MORE_PAIRS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    known = stored(spark, indexed(docs), "indexed")
+    known = stored(spark, indexed(docs).withColumn("row", F.monotonically_increasing_id()), "indexed")
     some = known.where("size > 0 and doc_id is not null")
-    first = F.min_by(F.struct("size", "band", "own", "next"), "doc_id")
-    folded = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), first.alias("x")).select("d1", "d2", "doc", "x.*")
+    # Sets are folded by their digests alone; keys are not moved for it.
+    folded = some.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "row", "size", "band")).alias("x")).select("d1", "d2", "x.*")
     folded = stored(spark, folded, "folded")
+    repeats = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
     of = bands(folded.agg(F.max("size")).first()[0] or 1)
     docs = docs.where("doc_id is not null")
-    held = allocated(docs, folded, members(folded, of), of, more_pairs)
+    keyed_rows = first_rows(some, folded).withColumnRenamed("doc_id", "doc")
+    held = allocated(docs, folded, members(keyed_rows, of), of, more_pairs)
     pairs = stored(spark, held.where("doc <> leader").select("doc", "leader").distinct(), "pairs")
-    links = stored(spark, verified(docs, pairs), "links")
+    links = stored(spark, verified(docs, pairs, repeats), "links")
     roots = stored(spark, components(links), "roots")
-    across = links_across(docs, held, folded, roots)
+    across = links_across(docs, held, folded, roots, repeats)
     if across is not None:
         more = stored(spark, across, "links")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -387,6 +413,6 @@ def joined(docs: DataFrame, more_pairs: float = MORE_PAIRS) -> DataFrame:
     # Rows without words or identifier get keys that no set has, spread over all partitions.
     lone = (F.col("size") == 0) | F.col("doc_id").isNull()
     key = lambda c, salt: F.when(F.col("lone"), F.xxhash64("doc_id", "row", F.lit(salt))).otherwise(F.col(c)).alias(c)
-    rows = known.select("doc_id", "d1", "d2", "size", lone.alias("lone"), F.monotonically_increasing_id().alias("row"))
+    rows = known.select("doc_id", "d1", "d2", "size", lone.alias("lone"), "row")
     rows = rows.select("doc_id", "size", "lone", key("d1", 1), key("d2", 2)).join(of_text, ["d1", "d2"], "left")
     return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("lone"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
