@@ -2,14 +2,16 @@
 
 A document is the set of its runs of three words. If two sets of s and l elements link, they differ in at most
 (s + l) * (1 - t) / (1 + t) elements, t the threshold: (s + l) / 19 at 0.9. Sizes fall in bands, and each band deals the
-universe of shingles into H + 1 segments, H the most that two linked sets of the band can differ by. By the pigeonhole
-principle linked sets agree in one segment's subset at least, so subsets are index keys. A set is indexed in its own band, and
-in the next one if a larger partner can be there; a bucket counts only if it holds a set of the key's own band.
+universe of shingles into H + 1 + E segments, H the most that two linked sets of the band can differ by. By the pigeonhole
+principle linked sets agree in the subsets of 1 + E segments at least, so subsets are index keys. Empty subsets are none: all
+unlike sets that leave a segment empty would meet there, and their families would grow with the input. If a set has at most E of
+them, it agrees with any partner in another subset, too; the few sets that have more keep theirs. A set is indexed in its own
+band, and in the next one if a larger partner can be there; a bucket counts only if it holds a set of the key's own band.
 
 Segments have levels, one each at first. Level 2 also indexes the one-deletion neighbourhood of the subset: sets that meet
 there by none of these keys differ by 2 in the segment; level 0 leaves the segment out. Links are found as long as the
-levels of a band add up to H + 1. The cost of a segment is what its buckets really hold: where a segment's buckets cost more
-than the neighbourhoods of another one would, the first goes to level 0 and the other to level 2.
+levels of a band add up to H + 1 + E. The cost of a segment is what its buckets really hold: where a segment's buckets cost more
+than the neighbourhoods of another one would, the first goes to level 0 and the other to level 2, where empty subsets are keys.
 
 1. Equal sets are folded into one, that of the smallest doc_id.
 2. Each set of a bucket is held against the bucket's smallest doc_id of its own band, by the whole sets.
@@ -36,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import marked, stored
 from .components import components
 from .neardup import groups
 from .words import NO_BLANK, Words, counted, mix, shingles, slices
@@ -48,8 +50,10 @@ PART, OF = 90, 100
 SLICE = 1 << 19
 #: How many times as many pairs a segment's buckets hold, about, once one deletion is allowed.
 MORE_PAIRS = 3
-#: Identifiers that are broadcast at most to pick out texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Identifiers that are broadcast at most to pick out texts; more are joined by a shuffle, after a bitmap has left out most others.
+BROADCAST_IDS = 50_000
+#: A band has one segment to spare, and one more for each so many elements in which its sets may differ.
+SPARE = 64
 #: Shingles and documents of one side of a block pair, about.
 BLOCK, BLOCK_DOCS = 1 << 20, 4096
 #: Bits of a sketch for each element in which linked sets of a block may differ.
@@ -59,22 +63,25 @@ U64 = np.uint64
 
 
 class Bands(NamedTuple):
-    """low: each band's smallest size; segments: how many it has; first: the number of its first segment among all bands'."""
+    """low: each band's smallest size; segments: how many it has; first: the number of its first segment among all bands'; spare: E."""
 
     low: np.ndarray
     segments: np.ndarray
     first: np.ndarray
+    spare: np.ndarray
 
 
 @functools.cache
 def _bands(largest: int) -> Bands:
-    low, segments = [1], [1]
+    low, segments, spare = [1], [1], [0]
     high = (OF + PART) // (2 * (OF - PART))  # up to here sets link only if they are equal
     while low[-1] <= largest:
         low.append(high + 1)
         high = max(low[-1], low[-1] * 5 // 4)
-        segments.append(2 * high * (OF - PART) // (OF + PART) + 1)
-    return Bands(np.array(low), np.array(segments), np.cumsum(segments) - segments)
+        differ = 2 * high * (OF - PART) // (OF + PART)
+        spare.append(1 + differ // SPARE)
+        segments.append(differ + 1 + spare[-1])
+    return Bands(np.array(low), np.array(segments), np.cumsum(segments) - segments, np.array(spare))
 
 
 def bands(largest: int) -> Bands:
@@ -106,12 +113,23 @@ def keyed(sums: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix(sums ^ mix(number.astype(np.uint64) + U64(0x51ED27))).view(np.int64)
 
 
-def _packed(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+def left_out(sums: np.ndarray, starts: np.ndarray, band: np.ndarray, of: Bands) -> np.ndarray:
+    """True for the empty subsets of sets that have no more of them than their bands have segments to spare."""
+    empty = sums == 0
+    many = of.segments[band]
+    which = np.repeat(np.arange(len(starts)), many)
+    return empty & (np.bincount(which, empty, len(starts)) <= of.spare[band])[which]
+
+
+def _packed(bounds: np.ndarray, values: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, mask=null))
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, size, band, own, next) of every row: two hashes of its set, its size, its band, and its keys there and in the next band."""
+    """(doc_id, d1, d2, size, band, own, next) of every row: two hashes of its set, its size, its band, and its keys there and in the next band.
+
+    Of a subset that is left out the key is null.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -130,12 +148,12 @@ def indexed(docs: DataFrame) -> DataFrame:
                 reach = (band + 1 < len(of.low)) & (size > 0) & (OF * size >= PART * of.low[np.minimum(band + 1, len(of.low) - 1)])
                 lists = []
                 for here, at in ((np.flatnonzero(size), band), (np.flatnonzero(reach), band + 1)):
-                    _, sums, _, _ = subsets(value, begin[here], size[here], at[here], of)
+                    starts, sums, _, _ = subsets(value, begin[here], size[here], at[here], of)
                     many = np.zeros(n, np.int64)
                     many[here] = of.segments[at[here]]
                     which = np.repeat(np.arange(n), many)
                     segment = np.arange(len(which)) - (np.cumsum(many) - many)[which]
-                    lists.append(_packed(np.concatenate([[0], np.cumsum(many)]), keyed(sums, of.first[at[which]] + segment)))
+                    lists.append(_packed(np.concatenate([[0], np.cumsum(many)]), keyed(sums, of.first[at[which]] + segment), left_out(sums, starts, at[here], of)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(d.view(np.int64)) for d in digest), pa.array(size), pa.array(band.astype(np.int32)), *lists], ["doc_id", "d1", "d2", "size", "band", "own", "next"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, size long, band int, own array<long>, next array<long>")
@@ -146,7 +164,8 @@ def members(folded: DataFrame, of: Bands) -> DataFrame:
     first = F.expr(f"array({', '.join(map(str, of.first.tolist()))})")
     place = lambda keys, band, own: F.struct(F.col(keys).alias("keys"), (2 * F.get(first, F.col("band") + band) + own).alias("from"))
     each = folded.select("doc", F.explode(F.array(place("own", 0, 1), place("next", 1, 0))).alias("x"))
-    return each.select("doc", "x.from", F.posexplode("x.keys").alias("segment", "key")).select("doc", "key", (F.col("from") + 2 * F.col("segment")).cast("int").alias("at"))
+    keys = each.select("doc", "x.from", F.posexplode("x.keys").alias("segment", "key")).where("key is not null")
+    return keys.select("doc", "key", (F.col("from") + 2 * F.col("segment")).cast("int").alias("at"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -179,7 +198,7 @@ def allocation(cost: dict[int, float], docs: dict[int, int], of: Bands, more_pai
 
 
 def neighbourhoods(docs: DataFrame, folded: DataFrame, raised: list[int], of: Bands) -> DataFrame:
-    """(doc, key, at) of the subsets less one element, of the segments raised to level 2."""
+    """(doc, key, at) of the subsets less one element, and of the empty subsets, of the segments raised to level 2."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     in_band = sorted({int(np.searchsorted(of.first, s, "right")) - 1 for s in raised})
     up = np.zeros(int(of.first[-1] + of.segments[-1]), bool)
@@ -201,6 +220,10 @@ def neighbourhoods(docs: DataFrame, folded: DataFrame, raised: list[int], of: Ba
                     number = of.first[at[here]][which] + segment
                     hashes = value[np.repeat(begin[here] - (np.cumsum(size[here]) - size[here]), size[here]) + np.arange(len(which))]
                     keys = keyed(sums[starts[which] + segment] - mix(hashes), number)
+                    empty = np.flatnonzero(sums == 0)
+                    of_empty = np.searchsorted(starts, empty, "right") - 1
+                    of_number = of.first[at[here]][of_empty] + empty - starts[of_empty]
+                    which, number, keys = np.append(which, of_empty), np.append(number, of_number), np.append(keys, keyed(sums[empty], of_number))
                     ok = up[number]
                     doc = part.column("doc_id").take(pa.array(here[which[ok]]))
                     yield pa.RecordBatch.from_arrays([doc, pa.array(keys[ok]), pa.array((2 * number[ok] + 1 - more).astype(np.int32))], ["doc", "key", "at"])
@@ -211,7 +234,7 @@ def neighbourhoods(docs: DataFrame, folded: DataFrame, raised: list[int], of: Ba
 def allocated(docs: DataFrame, folded: DataFrame, every: DataFrame, of: Bands, more_pairs: float) -> DataFrame:
     """The buckets that are left once levels are allocated by cost; see allocation()."""
     spark = docs.sparkSession
-    held = stored(spark, buckets(every), "held")
+    held = stored(spark, buckets(every), "held", tidy=True)
     segment = F.shiftright("at", 1).alias("segment")
     dear = held.groupBy(segment).agg(F.sum("n").alias("cost")).collect()  # a row for each segment: in proportion to the largest set
     docs_of = dict(folded.groupBy("band").count().collect())
@@ -222,7 +245,7 @@ def allocated(docs: DataFrame, folded: DataFrame, every: DataFrame, of: Bands, m
     kept = held.withColumn("segment", F.shiftright("at", 1)).join(changed, "segment", "left_anti").select(*held.columns)
     level_2 = every.withColumn("segment", F.shiftright("at", 1)).join(changed.where("raised"), "segment", "left_semi").select(*every.columns)
     level_2 = level_2.unionByName(neighbourhoods(docs, folded, raised, of)).groupBy("key", "doc").agg(F.max("at").alias("at"))
-    return stored(spark, kept.unionByName(buckets(level_2).select(*held.columns)), "held")
+    return stored(spark, kept.unionByName(buckets(level_2).select(*held.columns)), "held", tidy=True)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
@@ -232,7 +255,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = [c for c in ids.columns if c != "doc_id"]
-    few = ids.count() <= BROADCAST_IDS
+    many = ids.count()
+    few = many <= BROADCAST_IDS
 
     def run(batches):
         for batch in batches:
@@ -242,7 +266,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
                 packed = pa.array([value[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed, *(part.column(c) for c in more)], ["doc", "hashes", *more])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    texts = docs.select("doc_id", "text")
+    if few:
+        texts = texts.join(F.broadcast(ids), "doc_id")
+    else:
+        texts = marked(texts, "doc_id", ids, "doc_id", many).where("marked").drop("marked").join(ids.hint("merge"), "doc_id")
     columns = [f"doc {kind}", "hashes binary", *(f"{c} {ids.schema[c].dataType.simpleString()}" for c in more)]
     sets = texts.mapInArrow(run, ", ".join(columns)).where("length(hashes) > 0")
     return sets.dropDuplicates(["doc", "hashes"]) if repeats else sets
@@ -268,8 +296,8 @@ def verified(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    to = stored(spark, pairs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("leader").alias("leaders")), "ids")
-    leaders = stored(spark, pairs.select(F.col("leader").alias("doc_id")).distinct(), "ids")
+    to = stored(spark, pairs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("leader").alias("leaders")), "ids", tidy=True)
+    leaders = stored(spark, pairs.select(F.col("leader").alias("doc_id")).distinct(), "ids", tidy=True)
 
     def run(batches):
         for batch in batches:
@@ -348,11 +376,11 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
     of_doc = roots.select(F.col("node").alias("doc"), "root")
     rooted = held.where("n > 2").select("key", "doc", "leader").join(of_doc, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    shared = stored(spark, rooted.join(mixed, "key").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "shared")
+    shared = stored(spark, rooted.join(mixed, "key").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "shared", tidy=True)
     if shared.isEmpty():
         return None
     family = components(shared).select(F.col("node").alias("doc"), F.xxhash64("root").alias("family"))
-    rows = stored(spark, family.join(of_doc, "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(folded.select("doc", "size").groupBy("doc").agg(F.max("size").alias("size")), "doc"), "families")
+    rows = stored(spark, family.join(of_doc, "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(folded.select("doc", "size").groupBy("doc").agg(F.max("size").alias("size")), "doc"), "families", tidy=True)
     # Sets of the family's most frequent component need no test against each other, the others one against all.
     of_root = rows.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sized = of_root.groupBy("family").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "size", "root")).alias("most")).where("n > most.n")
@@ -365,8 +393,8 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
     as_first = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), many - 1), lambda j: at(part(1, few), j, True, False))).otherwise(F.array().cast(DEALT))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("other").alias("first"), F.lit(True).alias("second")))
     placed = placed.select("doc", "root", "family", "other", F.explode(F.when(many == 1, whole).otherwise(F.concat(as_second, as_first))).alias("at")).select("doc", "root", "family", "other", "at.*")
-    placed = stored(spark, placed, "placed")
-    sets = sets_of(docs, stored(spark, placed.select(F.col("doc").alias("doc_id")).distinct(), "ids"), repeats)
+    placed = stored(spark, placed, "placed", tidy=True)
+    sets = sets_of(docs, stored(spark, placed.select(F.col("doc").alias("doc_id")).distinct(), "ids", tidy=True), repeats)
     group = ["family", "i", "j"]
     rows = placed.join(sets, "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
@@ -380,12 +408,15 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
 
 
 def first_rows(some: DataFrame, folded: DataFrame) -> DataFrame:
-    """The rows of some that folded names by row, of which it has one for each set. Their keys stay where they are if few others go."""
+    """The rows of some that folded names by row, of which it has one for each set. Nearly all keys stay where they are."""
     rows = folded.select("row")
-    if some.count() - folded.count() > BROADCAST_IDS:
-        return some.join(rows, "row", "left_semi")
-    copies = stored(some.sparkSession, some.select("row").join(rows, "row", "left_anti"), "copies")
-    return some.join(F.broadcast(copies), "row", "left_anti")
+    copies = stored(some.sparkSession, some.select("row").join(rows, "row", "left_anti"), "copies", tidy=True)
+    many = some.count() - folded.count()
+    if many <= BROADCAST_IDS:
+        return some.join(F.broadcast(copies), "row", "left_anti")
+    told = marked(some, "row", copies, "row", many)
+    first = told.where("marked").join(copies.hint("merge"), "row", "left_anti")
+    return told.where("not marked").unionByName(first).drop("marked")
 
 
 def joined(docs: DataFrame, more_pairs: float = MORE_PAIRS) -> DataFrame:
@@ -396,18 +427,18 @@ def joined(docs: DataFrame, more_pairs: float = MORE_PAIRS) -> DataFrame:
     some = known.where("size > 0 and doc_id is not null")
     # Sets are folded by their digests alone; keys are not moved for it.
     folded = some.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "row", "size", "band")).alias("x")).select("d1", "d2", "x.*")
-    folded = stored(spark, folded, "folded")
+    folded = stored(spark, folded, "folded", tidy=True)
     repeats = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
     of = bands(folded.agg(F.max("size")).first()[0] or 1)
     docs = docs.where("doc_id is not null")
     keyed_rows = first_rows(some, folded).withColumnRenamed("doc_id", "doc")
     held = allocated(docs, folded, members(keyed_rows, of), of, more_pairs)
-    pairs = stored(spark, held.where("doc <> leader").select("doc", "leader").distinct(), "pairs")
-    links = stored(spark, verified(docs, pairs, repeats), "links")
-    roots = stored(spark, components(links), "roots")
+    pairs = stored(spark, held.where("doc <> leader").select("doc", "leader").distinct(), "pairs", tidy=True)
+    links = stored(spark, verified(docs, pairs, repeats), "links", tidy=True)
+    roots = stored(spark, components(links), "roots", tidy=True)
     across = links_across(docs, held, folded, roots, repeats)
     if across is not None:
-        more = stored(spark, across, "links")
+        more = stored(spark, across, "links", tidy=True)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     of_text = folded.select("d1", "d2", "doc").join(roots, folded.doc == roots.node, "left").select("d1", "d2", F.coalesce("root", "doc").alias("component_id"))
     # Rows without words or identifier get keys that no set has, spread over all partitions.
