@@ -12,6 +12,8 @@ PER_FILE = 500_000
 
 #: Links of a node that make it hot, at least; and how many nodes can be hot, as each takes that share of the links' ends.
 LEAST, HOT = 1000, 50_000
+#: Links beyond which nodes are joined by a shuffle only: by the size of compressed files Spark would broadcast them all.
+BY_SHUFFLE = 100_000
 
 
 def _with_low(edges: DataFrame, low: DataFrame, links: int) -> DataFrame:
@@ -22,11 +24,12 @@ def _with_low(edges: DataFrame, low: DataFrame, links: int) -> DataFrame:
     here = F.col("u") == F.col("k")
     if links <= LEAST:
         return edges.join(low, here)
+    rest_of = lambda df: df.hint("merge") if links > BY_SHUFFLE else df
     many = max(LEAST, 2 * links // HOT)
     if (hot := low.where(F.col("n") > many)).isEmpty():
-        return edges.join(low, here)
+        return edges.join(rest_of(low), here)
     held = edges.join(F.broadcast(hot), here, "left")
-    rest = held.where("k is null").select("u", "v").join(low.where(F.col("n") <= many), here)
+    rest = held.where("k is null").select("u", "v").join(rest_of(low.where(F.col("n") <= many)), here)
     return held.where("k is not null").unionByName(rest)
 
 

@@ -373,7 +373,7 @@ def links_across(docs: DataFrame, held: DataFrame, folded: DataFrame, roots: Dat
     """(a, b) of links between components whose sets share buckets, if any do: see step 3 of the module's text."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    of_doc = roots.select(F.col("node").alias("doc"), "root")
+    of_doc = roots.select(F.col("node").alias("doc"), "root").hint("merge")
     rooted = held.where("n > 2").select("key", "doc", "leader").join(of_doc, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     shared = stored(spark, rooted.join(mixed, "key").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "shared", tidy=True)
@@ -440,7 +440,8 @@ def joined(docs: DataFrame, more_pairs: float = MORE_PAIRS) -> DataFrame:
     if across is not None:
         more = stored(spark, across, "links", tidy=True)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    of_text = folded.select("d1", "d2", "doc").join(roots, folded.doc == roots.node, "left").select("d1", "d2", F.coalesce("root", "doc").alias("component_id"))
+    # By the size of compressed files Spark would broadcast the nodes, so joins with them say that they go by shuffle.
+    of_text = folded.select("d1", "d2", "doc").join(roots.hint("merge"), folded.doc == roots.node, "left").select("d1", "d2", F.coalesce("root", "doc").alias("component_id"))
     # Rows without words or identifier get keys that no set has, spread over all partitions.
     lone = (F.col("size") == 0) | F.col("doc_id").isNull()
     key = lambda c, salt: F.when(F.col("lone"), F.xxhash64("doc_id", "row", F.lit(salt))).otherwise(F.col(c)).alias(c)

@@ -63,3 +63,23 @@ def test_bitmap_instead_of_broadcast(spark, monkeypatch):
     ids = spark.createDataFrame([(i, [i]) for i in range(5)], "doc_id long, leaders array<long>")
     plan = setjoin.sets_of(df, ids, False)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "bitmap_construct_agg" in plan  # was a broadcast of up to 1,000,000 lists, then a shuffle of all texts
+
+
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    """Beyond so many links the nodes of a step are joined by shuffle, whatever the size of their files; hot ones are broadcast."""
+    from pyspark.sql import functions as F
+
+    from folioframe.llm import components
+
+    links = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 160)] + [(3, 200), (200, 100)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {tuple(r) for r in components.components(df).collect()}
+    monkeypatch.setattr(components, "LEAST", 10)
+    monkeypatch.setattr(components, "BY_SHUFFLE", 50)
+    edges = df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joins = lambda many: components._with_low(both, low, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in joins(len(links)) and "strategy=broadcast" in joins(len(links))  # were left to the size of files
+    assert "strategy=merge" not in joins(40)
+    assert {tuple(r) for r in components.components(df).collect()} == want
